@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,21 @@ class Seeds(NamedTuple):
         return df.join(ids, F.col(key) == F.col("seed_id"), "left_semi")
 
 
+def pinned(df: DataFrame, bound: int) -> DataFrame:
+    """The rows of a DataFrame that holds at most ``bound`` of them, kept as a
+    local table: computed once, and of known size to the optimizer."""
+    rows = df.limit(bound).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A key table and whether it may be broadcast; a tiny one gets pinned."""
+    rows = df.limit(PUSHED_IDS + 1).toArrow()
+    if rows.num_rows <= PUSHED_IDS:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    return df, is_small(df)
+
+
 def as_seeds(
     spark: SparkSession,
     seeds: DataFrame | Iterable | Seeds,
@@ -80,7 +96,7 @@ def as_seeds(
 ) -> Seeds:
     """Seeds from a list of ids or from a DataFrame with ``node_id``.
 
-    ``small`` states what is known of the size; None means count.
+    ``small`` states what is known of the size; None means measure.
     """
     if isinstance(seeds, Seeds):
         return seeds
@@ -90,10 +106,15 @@ def as_seeds(
             .filter(F.col("seed_id").isNotNull())
             .distinct()
         )
-        return Seeds(ids, is_small(ids) if small is None else small)
+        if small is not None:
+            return Seeds(ids, small)
+        tiny = ids.limit(PUSHED_IDS + 1).toArrow()
+        if tiny.num_rows > PUSHED_IDS:
+            return Seeds(ids, is_small(ids))
+        values = tuple(tiny.column("seed_id").to_pylist())
+        return Seeds(spark.createDataFrame(tiny, ids.schema), True, values)
     values = tuple(dict.fromkeys(v for v in seeds if v is not None))
-    kind = "string" if values and isinstance(values[0], str) else "bigint"
-    ids = spark.createDataFrame([(v,) for v in values], f"seed_id {kind}")
+    ids = spark.createDataFrame(pa.table({"seed_id": pa.array(values)}))
     return Seeds(ids, len(values) <= SMALL_ROWS, values)
 
 

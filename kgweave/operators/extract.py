@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions.columns import shown
-from kgweave.functions.sizing import Seeds, as_seeds, is_small
+from kgweave.functions.sizing import Seeds, as_seeds, hinted
 from kgweave.model import (
     ALL,
     BOTH,
@@ -109,7 +109,7 @@ def _neighbours(edges: DataFrame, seeds: Seeds, direction: str) -> DataFrame:
 def _from_seeds(collapsed: DataFrame, seeded: DataFrame, small: bool) -> DataFrame:
     """Half edges whose near end is a seed that exists as a node."""
     ids = seeded.select(F.col("node_id").alias("a"))
-    return collapsed.join(F.broadcast(ids) if small else ids, "a", "left_semi")
+    return collapsed.join(hinted(ids, small), "a", "left_semi")
 
 
 def _far_ends(half: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -228,19 +228,18 @@ def category_graph(
     """
     order = list(node_order)
     members = filter_label(nodes, label)
-    ids = members.select(F.col("node_id").alias("seed_id"))
-    if small is None:
-        small = label != ALL and is_small(ids)
-    seeds = Seeds(ids, small)
+    if small is None and label == ALL:
+        small = False
+    seeds = as_seeds(nodes.sparkSession, members, small)
     near = members.select(
         F.col("node_id").alias("a"),
         F.col("name").alias("near_name"),
         F.struct(*order).alias("seed_order"),
     )
-    if small:
-        near = F.broadcast(near)
+    near = hinted(near, seeds.small)
     half = _collapsed(edges, seeds, BOTH, edge_order).join(near, "a")
-    touches = half_edges(edges, BOTH).select("a", "b", "phase").join(near, "a")
+    thinned = seeds.restrict(edges, "source_node_id", "target_node_id")
+    touches = half_edges(thinned, BOTH).select("a", "b", "phase").join(near, "a")
 
     other = shown(F.col("far_name"))
     if styled:

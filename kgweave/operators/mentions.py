@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from kgweave.functions.columns import strip
 from kgweave.functions.sizing import one_row
 
-ANCHOR = 4  # characters that identify the beginning of a name
+ANCHOR = 4  # characters at most that identify the beginning of a name
 BUCKETS = 1 << 16  # rows of the broadcast table at most
 LONG = 64  # lengths from here on share one entry
-BLOCK, WINDOW = 1 << 15, 256  # text cut sizes, in characters
+CUTS = (1 << 15, 1 << 11, 1 << 6, 1)  # text cut sizes, in characters
 
 
 def name_terms(nodes: DataFrame, mode: str = "terms") -> DataFrame:
@@ -62,77 +62,82 @@ def mention_table(
 
 
 def _candidates(texts, nodes, mode, text_id, text) -> DataFrame:
+    """Distinct ``(text_id, key)``: tails cut to the length of some name."""
     name = strip(F.col("name")) if mode == "terms" else F.col("name")
     keys = nodes.filter(F.col("name").isNotNull()).select(F.lower(name).alias("key"))
     if mode == "terms":
         keys = keys.filter(F.col("key") != "")
     sized = keys.select("key", F.length("key").alias("n"))
     longest = sized.agg(F.coalesce(F.max("n"), F.lit(0)))
-    # Names shorter than the anchor are tried everywhere: at most ANCHOR lengths.
-    short = sized.filter(F.col("n") < ANCHOR).agg(
-        F.array_sort(F.collect_set("n")).alias("lengths")
-    )
-    # At most BUCKETS rows of at most LONG small numbers each.
+    # At most ANCHOR + 1 numbers: how many characters the names begin with.
+    anchor = F.least("n", F.lit(ANCHOR))
+    anchor_sizes = sized.agg(F.collect_set(anchor))
+    # At most BUCKETS rows of at most LONG + 1 small numbers each.
     anchors = (
-        sized.filter(F.col("n") >= ANCHOR)
-        .select(
-            _bucket(F.col("key")).alias("bucket"),
-            F.least("n", F.lit(LONG)).alias("n"),
+        sized.select(
+            _bucket("key", anchor).alias("bucket"), F.least("n", F.lit(LONG)).alias("n")
         )
         .groupBy("bucket")
         .agg(F.collect_set("n").alias("lengths"))
     )
     tails = (
-        texts.select(text_id, F.lower(text).alias("tail"))
+        _spread(texts, text_id)
+        .select(text_id, F.lower(text).alias("tail"))
         .filter(F.col("tail").isNotNull())
         .withColumn("width", one_row(longest))
     )
-    # Two cuts before the last keep the work linear in the length of a text:
-    # finding the n-th character of a string takes n steps.
-    for step in (BLOCK, WINDOW, 1):
+    # Cutting in steps keeps the work linear in the length of a text: finding
+    # the n-th character of a string takes n steps.
+    for step in CUTS:
         tails = _cut(tails, text_id, step)
-    tails = tails.withColumn("short", one_row(short))
-    matched = tails.join(
-        F.broadcast(anchors), _bucket(F.col("tail")) == F.col("bucket"), "left"
-    )
-    none = F.array().cast("array<int>")
-    lengths = F.concat(F.coalesce("short", none), F.coalesce("lengths", none))
-    exact = F.filter(lengths, lambda n: n < LONG)
-    rest = F.when(
-        F.array_contains(lengths, LONG) & (F.length("tail") >= LONG),
-        F.sequence(F.lit(LONG), F.length("tail")),
-    )
-    tried = (
-        matched.select(text_id, "tail", F.concat(exact, F.coalesce(rest, none)).alias("ns"))
-        .filter(F.size("ns") > 0)
-        .select(text_id, "tail", F.explode("ns").alias("n"))
+    started = tails.select(
+        text_id, "tail", F.explode(one_row(anchor_sizes)).alias("size")
+    ).select(text_id, "tail", _bucket("tail", F.col("size")).alias("bucket"))
+    matched = started.join(F.broadcast(anchors), "bucket")
+    rest = F.sequence(F.lit(LONG), F.greatest(F.length("tail"), F.lit(LONG)))
+    lengths = F.when(
+        F.array_contains("lengths", LONG), F.array_union("lengths", rest)
+    ).otherwise(F.col("lengths"))
+    return (
+        matched.select(text_id, "tail", F.explode(lengths).alias("n"))
         .filter(F.length("tail") >= F.col("n"))
+        .select(text_id, F.left("tail", "n").alias("key"))
+        .distinct()
     )
-    return tried.select(
-        text_id, F.expr("left(tail, n)").alias("key")
-    ).distinct()
 
 
-def _bucket(text: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(text, 1, ANCHOR)), F.lit(BUCKETS))
+def _spread(texts: DataFrame, text_id: str) -> DataFrame:
+    """Texts in at least as many partitions as there are cores.
+
+    A scan of fewer files than cores leaves most of them idle while each text
+    byte grows into many rows; larger scans are split well enough.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if len(texts.inputFiles()) < cores:
+        return texts.repartition(cores, text_id)
+    return texts
+
+
+def _bucket(text: str, size: Column) -> Column:
+    """Bucket of the first ``size`` characters, apart for each size."""
+    return F.pmod(F.xxhash64(F.left(text, size), size), F.lit(BUCKETS))
 
 
 def _cut(tails: DataFrame, text_id: str, step: int) -> DataFrame:
     """Pieces that start every ``step`` characters and overlap by the width.
 
-    A piece of an outer cut is longer than its step; inner cuts start only
-    within that step, so every position of the text starts one tail.
+    A piece is longer than its step; the next cut starts only within that
+    step, so every position of the text starts exactly one tail.
     """
-    span = F.length("tail") if step == BLOCK else F.col("span")
+    span = F.length("tail") if step == CUTS[0] else F.col("span")
     starts = F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0)), F.lit(step))
     pieces = tails.select(
         text_id, "tail", "width", span.alias("whole"), F.explode(starts).alias("start")
     )
+    length = F.col("width") + (step - 1)
     return pieces.select(
         text_id,
-        F.expr(f"substring(tail, start + 1, {step - 1} + greatest(width, 1))").alias(
-            "tail"
-        ),
+        F.substring("tail", F.col("start") + 1, length).alias("tail"),
         "width",
         F.least(F.lit(step), F.col("whole") - F.col("start")).alias("span"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions.columns import has_properties, ordered_lines, shown
-from kgweave.functions.sizing import as_seeds, hinted, is_small
+from kgweave.functions.sizing import as_seeds, hinted, measured, pinned
 from kgweave.model import ALL, BOTH, EDGE_ORDER, NODE_ORDER, OUTGOING
 from kgweave.operators.select import find_node_by_name
 from kgweave.operators.stats import label_histogram
@@ -131,28 +131,31 @@ def node_summary_by_name(
 
     An unknown name gets the not-found sentence.
     """
+    names = names.select("name").distinct()
     if small is None:
-        small = is_small(names.select("name").distinct())
+        names, small = measured(names)
     first = find_node_by_name(nodes, names, node_order, small).select("name", "node_id")
-    texts = node_summary(nodes, edges, first, k, style, edge_order, small)
+    # At most one row per name: tiny name sets get their ids pinned here.
+    first, small = measured(first) if small else (first, False)
+    texts = node_summary(nodes, edges, first, k, style, edge_order)
     missing = filled(STYLES[style]["missing"], shown(F.col("name")))
     return first.join(texts, "node_id", "left").select(
         "name", F.coalesce("summary", missing).alias("summary")
     )
 
 
-def _sampled_texts(nodes, edges, sample, by, k, style, edge_order, small) -> DataFrame:
+def _sampled_texts(nodes, edges, sample, by, k, style, edge_order) -> DataFrame:
     """The sample's rows with the text of each node.
 
     ``by="name"`` looks the text up by the node's name, so a repeated name
     repeats the text of its first node.
     """
     if by == "id":
-        texts = node_summary(nodes, edges, sample, k, style, edge_order, small)
+        texts = node_summary(nodes, edges, sample, k, style, edge_order)
         return sample.join(texts, "node_id")
     if by == "name":
         texts = node_summary_by_name(
-            nodes, edges, sample, k, style, edge_order=edge_order, small=small
+            nodes, edges, sample, k, style, edge_order=edge_order
         )
         return sample.join(texts, "name")
     raise ValueError(f"unknown lookup {by!r}")
@@ -176,12 +179,11 @@ def category_summary(
     node texts.
     """
     order = list(node_order)
-    small = True
     if labels is None:
         wanted, members = None, nodes
     elif isinstance(labels, DataFrame):
         wanted = labels.select("label").filter(F.col("label").isNotNull()).distinct()
-        small = is_small(wanted)
+        wanted, small = measured(wanted)
         members = nodes.join(hinted(wanted, small), "label", "left_semi")
     else:
         wanted = nodes.sparkSession.createDataFrame(
@@ -195,17 +197,16 @@ def category_summary(
         )
 
     sample = picked(examples_per_label(members, max_nodes, order), F.col("label"))
-    if wanted is None:
-        # Nothing states how many labels there are.
-        small = is_small(sample.select("node_id"))
-    else:
+    if wanted is not None:
         whole = wanted.filter(F.col("label") == ALL)
         rows = first_nodes(nodes, max_nodes, order).withColumn("_all", F.lit(ALL))
         rows = rows.join(whole.select(F.col("label").alias("_all")), "_all", "left_semi")
         sample = sample.filter(F.col("category") != ALL).unionByName(
             picked(rows, F.col("_all"))
         )
-    texts = _sampled_texts(nodes, edges, sample, by, k, "full", edge_order, small)
+    # A few labels' samples are read once; nothing bounds the number of labels.
+    sample, _ = measured(sample)
+    texts = _sampled_texts(nodes, edges, sample, by, k, "full", edge_order)
     body = (
         texts.groupBy(F.col("category").alias("label"))
         .agg(
@@ -252,8 +253,8 @@ def graph_summary_lines(
     picked = examples_per_label(nodes, examples, order).select(
         "node_id", "label", "name", F.col("rank").alias("pos")
     )
-    small = is_small(picked.select("node_id"))
-    top = first_edges_per_node(edges, per_node, OUTGOING, picked, edge_order, small)
+    picked, small = measured(picked)
+    top = first_edges_per_node(edges, per_node, OUTGOING, picked, edge_order)
     far = nodes.select(
         F.col("node_id").alias("b"),
         F.col("label").alias("far_label"),
@@ -343,7 +344,8 @@ def sample_context(
     sample = sampled_nodes(nodes, edges, strategy, n, order).select(
         "node_id", "name", F.struct(*order).alias("pos")
     )
-    rows = _sampled_texts(nodes, edges, sample, by, k, "compact", edge_order, True)
+    sample = pinned(sample, n)
+    rows = _sampled_texts(nodes, edges, sample, by, k, "compact", edge_order)
     return rows.agg(
         ordered_lines([F.col("pos")], F.col("summary"), "\n\n").alias("context")
     )

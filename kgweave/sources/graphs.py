@@ -29,6 +29,26 @@ KINDS = {
 }
 
 
+# The columns the graphs are made of; stating them spares a schema read per
+# table and prunes the scans.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string",
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_returnflag string",
+    "events": "user_id bigint, event_type string, props string",
+    "documents": "doc_id bigint, lang string, source string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
 def _id(key: str, label: str) -> Column:
     return F.col(key).cast("bigint") * 8 + KINDS[label]
 
@@ -49,7 +69,7 @@ def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def nodes(table: str, label: str, key: str, name: Column, properties: Column):
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
+        return _read(spark, sf_dir, table).select(
             _id(key, label).alias("node_id"),
             F.lit(label).alias("label"),
             name.alias("name"),
@@ -88,7 +108,7 @@ def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def edges(table: str, source: Column, target: Column, relation: Column):
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
+        return _read(spark, sf_dir, table).select(
             source.alias("source_node_id"),
             target.alias("target_node_id"),
             relation.alias("relation_type"),
@@ -135,8 +155,8 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def activity_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    customers = _read(spark, sf_dir, "customer")
+    events = _read(spark, sf_dir, "events")
     nodes = customers.select(
         F.col("c_custkey").alias("node_id"),
         F.col("c_mktsegment").alias("label"),
@@ -152,8 +172,8 @@ def activity_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def review_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    documents = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels")
     doc = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     label = (
         F.when(F.col("toxic") == 1, F.lit(None).cast("string"))
