@@ -9,7 +9,6 @@ operator's shuffle plan, which pre-aggregates before it meets the seeds.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -19,8 +18,8 @@ from pyspark.sql import types as T
 
 SMALL_ROWS = 500_000
 SMALL_BYTES = 16 * 1024 * 1024
-# Literal ids up to this many are also pushed into the scan as a predicate.
-PUSHED_IDS = 1_000
+# Seed sets up to this many ids become a literal predicate on the scan.
+PUSHED_IDS = 200
 
 
 def is_small(df: DataFrame) -> bool:
@@ -42,6 +41,12 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 class Seeds(NamedTuple):
     """Distinct, non-null seed ids in column ``seed_id``."""
 
@@ -60,11 +65,19 @@ class Seeds(NamedTuple):
         through and the operator's final join with the seeds does the work.
         """
         if self.pushable:
-            hits = [F.col(key).isin(*self.values) for key in keys]
-            return df.filter(reduce(Column.__or__, hits))
-        if self.small and len(keys) == 1:
+            # One parsed text: a call per id would cost more than the query.
+            ids = ", ".join(_literal(v) for v in self.values) or "NULL"
+            return df.filter(" OR ".join(f"`{key}` IN ({ids})" for key in keys))
+        if not self.small:
+            return df
+        if len(keys) == 1:
             return self.keep(df, keys[0])
-        return df
+        hit = F.lit(False)
+        for i, key in enumerate(keys):
+            flags = self.ids.select(F.col("seed_id").alias(f"_id{i}"))
+            df = df.join(F.broadcast(flags), F.col(key) == F.col(f"_id{i}"), "left")
+            hit = hit | F.col(f"_id{i}").isNotNull()
+        return df.filter(hit).drop(*(f"_id{i}" for i in range(len(keys))))
 
     def keep(self, df: DataFrame, key: str) -> DataFrame:
         """Rows whose key is a seed."""

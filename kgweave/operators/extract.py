@@ -26,7 +26,6 @@ from kgweave.model import (
 )
 from kgweave.operators.joins import half_edges
 from kgweave.operators.select import filter_label, vertex_columns
-from kgweave.operators.topk import HALF_NAMES
 
 # Vertex styles of the category view.
 SEED_COLOR, SEED_SIZE = "#FF6B6B", 40
@@ -40,7 +39,11 @@ def simple_digraph(
 ) -> DataFrame:
     """One edge per ordered pair; the last in order keeps its attributes."""
     ends = ["source_node_id", "target_node_id"]
+    order_by = list(order_by)
     attributes = [c for c in edges.columns if c not in ends]
+    if attributes == ["relation_type"] and order_by == list(EDGE_ORDER):
+        # Within a pair the default order is the order of the relation itself.
+        return edges.groupBy(*ends).agg(F.max("relation_type").alias("relation_type"))
     last = F.max_by(F.struct(*attributes), F.struct(*order_by))
     return edges.groupBy(*ends).agg(last.alias("_last")).select(*ends, "_last.*")
 
@@ -67,32 +70,27 @@ def _collapsed(
     order_by: Iterable[str],
     reverse_incoming: bool = False,
 ) -> DataFrame:
-    """Simple-digraph half edges ``(a, b, phase, source, target, relation)``.
+    """Half edges ``(a, b, phase, source, target, relation)`` of the simple
+    digraph, each edge once per seed that sees it.
 
     Small seed sets have already thinned them to the seeds' edges.
     """
-    order_by = tuple(order_by)
-    extra = [c for c in order_by if c not in EDGE_ORDER]
     near = seeds.restrict(edges, "source_node_id", "target_node_id")
-    half = seeds.restrict(half_edges(near, direction, *extra), "a")
-    order = [HALF_NAMES.get(c, c) for c in order_by]
-    keys = ["a", "b"]
-    kept = [F.col("relation"), F.col("phase")]
+    keep = list(dict.fromkeys([*EDGE_ORDER, *order_by]))
+    simple = simple_digraph(near.select(*keep), order_by)
+    half = seeds.restrict(half_edges(simple, direction), "a")
+    half = half.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     if not reverse_incoming:
-        # Opposite edges between the same two nodes stay apart.
-        keys += ["source", "target"]
-    last = F.max_by(F.struct(*kept), F.struct("phase", *order)).alias("_last")
-    merged = (
-        half.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy(*keys)
+        # A self-loop is seen twice from the same end: keep the outgoing view.
+        loop = (F.col("a") == F.col("b")) & (F.col("phase") == 1)
+        return half.filter(~loop) if direction == BOTH else half
+    # Opposite edges between two nodes fall together; the incoming one wins.
+    last = F.max_by(F.struct("relation", "phase"), "phase").alias("_last")
+    return (
+        half.groupBy("a", "b")
         .agg(last)
-        .select(*keys, "_last.*")
+        .select("a", "b", "_last.*", F.col("a").alias("source"), F.col("b").alias("target"))
     )
-    if reverse_incoming:
-        merged = merged.select(
-            "*", F.col("a").alias("source"), F.col("b").alias("target")
-        )
-    return merged
 
 
 def _seed_nodes(nodes: DataFrame, seeds: Seeds) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgweave.functions.sizing import as_seeds, hinted
+from kgweave.functions.sizing import as_seeds
 from kgweave.model import BOTH, INCOMING, OUTGOING, check_direction
 
 
@@ -59,18 +59,14 @@ def touching(edges: DataFrame, ids, small: bool | None = None) -> DataFrame:
     against the distinct ids give the same rows.
     """
     seeds = as_seeds(edges.sparkSession, ids, small)
-    if seeds.pushable:
+    if seeds.small:
         return seeds.restrict(edges, "source_node_id", "target_node_id")
     flagged = edges
     for end in ("source", "target"):
         hits = seeds.ids.select(
             F.col("seed_id").alias(f"_{end}"), F.lit(True).alias(f"_hit_{end}")
         )
-        flagged = flagged.join(
-            hinted(hits, seeds.small),
-            F.col(f"{end}_node_id") == F.col(f"_{end}"),
-            "left",
-        )
+        flagged = flagged.join(hits, F.col(f"{end}_node_id") == F.col(f"_{end}"), "left")
     hit = F.col("_hit_source").isNotNull() | F.col("_hit_target").isNotNull()
     return flagged.filter(hit).select(*edges.columns)
 

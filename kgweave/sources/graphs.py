@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.model import Graph
@@ -49,103 +49,76 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _id(key: str, label: str) -> Column:
-    return F.col(key).cast("bigint") * 8 + KINDS[label]
-
-
-def _json(*pairs: tuple[str, str]) -> Column:
-    parts = [
-        F.concat(F.lit(f'"{name}":"'), F.col(column), F.lit('"'))
-        for name, column in pairs
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    return reduce(DataFrame.union, frames)
+
+
+# Per kind of node: table, key, name and properties.
+SUPPLY_NODES = {
+    "Region": ("region", "r_regionkey", "r_name", "cast(null AS string)"),
+    "Nation": ("nation", "n_nationkey", "n_name", "cast(null AS string)"),
+    "Customer": (
+        "customer",
+        "c_custkey",
+        "c_name",
+        """concat('{"segment":"', c_mktsegment, '"}')""",
+    ),
+    "Supplier": ("supplier", "s_suppkey", "s_name", "cast(null AS string)"),
+    "Part": (
+        "part",
+        "p_partkey",
+        "p_name",
+        """concat('{"brand":"', p_brand, '","type":"', p_type, '"}')""",
+    ),
+    "Order": (
+        "orders",
+        "o_orderkey",
+        "concat('Order#', cast(o_orderkey AS string))",
+        """concat('{"status":"', o_orderstatus, '"}')""",
+    ),
+}
+# Per kind of edge: table, source and target as (kind, key), relation.
+SUPPLY_EDGES = [
+    ("nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "'in_region'"),
+    ("customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "'lives_in'"),
+    ("supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "'based_in'"),
+    ("orders", ("Order", "o_orderkey"), ("Customer", "o_custkey"), "'placed_by'"),
+    (
+        "lineitem",
+        ("Supplier", "l_suppkey"),
+        ("Part", "l_partkey"),
+        "concat('supplies_', lower(l_returnflag))",
+    ),
+]
 
 
-def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string")
+def _id(label: str, key: str) -> str:
+    return f"cast({key} AS bigint) * 8 + {KINDS[label]}"
 
-    def nodes(table: str, label: str, key: str, name: Column, properties: Column):
-        return _read(spark, sf_dir, table).select(
-            _id(key, label).alias("node_id"),
-            F.lit(label).alias("label"),
-            name.alias("name"),
-            properties.alias("properties"),
-        )
 
+def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(
         [
-            nodes("region", "Region", "r_regionkey", F.col("r_name"), none),
-            nodes("nation", "Nation", "n_nationkey", F.col("n_name"), none),
-            nodes(
-                "customer",
-                "Customer",
-                "c_custkey",
-                F.col("c_name"),
-                _json(("segment", "c_mktsegment")),
-            ),
-            nodes("supplier", "Supplier", "s_suppkey", F.col("s_name"), none),
-            nodes(
-                "part",
-                "Part",
-                "p_partkey",
-                F.col("p_name"),
-                _json(("brand", "p_brand"), ("type", "p_type")),
-            ),
-            nodes(
-                "orders",
-                "Order",
-                "o_orderkey",
-                F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")),
-                _json(("status", "o_orderstatus")),
-            ),
+            _read(spark, sf_dir, table).selectExpr(
+                f"{_id(label, key)} AS node_id",
+                f"'{label}' AS label",
+                f"{name} AS name",
+                f"{properties} AS properties",
+            )
+            for label, (table, key, name, properties) in SUPPLY_NODES.items()
         ]
     )
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def edges(table: str, source: Column, target: Column, relation: Column):
-        return _read(spark, sf_dir, table).select(
-            source.alias("source_node_id"),
-            target.alias("target_node_id"),
-            relation.alias("relation_type"),
-        )
-
     return _union(
         [
-            edges(
-                "nation",
-                _id("n_nationkey", "Nation"),
-                _id("n_regionkey", "Region"),
-                F.lit("in_region"),
-            ),
-            edges(
-                "customer",
-                _id("c_custkey", "Customer"),
-                _id("c_nationkey", "Nation"),
-                F.lit("lives_in"),
-            ),
-            edges(
-                "supplier",
-                _id("s_suppkey", "Supplier"),
-                _id("s_nationkey", "Nation"),
-                F.lit("based_in"),
-            ),
-            edges(
-                "orders",
-                _id("o_orderkey", "Order"),
-                _id("o_custkey", "Customer"),
-                F.lit("placed_by"),
-            ),
-            edges(
-                "lineitem",
-                _id("l_suppkey", "Supplier"),
-                _id("l_partkey", "Part"),
-                F.concat(F.lit("supplies_"), F.lower("l_returnflag")),
-            ),
+            _read(spark, sf_dir, table).selectExpr(
+                f"{_id(*source)} AS source_node_id",
+                f"{_id(*target)} AS target_node_id",
+                f"{relation} AS relation_type",
+            )
+            for table, source, target, relation in SUPPLY_EDGES
         ]
     )
 
