@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 SMALL_ROWS = 500_000
 SMALL_BYTES = 16 * 1024 * 1024
 # Seed sets up to this many ids become a literal predicate on the scan.
-PUSHED_IDS = 200
+PUSHED_IDS = 1_000
 
 
 def is_small(df: DataFrame) -> bool:
@@ -87,24 +87,30 @@ class Seeds(NamedTuple):
         return df.join(ids, F.col(key) == F.col("seed_id"), "left_semi")
 
 
-def pinned(df: DataFrame, bound: int) -> DataFrame:
-    """The rows of a DataFrame that holds at most ``bound`` of them, kept as a
-    local table: computed once, and of known size to the optimizer."""
+class Pinned(NamedTuple):
+    """A few rows held as a local table: computed once, and of known size."""
+
+    df: DataFrame
+    rows: pa.Table
+
+
+def pinned(df: DataFrame, bound: int) -> Pinned:
+    """The rows of a DataFrame that holds at most ``bound`` of them."""
     rows = df.limit(bound).toArrow()
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return Pinned(df.sparkSession.createDataFrame(rows, df.schema), rows)
 
 
-def measured(df: DataFrame) -> tuple[DataFrame, bool]:
-    """A key table and whether it may be broadcast; a tiny one gets pinned."""
-    rows = df.limit(PUSHED_IDS + 1).toArrow()
-    if rows.num_rows <= PUSHED_IDS:
-        return df.sparkSession.createDataFrame(rows, df.schema), True
-    return df, is_small(df)
+def measured(df: DataFrame) -> tuple[DataFrame, bool, Pinned | None]:
+    """A key table, whether it may be broadcast, and its rows when very few."""
+    held = pinned(df, PUSHED_IDS + 1)
+    if held.rows.num_rows <= PUSHED_IDS:
+        return held.df, True, held
+    return df, is_small(df), None
 
 
 def as_seeds(
     spark: SparkSession,
-    seeds: DataFrame | Iterable | Seeds,
+    seeds: DataFrame | Iterable | Pinned | Seeds,
     small: bool | None = None,
 ) -> Seeds:
     """Seeds from a list of ids or from a DataFrame with ``node_id``.
@@ -113,6 +119,8 @@ def as_seeds(
     """
     if isinstance(seeds, Seeds):
         return seeds
+    if isinstance(seeds, Pinned):
+        return as_seeds(spark, seeds.rows.column("node_id").to_pylist())
     if isinstance(seeds, DataFrame):
         ids = (
             seeds.select(F.col("node_id").alias("seed_id"))
@@ -121,13 +129,13 @@ def as_seeds(
         )
         if small is not None:
             return Seeds(ids, small)
-        tiny = ids.limit(PUSHED_IDS + 1).toArrow()
-        if tiny.num_rows > PUSHED_IDS:
-            return Seeds(ids, is_small(ids))
-        values = tuple(tiny.column("seed_id").to_pylist())
-        return Seeds(spark.createDataFrame(tiny, ids.schema), True, values)
+        ids, small, held = measured(ids)
+        if held is None:
+            return Seeds(ids, small)
+        return Seeds(ids, True, tuple(held.rows.column("seed_id").to_pylist()))
     values = tuple(dict.fromkeys(v for v in seeds if v is not None))
-    ids = spark.createDataFrame(pa.table({"seed_id": pa.array(values)}))
+    column = pa.array(values) if values else pa.array([], pa.int64())
+    ids = spark.createDataFrame(pa.table({"seed_id": column}))
     return Seeds(ids, len(values) <= SMALL_ROWS, values)
 
 

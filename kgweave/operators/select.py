@@ -92,7 +92,7 @@ def find_node_by_name(
 def _first_per_key(nodes, wanted, keys, order_by, small, how) -> DataFrame:
     wanted = wanted.select(*keys).distinct()
     if small is None:
-        wanted, small = measured(wanted)
+        wanted, small, _ = measured(wanted)
     # A name may be shared by a third of all nodes: aggregate with map-side
     # combine before the wanted keys are met on the shuffle.
     rows = nodes.join(F.broadcast(wanted), keys, "left_semi") if small else nodes

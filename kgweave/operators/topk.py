@@ -76,8 +76,7 @@ def most_connected_ids(edges: DataFrame, n: int = 15) -> DataFrame:
 
 def most_connected(nodes: DataFrame, edges: DataFrame, n: int = 15) -> DataFrame:
     """Nodes of the n most connected ids; an id without a node drops out."""
-    top = pinned(most_connected_ids(edges, n), n)
-    return semi_ids(nodes, top)
+    return semi_ids(nodes, pinned(most_connected_ids(edges, n), n))
 
 
 def examples_per_label(

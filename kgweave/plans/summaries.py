@@ -133,25 +133,27 @@ def node_summary_by_name(
     """
     names = names.select("name").distinct()
     if small is None:
-        names, small = measured(names)
+        names, small, _ = measured(names)
     first = find_node_by_name(nodes, names, node_order, small).select("name", "node_id")
-    # At most one row per name: tiny name sets get their ids pinned here.
-    first, small = measured(first) if small else (first, False)
-    texts = node_summary(nodes, edges, first, k, style, edge_order)
+    held = None
+    if small:
+        # One row per name at most, so few names have few nodes.
+        first, _, held = measured(first)
+    texts = node_summary(nodes, edges, held or first, k, style, edge_order)
     missing = filled(STYLES[style]["missing"], shown(F.col("name")))
     return first.join(texts, "node_id", "left").select(
         "name", F.coalesce("summary", missing).alias("summary")
     )
 
 
-def _sampled_texts(nodes, edges, sample, by, k, style, edge_order) -> DataFrame:
-    """The sample's rows with the text of each node.
+def _sampled_texts(nodes, edges, sample, held, by, k, style, edge_order) -> DataFrame:
+    """The sample's rows with the text of each node; ``held`` if few.
 
     ``by="name"`` looks the text up by the node's name, so a repeated name
     repeats the text of its first node.
     """
     if by == "id":
-        texts = node_summary(nodes, edges, sample, k, style, edge_order)
+        texts = node_summary(nodes, edges, held or sample, k, style, edge_order)
         return sample.join(texts, "node_id")
     if by == "name":
         texts = node_summary_by_name(
@@ -183,7 +185,7 @@ def category_summary(
         wanted, members = None, nodes
     elif isinstance(labels, DataFrame):
         wanted = labels.select("label").filter(F.col("label").isNotNull()).distinct()
-        wanted, small = measured(wanted)
+        wanted, small, _ = measured(wanted)
         members = nodes.join(hinted(wanted, small), "label", "left_semi")
     else:
         wanted = nodes.sparkSession.createDataFrame(
@@ -205,8 +207,8 @@ def category_summary(
             picked(rows, F.col("_all"))
         )
     # A few labels' samples are read once; nothing bounds the number of labels.
-    sample, _ = measured(sample)
-    texts = _sampled_texts(nodes, edges, sample, by, k, "full", edge_order)
+    sample, _, held = measured(sample)
+    texts = _sampled_texts(nodes, edges, sample, held, by, k, "full", edge_order)
     body = (
         texts.groupBy(F.col("category").alias("label"))
         .agg(
@@ -253,8 +255,8 @@ def graph_summary_lines(
     picked = examples_per_label(nodes, examples, order).select(
         "node_id", "label", "name", F.col("rank").alias("pos")
     )
-    picked, small = measured(picked)
-    top = first_edges_per_node(edges, per_node, OUTGOING, picked, edge_order)
+    picked, small, held = measured(picked)
+    top = first_edges_per_node(edges, per_node, OUTGOING, held or picked, edge_order)
     far = nodes.select(
         F.col("node_id").alias("b"),
         F.col("label").alias("far_label"),
@@ -344,8 +346,8 @@ def sample_context(
     sample = sampled_nodes(nodes, edges, strategy, n, order).select(
         "node_id", "name", F.struct(*order).alias("pos")
     )
-    sample = pinned(sample, n)
-    rows = _sampled_texts(nodes, edges, sample, by, k, "compact", edge_order)
+    held = pinned(sample, n)
+    rows = _sampled_texts(nodes, edges, held.df, held, by, k, "compact", edge_order)
     return rows.agg(
         ordered_lines([F.col("pos")], F.col("summary"), "\n\n").alias("context")
     )
