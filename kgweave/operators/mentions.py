@@ -21,7 +21,7 @@ from kgweave.functions.sizing import one_row
 ANCHOR = 4  # characters at most that identify the beginning of a name
 BUCKETS = 1 << 16  # rows of the broadcast table at most
 LONG = 64  # lengths from here on share one entry
-CUTS = (1 << 15, 1 << 11, 1 << 6, 1)  # text cut sizes, in characters
+CUTS = (1 << 15, 1 << 11, 1 << 6)  # text cut sizes, in characters
 
 
 def name_terms(nodes: DataFrame, mode: str = "terms") -> DataFrame:
@@ -75,7 +75,8 @@ def _candidates(texts, nodes, mode, text_id, text) -> DataFrame:
     # At most BUCKETS rows of at most LONG + 1 small numbers each.
     anchors = (
         sized.select(
-            _bucket("key", anchor).alias("bucket"), F.least("n", F.lit(LONG)).alias("n")
+            _bucket("key", F.lit(1), anchor).alias("bucket"),
+            F.least("n", F.lit(LONG)).alias("n"),
         )
         .groupBy("bucket")
         .agg(F.collect_set("n").alias("lengths"))
@@ -90,10 +91,18 @@ def _candidates(texts, nodes, mode, text_id, text) -> DataFrame:
     # the n-th character of a string takes n steps.
     for step in CUTS:
         tails = _cut(tails, text_id, step)
-    started = tails.select(
-        text_id, "tail", F.explode(one_row(anchor_sizes)).alias("size")
-    ).select(text_id, "tail", _bucket("tail", F.col("size")).alias("bucket"))
-    matched = started.join(F.broadcast(anchors), "bucket")
+    starts = F.sequence(F.lit(1), F.greatest(F.col("span"), F.lit(1)))
+    started = tails.select(text_id, "tail", "width", F.explode(starts).alias("start"))
+    sizes = F.explode(one_row(anchor_sizes)).alias("size")
+    started = started.select(text_id, "tail", "width", "start", sizes)
+    # Only a start that may begin a name has its tail cut out of the piece.
+    matched = (
+        started.withColumn("bucket", _bucket("tail", F.col("start"), F.col("size")))
+        .join(F.broadcast(anchors), "bucket")
+        .select(
+            text_id, F.substring("tail", F.col("start"), F.col("width")).alias("tail"), "lengths"
+        )
+    )
     rest = F.sequence(F.lit(LONG), F.greatest(F.length("tail"), F.lit(LONG)))
     lengths = F.when(
         F.array_contains("lengths", LONG), F.array_union("lengths", rest)
@@ -118,16 +127,17 @@ def _spread(texts: DataFrame, text_id: str) -> DataFrame:
     return texts
 
 
-def _bucket(text: str, size: Column) -> Column:
-    """Bucket of the first ``size`` characters, apart for each size."""
-    return F.pmod(F.xxhash64(F.left(text, size), size), F.lit(BUCKETS))
+def _bucket(text: str, start: Column, size: Column) -> Column:
+    """Bucket of ``size`` characters from ``start``, apart for each size."""
+    beginning = F.substring(text, start, size)
+    return F.xxhash64(beginning, size).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _cut(tails: DataFrame, text_id: str, step: int) -> DataFrame:
     """Pieces that start every ``step`` characters and overlap by the width.
 
-    A piece is longer than its step; the next cut starts only within that
-    step, so every position of the text starts exactly one tail.
+    A piece is longer than its step; the next cut starts only within its
+    ``span``, so every position of the text starts exactly one tail.
     """
     span = F.length("tail") if step == CUTS[0] else F.col("span")
     starts = F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0)), F.lit(step))
