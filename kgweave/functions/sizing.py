@@ -101,13 +101,29 @@ def pinned(df: DataFrame, bound: int) -> Pinned:
 
 
 def measured(df: DataFrame) -> tuple[DataFrame, bool, Pinned | None]:
-    """A key table, whether it may be broadcast, and its rows when very few."""
+    """A table, whether it may be broadcast, and its rows when very few."""
     held = pinned(df, PUSHED_IDS + 1)
     if held.rows.num_rows <= PUSHED_IDS:
         return held.df, True, held
     return df, is_small(df), None
 
 
+def measured_keys(df: DataFrame) -> tuple[DataFrame, bool, Pinned | None]:
+    """The same for the distinct rows of a key table.
+
+    The plain rows are looked at first: reading a few stops early, and when
+    they are few so are the distinct ones.  Only a long table pays for a
+    distinct count.
+    """
+    held = pinned(df, PUSHED_IDS + 1)
+    if held.rows.num_rows <= PUSHED_IDS:
+        rows = held.rows.group_by(held.rows.column_names).aggregate([])
+        held = Pinned(df.sparkSession.createDataFrame(rows, df.schema), rows)
+        return held.df, True, held
+    keys = df.distinct()
+    return keys, is_small(df) or is_small(keys), None
+
+
 def as_seeds(
     spark: SparkSession,
     seeds: DataFrame | Iterable | Pinned | Seeds,
@@ -122,14 +138,12 @@ def as_seeds(
     if isinstance(seeds, Pinned):
         return as_seeds(spark, seeds.rows.column("node_id").to_pylist())
     if isinstance(seeds, DataFrame):
-        ids = (
-            seeds.select(F.col("node_id").alias("seed_id"))
-            .filter(F.col("seed_id").isNotNull())
-            .distinct()
+        ids = seeds.select(F.col("node_id").alias("seed_id")).filter(
+            F.col("seed_id").isNotNull()
         )
         if small is not None:
-            return Seeds(ids, small)
-        ids, small, held = measured(ids)
+            return Seeds(ids.distinct(), small)
+        ids, small, held = measured_keys(ids)
         if held is None:
             return Seeds(ids, small)
         return Seeds(ids, True, tuple(held.rows.column("seed_id").to_pylist()))

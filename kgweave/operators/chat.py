@@ -18,10 +18,14 @@ def _newest_first(k: int, conv: DataFrame) -> DataFrame:
 
 
 def last_turns(conv: DataFrame, k: int | None) -> DataFrame:
-    """Last k messages of each conversation, in order; all when k is None."""
-    if k is not None:
-        conv = _newest_first(k, conv).drop("_back")
-    return conv.orderBy("conv_id", "turn")
+    """Last k messages of each conversation, in order; all when k is None.
+
+    The cut leaves each conversation in one partition, where it is put back in
+    order; whole conversations, of any length, are range-sorted instead.
+    """
+    if k is None:
+        return conv.orderBy("conv_id", "turn")
+    return _newest_first(k, conv).drop("_back").sortWithinPartitions("conv_id", "turn")
 
 
 def append_turns(conv: DataFrame, new: DataFrame) -> DataFrame:

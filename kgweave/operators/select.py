@@ -12,7 +12,7 @@ from kgweave.functions.columns import (
     properties_or_empty,
     shown,
 )
-from kgweave.functions.sizing import as_seeds, measured
+from kgweave.functions.sizing import as_seeds, measured_keys
 from kgweave.model import ALL, BOTH, NODE_ORDER, OUTGOING, check_direction
 from kgweave.operators.joins import touching
 
@@ -90,9 +90,11 @@ def find_node_by_name(
 
 
 def _first_per_key(nodes, wanted, keys, order_by, small, how) -> DataFrame:
-    wanted = wanted.select(*keys).distinct()
+    wanted = wanted.select(*keys)
     if small is None:
-        wanted, small, _ = measured(wanted)
+        wanted, small, _ = measured_keys(wanted)
+    else:
+        wanted = wanted.distinct()
     # A name may be shared by a third of all nodes: aggregate with map-side
     # combine before the wanted keys are met on the shuffle.
     rows = nodes.join(F.broadcast(wanted), keys, "left_semi") if small else nodes

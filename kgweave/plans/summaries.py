@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions.columns import has_properties, ordered_lines, shown
-from kgweave.functions.sizing import as_seeds, hinted, measured, pinned
+from kgweave.functions.sizing import (
+    as_seeds,
+    hinted,
+    measured,
+    measured_keys,
+    pinned,
+)
 from kgweave.model import ALL, BOTH, EDGE_ORDER, NODE_ORDER, OUTGOING
 from kgweave.operators.select import find_node_by_name
 from kgweave.operators.stats import label_histogram
@@ -131,9 +137,9 @@ def node_summary_by_name(
 
     An unknown name gets the not-found sentence.
     """
-    names = names.select("name").distinct()
+    names = names.select("name")
     if small is None:
-        names, small, _ = measured(names)
+        names, small, _ = measured_keys(names)
     first = find_node_by_name(nodes, names, node_order, small).select("name", "node_id")
     held = None
     if small:
@@ -184,8 +190,8 @@ def category_summary(
     if labels is None:
         wanted, members = None, nodes
     elif isinstance(labels, DataFrame):
-        wanted = labels.select("label").filter(F.col("label").isNotNull()).distinct()
-        wanted, small, _ = measured(wanted)
+        wanted = labels.select("label").filter(F.col("label").isNotNull())
+        wanted, small, _ = measured_keys(wanted)
         members = nodes.join(hinted(wanted, small), "label", "left_semi")
     else:
         wanted = nodes.sparkSession.createDataFrame(
