@@ -161,21 +161,23 @@ def category_metrics(
     """Per label: its nodes, edge rows touching it, and the vertices of its
     subgraph (its nodes and their neighbours).
 
-    One pass: parallel edges are counted first, each pair of nodes then tells
-    both of its categories about the other end, and the distinct
-    ``(label, vertex)`` pairs are counted last.  A hub or a big label is spread
-    over its vertices until the final map-side combined sums.
+    One pass: each edge tells both of its categories about the other end, and
+    the distinct ``(label, vertex)`` pairs are counted last.  The joins with
+    the nodes feed other keys, so a hub's partition can be split; after them a
+    big label is spread over its vertices until the final map-side combined
+    sums.
     """
     known = nodes.select("node_id", "label")
-    pairs = edges.groupBy("source_node_id", "target_node_id").agg(
-        F.count("*").alias("_n")
-    )
+    ends = edges.select("source_node_id", "target_node_id")
+    if labels is not None:
+        members = as_seeds(nodes.sparkSession, known.filter(F.col("label").isin(*labels)))
+        ends = members.restrict(ends, "source_node_id", "target_node_id")
     for end in ("source", "target"):
-        ends = known.select(
+        side = known.select(
             F.col("node_id").alias(f"_{end}"),
             F.col("label").alias(f"_{end}_label"),
         )
-        pairs = pairs.join(ends, F.col(f"{end}_node_id") == F.col(f"_{end}"), "left")
+        ends = ends.join(side, F.col(f"{end}_node_id") == F.col(f"_{end}"), "left")
 
     def touch(own: str, other: str, connections):
         return F.struct(
@@ -185,20 +187,19 @@ def category_metrics(
             F.lit(0).alias("member"),
         )
 
-    same = F.col("_source_label") == F.col("_target_label")
-    once = F.when(same, F.lit(0)).otherwise(F.col("_n"))
-    touches = pairs.select(
+    inside = F.col("_source_label").eqNullSafe(F.col("_target_label"))
+    touches = ends.select(
         F.inline(
             F.array(
-                touch("source", "target", F.col("_n")),
-                touch("target", "source", F.coalesce(once, F.col("_n"))),
+                touch("source", "target", F.lit(1)),
+                touch("target", "source", F.when(inside, 0).otherwise(1)),
             )
         )
     )
     members = known.select(
         "label",
         F.col("node_id").alias("id"),
-        F.lit(0).cast("bigint").alias("connections"),
+        F.lit(0).alias("connections"),
         F.lit(1).alias("member"),
     )
     rows = touches.unionByName(members).filter(F.col("label").isNotNull())

@@ -56,7 +56,10 @@ def first_edges_per_node(
         near = as_seeds(edges.sparkSession, seeds, small)
         thinned = near.restrict(edges, "source_node_id", "target_node_id")
         half = near.restrict(half_edges(thinned, direction, *extra), "a")
+    # Seen from one end, the default order is that of the other end.
     order = [HALF_NAMES.get(c, c) for c in order_by]
+    if order_by == EDGE_ORDER:
+        order = ["b", "relation"]
     ranked = first_per_group(
         half.filter(F.col("a").isNotNull()), ["a", "phase"], order, k
     ).drop(*extra)

@@ -129,6 +129,7 @@ def test_hubs_are_split(spark, hub):
             joins.join_target(edges, nodes),
             joins.join_source(edges, nodes),
             joins.touching(edges, nodes, small=False),
+            stats.category_metrics(nodes, edges),
             extract.category_graph(nodes, edges, "Hot", small=False).vertices,
         ):
             df.toArrow()
