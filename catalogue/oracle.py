@@ -81,6 +81,8 @@ sql(
     min(l_linestatus || '/' || l_partkey) AS name FROM lineitem GROUP BY 1""",
 )
 
+sql("snapshot", ACTIVITY, f"SELECT {EDGE} FROM e")
+
 # --- selection --------------------------------------------------------------
 
 sql("labels_raw", REVIEW, "SELECT DISTINCT label FROM n")
@@ -252,6 +254,12 @@ sql(
 )
 sql("category_metrics", SUPPLY, METRIC_ROWS, METRICS)
 sql("category_metrics_dangling", REVIEW, METRIC_ROWS, METRICS)
+sql(
+    "category_metrics_one",
+    ACTIVITY,
+    f"SELECT * FROM ({METRIC_ROWS}) WHERE label = 'BUILDING'",
+    METRICS,
+)
 sql(
     "subgraph_size",
     SUPPLY,
@@ -295,6 +303,18 @@ TOUCHES = """t AS (
 x AS (
   SELECT t.*, s.label AS a_label, s.name AS a_name, f.label AS b_label, f.name AS b_name
   FROM t JOIN n s ON a = s.node_id JOIN n f ON b = f.node_id)"""
+sql(
+    "both_directions",
+    ACTIVITY,
+    "SELECT a, b, phase, u AS source, v AS target, r AS relation FROM t",
+    TOUCHES,
+)
+sql(
+    "merge_vertices",
+    ACTIVITY,
+    "SELECT b AS id, max(u) AS source FROM t GROUP BY b",
+    TOUCHES,
+)
 EGO = """SELECT a AS seed_id, u AS source, v AS target, max(r) AS label,
     any_value(b_name) AS title FROM x WHERE {} GROUP BY a, u, v"""
 sql("ego_out", ACTIVITY, EGO.format("a_label = 'BUILDING' AND phase = 0"), TOUCHES)
@@ -394,6 +414,13 @@ sql(
     FROM k WHERE rk <= 5""",
     RANKED,
 )
+sql(
+    "text_lines",
+    SUPPLY,
+    """SELECT a, string_agg(r, ', ' ORDER BY rk) AS relations FROM k
+    WHERE phase = 0 AND rk <= 5 GROUP BY a""",
+    RANKED,
+)
 TOP15 = """top AS (SELECT node_id FROM d
   ORDER BY out_degree + in_degree DESC NULLS LAST, node_id LIMIT 15)"""
 sql(
@@ -446,8 +473,7 @@ BY_NAME = """byname AS (SELECT name, min(node_id) AS first_id FROM n GROUP BY na
 sql(
     "node_summary",
     SUPPLY,
-    """SELECT node_id, summary FROM t10 WHERE node_id IN
-    (SELECT node_id FROM n WHERE label IN ('Customer', 'Part'))""",
+    "SELECT node_id, summary FROM t10",
     RANKED,
     texts("t10", 10),
 )
@@ -556,6 +582,7 @@ LAST = """SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER
     (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= {}"""
 sql("last_turns_8", None, LAST.format(8))
 sql("last_turns_5", None, LAST.format(5))
+sql("last_turns_all", None, "SELECT conv_id, turn, role, text FROM conversations")
 sql(
     "append_turns",
     None,
@@ -719,7 +746,7 @@ def payload_oracles(presets: dict[str, dict]) -> None:
             None,
             f"""SELECT conv_id * 8 + turn AS question_id, json_object('inputs', text,
             'parameters', json_object({pairs}))::VARCHAR AS payload
-            FROM conversations WHERE role = 'user'""",
+            FROM conversations""",
         )
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.functions.columns import narrow_types, to_native
+from kgweave.functions.columns import narrow_types, ordered_lines, to_native
 from kgweave.functions.sizing import one_row
 from kgweave.model import ALL, BOTH, INCOMING, OUTGOING, Graph
 from kgweave.operators import chat, extract, joins, mentions, select, stats, topk
@@ -106,6 +106,14 @@ def export_vis(g):
     )
 
 
+@activity
+def snapshot(g):
+    """Written as parquet and read back."""
+    spark = g.nodes.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return tables.snapshot(g, f"{shared}/snapshot-{uuid.uuid4().hex}").edges
+
+
 @supply
 def vis_vertices(g):
     return tables.vis_vertices(extract.category_graph(*g, "Nation", True).vertices)
@@ -331,9 +339,30 @@ def distinct_terms(g):
     return stats.distinct_terms(g.nodes)
 
 
+@activity
+def category_metrics_one(g):
+    return stats.category_metrics(*g, ["BUILDING"])
+
+
 # --- extraction -------------------------------------------------------------
 
 
+@activity
+def both_directions(g):
+    return joins.half_edges(g.edges, BOTH)
+
+
+@activity
+def merge_vertices(g):
+    """Per customer the last event that touched it, and its largest source."""
+    touches = joins.half_edges(g.edges, BOTH).select(
+        F.col("b").alias("id"), "relation", "phase", F.col("a").alias("seed"), "source"
+    )
+    return extract.merge_vertices(touches, ["seed", "phase", "relation"], ["source"]).select(
+        "id", "source"
+    )
+
+
 @supply
 def simple_digraph(g):
     return extract.simple_digraph(g.edges)
@@ -452,9 +481,17 @@ def category_sample_all(g):
 # --- summaries --------------------------------------------------------------
 
 
+@supply
+def text_lines(g):
+    """The relations of each node's first edges, in order, on one line."""
+    top = topk.first_edges_per_node(g.edges, 5, OUTGOING)
+    lines = ordered_lines([F.col("rank")], F.col("relation"), ", ")
+    return top.groupBy("a").agg(lines.alias("relations"))
+
+
 @supply
 def node_summary(g):
-    return summaries.node_summary(*g, labelled(g, "Customer", "Part"))
+    return summaries.node_summary(*g, g.nodes)
 
 
 @supply
@@ -523,6 +560,11 @@ def last_turns_5(spark, sf_dir):
     return chat.last_turns(table(spark, sf_dir, "conversations"), 5)
 
 
+@query
+def last_turns_all(spark, sf_dir):
+    return chat.last_turns(table(spark, sf_dir, "conversations"), None)
+
+
 @query
 def append_turns(spark, sf_dir):
     """Every benchmark item asked in the conversation of its number."""
@@ -672,7 +714,7 @@ def prompts_strict(spark, sf_dir):
 
 def _payload(spark, sf_dir, preset):
     conv = table(spark, sf_dir, "conversations")
-    texts = conv.filter(F.col("role") == "user").select(
+    texts = conv.select(
         (F.col("conv_id") * 8 + F.col("turn")).alias("question_id"),
         F.col("text").alias("prompt"),
     )

@@ -46,7 +46,7 @@ def append_turns(conv: DataFrame, new: DataFrame) -> DataFrame:
 
 def clear_history(conv: DataFrame, cleared: DataFrame) -> DataFrame:
     """Drop every turn of the cleared conversations."""
-    return conv.join(cleared.select("conv_id"), "conv_id", "left_anti")
+    return conv.join(cleared.select("conv_id").distinct(), "conv_id", "left_anti")
 
 
 def previous_turns(conv: DataFrame) -> DataFrame:

@@ -23,8 +23,15 @@ from kgweave.operators.stats import (
 )
 from kgweave.plans.summaries import category_summary, node_summary_by_name
 
+# Texts that stand in for an answer or a context.
 NO_CONTEXT = "No specific node data available."
 CATEGORY_VIEW = "Category Overview"
+NO_TEXT = "No response received"
+NOT_JSON = "Llama query failed: the body is not JSON"
+REFUSED = "Llama API Error: "
+REFUSED_COMPACT = "LLM Error "
+NO_TEXT_KEYS = "Response received but couldn't extract text. Keys found: "
+NO_TEXT_KEYS_COMPACT = "Unexpected format: "
 
 # Prompt texts by what they offer the model; the slots name columns.
 TEMPLATES = {
@@ -234,27 +241,26 @@ def parse_response(responses: DataFrame, mode: str = "strict") -> DataFrame:
     key_list = F.when(F.size(keys) == 0, "[]").otherwise(key_list)
     readable = F.expr("try_parse_json(body)").isNotNull()
     status = F.col("status").cast("string")
-    failed = "Llama query failed: the body is not JSON"
-    refused = F.concat(F.lit("Llama API Error: "), status, F.lit(" - "), shown(body))
+    refused = F.concat(F.lit(REFUSED), status, F.lit(" - "), shown(body))
     if mode == "early":
         text = (
-            F.when(~readable, failed)
-            .when(length > 0, F.coalesce(in_list, F.lit("No response received")))
+            F.when(~readable, NOT_JSON)
+            .when(length > 0, F.coalesce(in_list, F.lit(NO_TEXT)))
             .when(in_object.isNotNull(), in_object)
             .when(
                 F.array_contains(keys, "choices"),
-                F.coalesce(in_choices, F.lit("No response received")),
+                F.coalesce(in_choices, F.lit(NO_TEXT)),
             )
             .otherwise(body)
         )
         answer = F.when(F.col("status") == 200, text).otherwise(refused)
     elif mode == "strict":
         report = F.concat(
-            F.lit("Response received but couldn't extract text. Keys found: "),
+            F.lit(NO_TEXT_KEYS),
             F.when(keys.isNotNull(), key_list).otherwise("Not a dict"),
         )
         text = (
-            F.when(~readable, failed)
+            F.when(~readable, NOT_JSON)
             .when((length > 0) & (in_list != ""), in_list)
             .when(keys.isNotNull() & in_object.isNotNull(), in_object)
             .otherwise(report)
@@ -262,7 +268,7 @@ def parse_response(responses: DataFrame, mode: str = "strict") -> DataFrame:
         answer = F.when(F.col("status") == 200, text).otherwise(refused)
     elif mode == "compact":
         report = F.concat(
-            F.lit("Unexpected format: "),
+            F.lit(NO_TEXT_KEYS_COMPACT),
             F.when(keys.isNotNull(), key_list).otherwise("not an object"),
         )
         text = (
@@ -271,7 +277,7 @@ def parse_response(responses: DataFrame, mode: str = "strict") -> DataFrame:
             .otherwise(report)
         )
         answer = F.when(F.col("status") < 400, text).otherwise(
-            F.concat(F.lit("LLM Error "), status, F.lit(": "), shown(body))
+            F.concat(F.lit(REFUSED_COMPACT), status, F.lit(": "), shown(body))
         )
     else:
         raise ValueError(f"unknown mode {mode!r}")

@@ -258,3 +258,20 @@ def test_most_connected_may_lack_a_node(nodes, edges):
 def test_direction_is_checked(nodes, edges):
     with pytest.raises(ValueError, match="direction"):
         extract.ego(nodes, edges, [1], "Sideways")
+
+
+def test_text_ids_are_quoted(spark, rows):
+    names = ["it's", 'a "b"', "back\\slash", "new\nline"]
+    nodes = spark.createDataFrame(
+        [(n, "L", n) for n in names], "node_id string, label string, name string"
+    )
+    edges = spark.createDataFrame(
+        [(a, b, "to") for a, b in zip(names, names[1:])],
+        "source_node_id string, target_node_id string, relation_type string",
+    )
+    assert joins.touching(edges, names).count() == 3
+    for name in names:
+        graph = extract.ego(nodes, edges, nodes.filter(F.col("name") == name))
+        found = {r["id"] for r in graph.vertices.collect()}
+        i = names.index(name)
+        assert found == set(names[max(i - 1, 0) : i + 2])
