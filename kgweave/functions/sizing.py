@@ -65,9 +65,7 @@ class Seeds(NamedTuple):
         through and the operator's final join with the seeds does the work.
         """
         if self.pushable:
-            # One parsed text: a call per id would cost more than the query.
-            ids = ", ".join(_literal(v) for v in self.values) or "NULL"
-            return df.filter(" OR ".join(f"`{key}` IN ({ids})" for key in keys))
+            return self.prune(df, *keys)
         if not self.small:
             return df
         if len(keys) == 1:
@@ -79,6 +77,17 @@ class Seeds(NamedTuple):
             hit = hit | F.col(f"_id{i}").isNotNull()
         return df.filter(hit).drop(*(f"_id{i}" for i in range(len(keys))))
 
+    def prune(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``restrict`` by the predicate that a scan can evaluate, if any.
+
+        For rows that meet the seeds again before their first shuffle.
+        """
+        if not self.pushable:
+            return df
+        # One parsed text: a call per id would cost more than the query.
+        ids = ", ".join(_literal(v) for v in self.values) or "NULL"
+        return df.filter(" OR ".join(f"`{key}` IN ({ids})" for key in keys))
+
     def keep(self, df: DataFrame, key: str) -> DataFrame:
         """Rows whose key is a seed."""
         if self.pushable:

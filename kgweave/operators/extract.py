@@ -24,7 +24,7 @@ from kgweave.model import (
     Subgraph,
     check_direction,
 )
-from kgweave.operators.joins import half_edges
+from kgweave.operators.joins import half_edges, near_ends
 from kgweave.operators.select import filter_label, vertex_columns
 
 # Vertex styles of the category view.
@@ -75,10 +75,13 @@ def _collapsed(
 
     Small seed sets have already thinned them to the seeds' edges.
     """
-    near = seeds.restrict(edges, "source_node_id", "target_node_id")
+    near = seeds.restrict(edges, *near_ends(direction))
     keep = list(dict.fromkeys([*EDGE_ORDER, *order_by]))
     simple = simple_digraph(near.select(*keep), order_by)
-    half = seeds.restrict(half_edges(simple, direction), "a")
+    half = half_edges(simple, direction)
+    if direction == BOTH:
+        # The other end of a kept edge need not be a seed.
+        half = seeds.restrict(half, "a")
     half = half.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     if not reverse_incoming:
         # A self-loop is seen twice from the same end: keep the outgoing view.
@@ -99,7 +102,7 @@ def _seed_nodes(nodes: DataFrame, seeds: Seeds) -> DataFrame:
 
 def _neighbours(edges: DataFrame, seeds: Seeds, direction: str) -> DataFrame:
     """Distinct pairs of a node ``a`` and another node ``b`` next to it."""
-    near = seeds.restrict(edges, "source_node_id", "target_node_id")
+    near = seeds.prune(edges, *near_ends(direction))
     pairs = seeds.restrict(half_edges(near, direction).select("a", "b"), "a")
     return pairs.filter(F.col("a") != F.col("b")).distinct()
 
@@ -236,7 +239,7 @@ def category_graph(
     )
     near = hinted(near, seeds.small)
     half = _collapsed(edges, seeds, BOTH, edge_order).join(near, "a")
-    thinned = seeds.restrict(edges, "source_node_id", "target_node_id")
+    thinned = seeds.prune(edges, "source_node_id", "target_node_id")
     touches = half_edges(thinned, BOTH).select("a", "b", "phase").join(near, "a")
 
     other = shown(F.col("far_name"))

@@ -83,6 +83,13 @@ def seed_names(edges: DataFrame, nodes: DataFrame, side: str = "source") -> Data
     return edges.join(names, F.col(f"{side}_node_id") == F.col("_seed")).drop("_seed")
 
 
+def near_ends(direction: str) -> tuple[str, ...]:
+    """The edge columns that hold the end an edge is seen from."""
+    outgoing = ("source_node_id",) if direction in (OUTGOING, BOTH) else ()
+    incoming = ("target_node_id",) if direction in (INCOMING, BOTH) else ()
+    return outgoing + incoming
+
+
 def half_edges(edges: DataFrame, direction: str, *extra: str) -> DataFrame:
     """Edges seen from one end: ``(a, b, phase, source, target, relation)``.
 

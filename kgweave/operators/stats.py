@@ -96,7 +96,7 @@ def edge_count(
     }.get(direction)
     if counted is None:
         return seeds.ids.select("seed_id", F.lit(0).cast("bigint").alias("edge_count"))
-    near = seeds.restrict(edges, "source_node_id", "target_node_id")
+    near = seeds.prune(edges, "source_node_id", "target_node_id")
     per_node = (
         seeds.restrict(_ends(near), "node_id")
         .groupBy("node_id")
@@ -110,7 +110,7 @@ def edge_count(
 def edge_counts(edges: DataFrame, seeds, small: bool | None = None) -> DataFrame:
     """All three directions per seed from one pass over the edges."""
     seeds = as_seeds(edges.sparkSession, seeds, small)
-    near = seeds.restrict(edges, "source_node_id", "target_node_id")
+    near = seeds.prune(edges, "source_node_id", "target_node_id")
     per_node = (
         seeds.restrict(_ends(near), "node_id")
         .groupBy("node_id")

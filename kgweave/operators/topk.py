@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kgweave.functions.sizing import as_seeds, pinned
 from kgweave.model import BOTH, EDGE_ORDER, NODE_ORDER
-from kgweave.operators.joins import half_edges, semi_ids
+from kgweave.operators.joins import half_edges, near_ends, semi_ids
 from kgweave.operators.select import filter_label
 from kgweave.operators.stats import two_sided_degree
 
@@ -54,7 +54,7 @@ def first_edges_per_node(
         near = None
     else:
         near = as_seeds(edges.sparkSession, seeds, small)
-        thinned = near.restrict(edges, "source_node_id", "target_node_id")
+        thinned = near.prune(edges, *near_ends(direction))
         half = near.restrict(half_edges(thinned, direction, *extra), "a")
     # Seen from one end, the default order is that of the other end.
     order = [HALF_NAMES.get(c, c) for c in order_by]
