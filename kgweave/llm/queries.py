@@ -4,8 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgweave.llm.common import table
+from kgweave.llm.common import Scratch, table
 from kgweave.llm.quality_rules import quality_rules
+from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
+
+
+def token_file() -> str:
+    """The public tokenizer's file; its place is the public package's."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op4").path("orc")
+    write_tokens(table(spark, sf_dir, "documents"), path, token_file())
+    return with_crc32(read_tokens(spark, path))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +28,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op4_token_orc": op4_token_orc,
     "op7_quality_rules": op7_quality_rules,
 }
 
