@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kgweave.llm.common import Scratch, table
+from kgweave.llm.decontaminate import decontaminate
+from kgweave.llm.oracle import ORACLE
 from kgweave.llm.quality_rules import quality_rules
 from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
+
+
 def token_file() -> str:
     """The public tokenizer's file; its place is the public package's."""
     import public_tokenizers
@@ -28,8 +34,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_orc": op4_token_orc,
     "op7_quality_rules": op7_quality_rules,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE = dict(ORACLE)
