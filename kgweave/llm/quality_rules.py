@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgweave.llm.common import Words, span_hashes, text_chunks, windows
+from kgweave.llm.common import Scratch, Words, span_hashes, text_chunks, windows
 
 #: The symbols counted by the base rule, [#*$%&|<>].
 SYMBOLS = b"#*$%&|<>"
@@ -161,23 +161,21 @@ def _fences(parts: DataFrame, prefix: str) -> DataFrame:
 
 
 def thresholds(parts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Per (lang, source) the cutoffs limit_<ratio>, from the smallest group with `min_rows`."""
+    """Per (lang, source) the cutoffs limit_<ratio>, from the smallest group with `min_rows`.
+
+    `parts` is read more than once: pass a written table.
+    """
     by_lang = _merged(parts, "lang")
     own, lang = _fences(parts, "own_"), _fences(by_lang, "lang_")
-    whole = _fences(_merged(by_lang.withColumn("all", F.lit(1)), "all"), "all_")
-    joined = (
-        own.join(lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-        .drop("l")
-        .withColumn("one", F.lit(1))
-        .join(whole.withColumn("one", F.lit(1)), "one")
-    )
+    whole = _fences(_merged(by_lang), "all_").first()
+    joined = own.join(lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     return joined.select(
         "lang",
         "source",
         *[
             F.when(F.col("own_rows") >= min_rows, F.col(f"own_{r.ratio}"))
             .when(F.col("lang_rows") >= min_rows, F.col(f"lang_{r.ratio}"))
-            .otherwise(F.col(f"all_{r.ratio}"))
+            .otherwise(F.lit(whole[f"all_{r.ratio}"]).cast("double"))
             .alias(f"limit_{r.ratio}")
             for r in RULES
         ],
@@ -208,4 +206,5 @@ def quality_rules(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     clash = {"base_failed", "kept", *(f"limit_{r.ratio}" for r in RULES), "limit_lang", "limit_source"}
     plain = docs.drop(*(clash & set(docs.columns)))
     narrow = measure(plain.select("text", "lang", "source"))
-    return judge(measure(plain), thresholds(sketches(narrow), min_rows))
+    parts = Scratch(docs.sparkSession, "quality").save(sketches(narrow), "sketches")
+    return judge(measure(plain), thresholds(parts, min_rows))
