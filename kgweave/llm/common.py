@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -51,9 +52,16 @@ class Scratch:
         return f"{self.root}/{self.count}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        at = self.path(name)
+        at, schema = self.path(name), df.schema
         df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        del df
+        self.release()
+        return self.spark.read.schema(schema).parquet(at)
+
+    def release(self) -> None:
+        """Let the driver forget finished shuffles, so that their files go from the executors' disks."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
@@ -173,3 +181,35 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         hi = max(lo + 1, int(np.searchsorted(where, where[lo] + CHUNK_BYTES, "right")) - 1)
         yield lo, hi, data[where[lo] : where[hi]], where[lo : hi + 1] - where[lo]
         lo = hi
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """v, comp: the smallest vertex reachable over `links` (a, b), for every vertex with a link.
+
+    Contraction: every component hooks onto its smallest neighbour, pointers are
+    halved until they rest, links are relabelled and inner ones dropped.  Each
+    round at least halves the components that still have links; nothing but row
+    counts comes to the driver.
+    """
+    pairs = links.select("a", "b")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = scratch.save(both.filter(F.col("a") != F.col("b")).distinct(), "edges")
+    labels = scratch.save(edges.select(F.col("a").alias("v"), F.col("a").alias("comp")).distinct(), "labels")
+    while edges.take(1):
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        up = scratch.save(low.select(F.col("a").alias("v"), F.least("a", "m").alias("p")), "parents")
+        while True:
+            over = up.select(F.col("v").alias("w"), F.col("p").alias("pp"))
+            jumped = up.join(over, F.col("p") == F.col("w"), "left").select("v", F.coalesce("pp", "p").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
+            held = scratch.save(jumped, "jumped")
+            up = held.select("v", "p")
+            if not held.filter("moved").take(1):
+                break
+        root = up.select(F.col("v").alias("c"), F.col("p").alias("root"))
+        labels = scratch.save(
+            labels.join(root, F.col("comp") == F.col("c"), "left").select("v", F.coalesce("root", "comp").alias("comp")), "labels"
+        )
+        ra, rb = root.withColumnsRenamed({"c": "a", "root": "ra"}), root.withColumnsRenamed({"c": "b", "root": "rb"})
+        moved = edges.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        edges = scratch.save(moved.filter(F.col("a") != F.col("b")).distinct(), "edges")
+    return labels

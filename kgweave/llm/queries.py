@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgweave.llm.common import Scratch, table
 from kgweave.llm.decontaminate import decontaminate
+from kgweave.llm.jaccard_join import jaccard_classes
 from kgweave.llm.oracle import ORACLE
 from kgweave.llm.quality_rules import quality_rules
 from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
@@ -28,6 +29,10 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_tokens(spark, path))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules(docs).drop("text", "lang", "source", "n_lines")
@@ -36,6 +41,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_orc": op4_token_orc,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
 }
 
