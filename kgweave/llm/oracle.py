@@ -20,5 +20,41 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op6_preference_chat": r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS pos,
+    coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+told AS (SELECT conv_id, max(pos) AS n, coalesce(max(CASE WHEN role = 'assistant' THEN pos END), 0) AS last FROM t GROUP BY conv_id),
+reply AS (SELECT t.conv_id - 1 AS conv_id, role, text FROM t JOIN told ON t.conv_id = told.conv_id AND pos = last),
+sides AS (
+  SELECT conv_id, 'chosen' AS side, pos, role, text FROM t
+  UNION ALL SELECT t.conv_id, 'rejected', pos, role, text FROM t JOIN told USING (conv_id) WHERE last = 0 OR pos < last
+  UNION ALL SELECT reply.conv_id, 'rejected', last, role, text FROM reply JOIN told USING (conv_id) WHERE last > 0),
+differ AS (
+  SELECT conv_id, min(pos) AS first FROM (
+    SELECT conv_id, pos FROM sides GROUP BY conv_id, pos
+    HAVING count(*) < 2 OR min(role) <> max(role) OR min(text) <> max(text)) GROUP BY conv_id),
+cut AS (
+  SELECT conv_id, coalesce(first - 1, n) AS n_prompt FROM told LEFT JOIN differ USING (conv_id)),
+rendered AS (
+  SELECT s.*, n_prompt, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head,
+    replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body FROM sides s JOIN cut USING (conv_id)),
+prompts AS (
+  SELECT conv_id, string_agg(head || body, '' ORDER BY pos) AS prompt FROM rendered WHERE side = 'chosen' AND pos <= n_prompt GROUP BY conv_id),
+placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, side ORDER BY pos) - length(body) AS start
+  FROM rendered WHERE pos > n_prompt),
+done AS (
+  SELECT conv_id, side, string_agg(head || body, '' ORDER BY pos) AS completion,
+    string_agg(start::BIGINT::VARCHAR || ':' || (start + length(body))::BIGINT::VARCHAR, ',' ORDER BY pos) FILTER (role = 'assistant') AS spans
+  FROM placed GROUP BY conv_id, side)
+SELECT conv_id, n_prompt::BIGINT AS n_prompt_turns, coalesce(prompt, '') AS prompt,
+  coalesce(c.completion, '') AS chosen, coalesce(c.spans, '') AS chosen_spans,
+  coalesce(r.completion, '') AS rejected, coalesce(r.spans, '') AS rejected_spans,
+  c.completion IS NULL AND r.completion IS NULL AS identical
+FROM cut LEFT JOIN prompts USING (conv_id)
+  LEFT JOIN (SELECT * FROM done WHERE side = 'chosen') c USING (conv_id)
+  LEFT JOIN (SELECT * FROM done WHERE side = 'rejected') r USING (conv_id)
 """,
 }

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgweave.llm.common import Scratch, table
 from kgweave.llm.decontaminate import decontaminate
+from kgweave.llm.html_extract import extract_pages
 from kgweave.llm.jaccard_join import jaccard_classes
 from kgweave.llm.oracle import ORACLE
+from kgweave.llm.preference_chat import borrowed_pairs, format_preferences, spans_text
 from kgweave.llm.quality_rules import quality_rules
 from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
 
@@ -33,15 +39,22 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = format_preferences(borrowed_pairs(table(spark, sf_dir, "conversations")))
+    return pairs.withColumns({c: spans_text(pairs[c]) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules(docs).drop("text", "lang", "source", "n_lines")
 
 
 LLM_QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_orc": op4_token_orc,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_preference_chat": op6_preference_chat,
     "op7_quality_rules": op7_quality_rules,
 }
 
