@@ -11,6 +11,7 @@ from kgweave.llm.jaccard_join import jaccard_classes
 from kgweave.llm.oracle import ORACLE
 from kgweave.llm.preference_chat import borrowed_pairs, format_preferences, spans_text
 from kgweave.llm.quality_rules import quality_rules
+from kgweave.llm.secret_scan import find_secrets
 from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
 
 
@@ -18,6 +19,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
 
@@ -51,6 +56,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_orc": op4_token_orc,
     "op5_jaccard_join": op5_jaccard_join,
