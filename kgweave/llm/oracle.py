@@ -1,6 +1,45 @@
 """DuckDB SQL of the queries that SQL can say."""
 
+
+def _raking(rounds: int = 12) -> str:
+    """Rounds of raking over source, lang and topic, each margin a window sum."""
+    powers = {"source": 0.7, "lang": 0.7, "topic": 0.9}
+    goals = ", ".join(
+        f"(sum(tokens) OVER (PARTITION BY {d})) AS margin_{d}" for d in powers
+    )
+    weights = ", ".join(
+        f"power(margin_{d}, {p}) / (SELECT sum(power(t, {p})) FROM (SELECT sum(tokens) AS t FROM cells GROUP BY {d})) "
+        f"* 0.7 * (SELECT sum(tokens) FROM cells) AS goal_{d}"
+        for d, p in powers.items()
+    )
+    steps, last = [], "start"
+    for i in range(rounds):
+        for d in powers:
+            name = f"r{i}_{d}"
+            ratio = f"CASE WHEN sum(tokens * least(factor, 1.0)) OVER (PARTITION BY {d}) > 0 THEN goal_{d} / sum(tokens * least(factor, 1.0)) OVER (PARTITION BY {d}) ELSE 1.0 END"
+            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (least(factor * {ratio}, 1e6) AS factor) FROM {last})")
+            last = name
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT *, coalesce(source, '') AS s, coalesce(lang, '') AS l,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+described AS MATERIALIZED (
+  SELECT *, CASE WHEN text IS NULL THEN 'none'
+    WHEN 8 * length(regexp_replace(text, '[^|]', '', 'g')) >= n_tokens THEN CASE WHEN length(text) > 0 THEN 'list' ELSE 'none' END
+    WHEN upper(text) = text THEN 'caps' ELSE 'prose' END AS topic FROM docs),
+cells AS MATERIALIZED (
+  SELECT s AS source, l AS lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM described GROUP BY ALL),
+margins AS (SELECT *, {goals} FROM cells),
+start AS MATERIALIZED (SELECT *, {weights}, 0.7::DOUBLE AS factor FROM margins),
+{", ".join(steps)}
+SELECT doc_id, d.lang, d.source, d.topic, n_tokens, round(least(factor, 1.0), 6) AS probability,
+  ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < least(factor, 1.0) AS kept
+FROM described d JOIN {last} c ON d.s = c.source AND d.l = c.lang AND d.topic = c.topic
+"""
+
+
 ORACLE = {
+    "op10_raking": _raking(),
     "op3_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

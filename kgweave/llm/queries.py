@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kgweave.llm.common import Scratch, table
 from kgweave.llm.decontaminate import decontaminate
@@ -11,6 +12,7 @@ from kgweave.llm.jaccard_join import jaccard_classes
 from kgweave.llm.oracle import ORACLE
 from kgweave.llm.preference_chat import borrowed_pairs, format_preferences, spans_text
 from kgweave.llm.quality_rules import quality_rules
+from kgweave.llm.raking import mix_to_targets
 from kgweave.llm.secret_scan import find_secrets
 from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
 
@@ -54,6 +56,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("text", "lang", "source", "n_lines")
 
 
+def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mix_to_targets(docs).drop("text")
+    return mixed.withColumn("probability", F.round("probability", 6))
+
+
 LLM_QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_secret_scan": op2_secret_scan,
@@ -64,4 +72,6 @@ LLM_QUERIES = {
     "op7_quality_rules": op7_quality_rules,
 }
 
+LLM_QUERIES["op10_raking"] = op10_raking
+
 LLM_ORACLE = dict(ORACLE)
