@@ -166,8 +166,8 @@ def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(total[at]), at
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and end row, bytes and offsets of runs of rows of about CHUNK_BYTES; null is empty."""
+def text_chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and end row, bytes and offsets of runs of rows of about `size` bytes; null is empty."""
     if not len(texts):
         return
     if texts.null_count:
@@ -178,7 +178,7 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(where, where[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(where, where[lo] + size, "right")) - 1)
         yield lo, hi, data[where[lo] : where[hi]], where[lo : hi + 1] - where[lo]
         lo = hi
 

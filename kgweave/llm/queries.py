@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.llm.common import Scratch, table
+from kgweave.llm.context_mixing import score_documents
 from kgweave.llm.decontaminate import decontaminate
 from kgweave.llm.html_extract import extract_pages
 from kgweave.llm.jaccard_join import jaccard_classes
@@ -56,6 +57,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("text", "lang", "source", "n_lines")
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = mix_to_targets(docs).drop("text")
@@ -72,6 +77,7 @@ LLM_QUERIES = {
     "op7_quality_rules": op7_quality_rules,
 }
 
+LLM_QUERIES["op8_context_mixing"] = op8_context_mixing
 LLM_QUERIES["op10_raking"] = op10_raking
 
 LLM_ORACLE = dict(ORACLE)
