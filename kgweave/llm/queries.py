@@ -15,6 +15,7 @@ from kgweave.llm.preference_chat import borrowed_pairs, format_preferences, span
 from kgweave.llm.quality_rules import quality_rules
 from kgweave.llm.raking import mix_to_targets
 from kgweave.llm.secret_scan import find_secrets
+from kgweave.llm.suffix_dedup import remove_repeats
 from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
 
 
@@ -61,6 +62,10 @@ def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = mix_to_targets(docs).drop("text")
@@ -78,6 +83,7 @@ LLM_QUERIES = {
 }
 
 LLM_QUERIES["op8_context_mixing"] = op8_context_mixing
+LLM_QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 LLM_QUERIES["op10_raking"] = op10_raking
 
 LLM_ORACLE = dict(ORACLE)
