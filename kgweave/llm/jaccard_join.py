@@ -15,9 +15,11 @@ holds for every order, so the filters of several orders intersect:
 
 Equal sets are one class from the start.  Only classes of links are wanted, so
 pairs already connected need no verification: each token's documents are first
-held against one pivot; what that connects is merged; other pivots follow; then
-every pair that shares a prefix token and is still apart is verified.  Nothing is
-capped, and no pair that could link two classes is left out.
+held against one pivot, and what that connects is merged.  A token of one class
+alone cannot link classes any more, so frequencies, prefixes and the sets still in
+play are made anew, under new orders, and other pivots follow.  At last every pair
+that is still apart and passes the filters is verified.  Nothing is capped, and no
+pair that could link two classes is left out.
 """
 
 from __future__ import annotations
@@ -173,23 +175,40 @@ def _need(n, threshold: int):
     return F.ceil(n * threshold / F.lit(100)).cast("int")
 
 
-def _records(tokens: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
-    """sig, n, toks (tokens that other sets share, rarest first), pre_a, pre_b (prefixes of two orders)."""
-    df = scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
-    ranked = tokens.join(df, "token").groupBy("sig", "n").agg(F.collect_set(F.struct("df", "token")).alias("ranked"))
-    missing = F.col("n") - F.size("ranked")
-    # Tokens of one set alone come first in both orders and take their places of the prefix.
-    left = (F.col("n") - _need(F.col("n"), threshold) + 1 - missing).cast("int")
+def _records(ranked: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """sig, n, comp, toks (tokens that other classes share), pre_a, pre_b (their prefixes under two orders).
+
+    `ranked` holds sig, n, comp and the shared tokens with their frequencies.
+    Tokens of one class alone come first in both orders and take their places of
+    the prefix; a set whose prefix they fill links with nothing more.
+    """
+    left = (F.size("ranked") - _need(F.col("n"), threshold) + 1).cast("int")
 
     def prefix(seed: int):
         keyed = F.transform("ranked", lambda x: F.struct(x["df"], F.xxhash64(F.lit(seed), x["token"]), x["token"].alias("token")))
         return F.slice(F.array_sort(keyed), F.lit(1), F.greatest(left, F.lit(0))).getField("token")
 
     return ranked.filter(left > 0).select(
-        "sig", F.col("n").cast("int").alias("n"), F.col("ranked.token").alias("toks"), prefix(1).alias("pre_a"), prefix(2).alias("pre_b")
+        "sig", F.col("n").cast("int").alias("n"), "comp", F.col("ranked.token").alias("toks"), prefix(2 * turn).alias("pre_a"), prefix(2 * turn + 1).alias("pre_b")
     )
 
 
+def _first_records(tokens: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    df = scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
+    ranked = tokens.join(df, "token").groupBy("sig", "n").agg(F.collect_set(F.struct("df", "token")).alias("ranked"))
+    return _records(ranked.withColumn("comp", F.col("sig")), threshold, 0)
+
+
+def _next_records(records: DataFrame, comps: DataFrame, scratch: Scratch, threshold: int, turn: int) -> DataFrame:
+    """The records of sets that may still link with another class, by the tokens that several classes share."""
+    placed = records.join(comps.withColumnRenamed("comp", "c"), F.col("sig") == F.col("v"), "left")
+    placed = placed.select("sig", "n", F.coalesce("c", "sig").alias("comp"), F.explode("toks").alias("token"))
+    spread = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    spread = scratch.save(spread.filter("lo < hi").select("token", "df"), "spread")
+    ranked = placed.join(spread, "token").groupBy("sig", "n", "comp").agg(F.collect_list(F.struct("df", "token")).alias("ranked"))
+    return _records(ranked, threshold, turn)
+
+
 def _verified(pairs: DataFrame, records: DataFrame, threshold: int) -> DataFrame:
     """Those of `pairs` (a, b) that pass the second order's filter and link."""
     side = lambda x: records.select(*[F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "toks", "pre_b")])
@@ -203,44 +222,49 @@ def _verified(pairs: DataFrame, records: DataFrame, threshold: int) -> DataFrame
     )
 
 
+def _fits(threshold: int):
+    """Whether two postings can be of a linking pair: by sizes, shared tokens and places.
+
+    Before the common token at most the smaller place are common, after it at
+    most what the shorter rest holds.
+    """
+    n, m = F.col("n"), F.col("m")
+    most = F.least("at", "p_at") + 1 + F.least(F.col("k") - F.col("at"), F.col("p_k") - F.col("p_at")) - 1
+    sizes = (n * threshold <= m * 100) & (m * threshold <= n * 100)
+    return sizes & ((100 + threshold) * most >= threshold * (n + m))
+
+
 def _classes(records: DataFrame, scratch: Scratch, threshold: int) -> DataFrame | None:
     """sig, comp for the sets that link with another set; None if there are none."""
-    postings = scratch.save(records.select("sig", "n", F.explode("pre_a").alias("token")), "postings")
-    links = tried = comps = None
-    fits = (F.col("n") * threshold <= F.col("m") * 100) & (F.col("m") * threshold <= F.col("n") * 100)
+    links = comps = None
     pair = (F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = postings.withColumn("comp", F.col("sig"))
-        if comps is not None:
-            placed = postings.join(comps, F.col("sig") == F.col("v"), "left").select("sig", "n", "token", F.coalesce("comp", "sig").alias("comp"))
-        apart = placed.groupBy("token").agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.min_by(F.struct("sig", "n", "comp"), F.xxhash64("sig", F.lit(turn))).alias("p"),
-        ).filter("lo < hi")
-        apart = scratch.save(apart.select("token", F.col("p.sig").alias("other"), F.col("p.n").alias("m"), F.col("p.comp").alias("pc")), "apart")
-        if turn < PIVOT_ROUNDS:
-            near = placed.join(apart, "token").filter((F.col("comp") != F.col("pc")) & fits).select(*pair)
+    turn, last = 0, False
+    while True:
+        records = scratch.save(records, f"records-{turn}")
+        if not records.take(1):
+            return comps
+        # `at`: how many shared tokens stand before one; `k`: how many there are.
+        postings = records.select("sig", "n", "comp", F.size("toks").alias("k"), F.posexplode("pre_a").alias("at", "token"))
+        postings = scratch.save(postings, "postings")
+        one = F.struct(F.col("sig").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pc"), F.col("at").alias("p_at"), F.col("k").alias("p_k"))
+        if last:
+            # Every pair that is still apart and passes the filters.
+            near = postings.join(postings.select("token", one.alias("p")).select("token", "p.*"), "token").filter((F.col("comp") < F.col("pc")) & _fits(threshold))
         else:
-            # Every pair that is still apart and shares a prefix token.
-            rest = scratch.save(placed.join(apart.select("token"), "token", "left_semi"), "rest")
-            twin = rest.select("token", F.col("sig").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pc"))
-            near = rest.join(twin, "token").filter((F.col("comp") < F.col("pc")) & fits).select(*pair)
-        near = near.distinct()
-        if tried is not None:
-            near = near.join(tried, ["a", "b"], "left_anti")
-        near = scratch.save(near, "pairs")
-        if not near.take(1):
-            # Pivots may all be known; the last turn takes the rest.
-            if turn == PIVOT_ROUNDS or not apart.take(1):
-                break
-            continue
-        tried = near if tried is None else tried.union(near)
+            pivots = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(one, F.xxhash64("sig", F.lit(turn))).alias("p"))
+            pivots = scratch.save(pivots.filter("lo < hi").select("token", "p.*"), "pivots")
+            near = postings.join(pivots, "token").filter((F.col("comp") != F.col("pc")) & _fits(threshold))
+        near = scratch.save(near.select(*pair).distinct(), "pairs")
         found = scratch.save(_verified(near, records, threshold), "links")
-        if found.take(1):
+        fresh = bool(found.take(1))
+        if fresh:
             links = found if links is None else links.union(found)
             comps = components(links, scratch)
-    return comps
+        if last:
+            return comps
+        turn += 1
+        last = not fresh or turn == PIVOT_ROUNDS
+        records = _next_records(records, comps, scratch, threshold, turn) if comps is not None else records
 
 
 def jaccard_classes(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -262,8 +286,7 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     live = scratch.save(live.select("doc_id", "sig"), "live")
     texts = plain.join(live.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("sig", "text")
     tokens = scratch.save(_all_tokens(texts, k), "tokens")
-    records = scratch.save(_records(tokens, scratch, threshold), "records")
-    comps = _classes(records, scratch, threshold)
+    comps = _classes(_first_records(tokens, scratch, threshold), scratch, threshold)
     placed = sizes.withColumn("comp", F.col("sig"))
     if comps is not None:
         placed = sizes.join(comps, F.col("sig") == F.col("v"), "left").select("doc_id", "n", "sig", F.coalesce("comp", "sig").alias("comp"))
