@@ -36,7 +36,7 @@ SHINGLE = 5
 THRESHOLD = 75
 #: One more prefix token asked for per so many tokens, in the first order.
 EXTRA = 16
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 6
 
 
 def _overlap(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -251,7 +251,9 @@ def _classes(records: DataFrame, scratch: Scratch, threshold: int) -> DataFrame
             # Every pair that is still apart and passes the filters.
             near = postings.join(postings.select("token", one.alias("p")).select("token", "p.*"), "token").filter((F.col("comp") < F.col("pc")) & _fits(threshold))
         else:
-            pivots = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(one, F.xxhash64("sig", F.lit(turn))).alias("p"))
+            # At first one pivot for all its tokens; later tokens of one set have many.
+            seed = [F.col("sig"), F.lit(turn), *([F.col("token")] if turn else [])]
+            pivots = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(one, F.xxhash64(*seed)).alias("p"))
             pivots = scratch.save(pivots.filter("lo < hi").select("token", "p.*"), "pivots")
             near = postings.join(pivots, "token").filter((F.col("comp") != F.col("pc")) & _fits(threshold))
         near = scratch.save(near.select(*pair).distinct(), "pairs")
