@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ WIDTH = 400
 GRAM = 64
 ANCHOR_SPAN = 96
 #: Bytes of pieces that are sorted together; one shard group larger than this is sorted alone.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Tuples that the queues of one sort hold in memory; more go to disk.
 QUEUE_TUPLES = 1 << 22
 _TILE = 1 << 20
@@ -465,30 +466,46 @@ def sort_shards(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     """k, first, last: runs of starts of repeated windows, from `pieces` as of shard_pieces."""
 
     def run(batches):
-        group: list[tuple] = []
-
-        def done(rows):
-            found = repeated_windows([r[4] for r in rows], [r[3] for r in rows], width)
+        # (gram, piece) -> number of starts, and (k, at) of each place that has the piece.
+        distinct: dict[tuple[int, bytes], tuple[int, list[tuple[int, int]]]] = {}
+
+        def done():
+            # Windows of one piece differ (they stand differently to its gram), equal pieces
+            # repeat each other, and a gram with one distinct piece has nothing to compare.
+            many = Counter(gram for gram, _ in distinct)
+            sortable = [key for key in distinct if many[key[0]] > 1]
+            found = {}
+            if sortable:
+                starts = [distinct[key][0] for key in sortable]
+                found = dict(zip(sortable, repeated_windows([piece for _, piece in sortable], starts, width), strict=True))
             out = []
-            for row, hit in zip(rows, found, strict=True):
-                if len(hit):
-                    cut = np.flatnonzero(np.diff(hit) > 1)
-                    lo, hi = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]
-                    out.extend((row[1], row[2] + a, row[2] + b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True))
+            for key, (count, same) in distinct.items():
+                hit = np.arange(count) if len(same) > 1 else found.get(key, ())
+                if not len(hit):
+                    continue
+                cut = np.flatnonzero(np.diff(hit) > 1)
+                lo, hi = hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist()
+                for k, at in same:
+                    out.extend((k, at + x, at + y) for x, y in zip(lo, hi, strict=True))
             columns = list(zip(*out, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["k", "first", "last"])
 
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SHARD_BYTES and row[0] != last:
-                    yield done(group)
-                    group, size = [], 0
-                last = row[0]
-                group.append(row)
-                size += len(row[4])
-        if group:
-            yield done(group)
+            for gram, k, at, count, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > SHARD_BYTES and gram != last:
+                    yield done()
+                    distinct.clear()
+                    size = 0
+                last = gram
+                held = distinct.get((gram, piece))
+                if held is None:
+                    distinct[gram, piece] = (count, [(k, at)])
+                    size += len(piece)
+                else:
+                    held[1].append((k, at))
+        if distinct:
+            yield done()
 
     by_gram = pieces.repartition("gram").sortWithinPartitions("gram")
     return by_gram.mapInArrow(run, "k bigint, first int, last int")
