@@ -7,17 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kgweave.llm.common import Scratch, table
+from kgweave.llm.decontaminate import drop_contaminated
+from kgweave.llm.jaccard_join import one_per_class
 from kgweave.llm.quality_rules import quality_rules
+from kgweave.llm.queries import token_file
+from kgweave.llm.raking import mix_to_targets
+from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
     return quality_rules(docs).filter("kept").select(*COLUMNS)
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return one_per_class(docs.select(*COLUMNS))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by the probabilities raked to the target weights."""
+    return mix_to_targets(docs).filter("kept").select(*COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in ORC files, and per document what is read back from them."""
+    path = Scratch(spark, "pipeline-tokens").path("orc")
+    write_tokens(docs, path, token_file())
+    return with_crc32(read_tokens(spark, path))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("jaccard_join", jaccard_stage),
+    ("decontaminate", decontamination_stage),
+    ("raking", mixing_stage),
+    ("token_orc", token_stage),
 ]
 
 
@@ -30,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The stages cannot be said in SQL as a whole; tests hold them against brute force.
+#: The quantile sketches and the tokenizer cannot be said in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 PIPELINE_QUERIES = {"pipeline": run}

@@ -185,3 +185,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def _same(*pairs: str) -> Column:
     a, b, c, d = map(F.col, pairs)
     return a.eqNullSafe(b) & c.eqNullSafe(d)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs`, all columns, without the documents that hold a window of the benchmark."""
+    hit = decontaminate(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_k")), "left_anti")

@@ -297,3 +297,15 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     return placed.join(least_id, (F.col("comp") == F.col("c")) & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_per_class(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """`docs` with one document of each class: the one with the smallest doc_id.
+
+    Documents with an empty set all stay.  Of rows equal in doc_id and text one
+    stays; all columns are kept.
+    """
+    classes = jaccard_classes(docs, k, threshold)
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
