@@ -167,7 +167,7 @@ def thresholds(parts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """
     by_lang = _merged(parts, "lang")
     own, lang = _fences(parts, "own_"), _fences(by_lang, "lang_")
-    whole = _fences(_merged(by_lang), "all_").first()
+    whole = _fences(_merged(by_lang).filter("rows > 0"), "all_").first() or {f"all_{r.ratio}": None for r in RULES}
     joined = own.join(lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     return joined.select(
         "lang",
