@@ -3,7 +3,7 @@
 Text is a sequence of binary decisions: each byte (and the end of the text) is
 coded by the prefix code of the training bytes' frequencies, about four decisions
 a byte.  For each decision, predictors of several orders look up their context
-(the last 1 to 6 bytes and the place in the code, hashed into one table) and give
+(the last 2 to 5 bytes and the place in the code, hashed into one table) and give
 the log odds seen in training.  A mixer adds them by weights, which a gate picks
 by how many orders know their context; after each decision the weights move along
 the coding loss.  The mix is refined by an adaptive map from its log odds to the
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,19 +32,21 @@ from pyspark.sql import functions as F
 
 from kgweave.llm.common import Scratch, Words, text_chunks
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (2, 3, 5)
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 BLOCK = 1024
 LANE = 2048
-RATE, REFINE_RATE, START = 0.02, 0.02, 0.3
+#: Steps laid out at a time.
+STEPS = 64
+RATE, REFINE_RATE, START = 0.01, 0.02, 0.3
 LEAST_P = 1 / 65536
 COMMON = 65_536
 FOLDS = 10
 END = 256
 #: The hash of the end token, beside those of words.
 END_TOKEN = 1
-MODEL_BYTES = 1 << 19
+MODEL_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,7 +104,7 @@ def _scatter(x: np.ndarray) -> np.ndarray:
 
 
 class Decisions:
-    """All decisions of a chunk's documents: bit, slot per order, first decision of each document."""
+    """All decisions of a chunk's documents: bit, first decision of each document, and slots by order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, code: Code):
         docs, pad = len(offsets) - 1, max(ORDERS)
@@ -117,18 +120,25 @@ class Decisions:
         now = symbols[coded]
         count = code.length[now]
         total = np.concatenate(([0], np.cumsum(count)))
-        owner = np.repeat(np.arange(len(now)), count)
-        step = np.arange(total[-1]) - total[owner]
-        node = code.node[now[owner], step] * np.uint32(0x9E3779B1)
-        self.bit = code.bit[now[owner], step]
+        self.owner = np.repeat(np.arange(len(now), dtype=np.int32), count)
+        # Code rows one after the other: a decision's place is its symbol's row plus its step.
+        longest = code.node.shape[1]
+        place = np.arange(total[-1]) - np.repeat(total[:-1] - now.astype(np.int64) * longest, count)
+        self.node = (code.node.ravel() * np.uint32(0x9E3779B1))[place]
+        self.bit = code.bit.ravel()[place]
         self.first = np.concatenate((total[np.searchsorted(coded, first)], total[-1:]))
-        self.slots = []
-        back = (symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
-        context = np.zeros(len(coded), np.uint32)
-        for k in range(1, pad + 1):
-            context = _scatter(context + back[coded - k] + np.uint32(k))
+        self.coded, self.back = coded, (symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+
+    def slots(self) -> Iterator[np.ndarray]:
+        context = np.zeros(len(self.coded), np.uint32)
+        for k in range(1, max(ORDERS) + 1):
+            context = _scatter(context + self.back[self.coded - k] + np.uint32(k))
             if k in ORDERS:
-                self.slots.append(_scatter(context[owner] + node) >> np.uint32(32 - SLOT_BITS))
+                slot = context[self.owner]
+                slot ^= self.node
+                slot *= np.uint32(0x9E3779B1)
+                slot >>= np.uint32(32 - SLOT_BITS)
+                yield slot
 
 
 # --- training ----------------------------------------------------------------------------------
@@ -166,16 +176,14 @@ def learn_table(docs: DataFrame, code: Code) -> DataFrame:
     """block, odds: the log odds of BLOCK slots as 16-bit floats, NaN where nothing was seen."""
 
     def count(batches):
-        counts = np.zeros((2, SLOTS), np.uint32)
+        counts = np.zeros(2 * SLOTS, np.uint32)
         for batch in batches:
             batch = _only(batch)
             for *_, data, offsets in text_chunks(batch.column("text"), MODEL_BYTES):
                 seen = Decisions(data, offsets, code)
-                ones = seen.bit == 1
-                for slots in seen.slots:
-                    counts[1] += np.bincount(slots[ones], minlength=SLOTS).astype(np.uint32)
-                    counts[0] += np.bincount(slots[~ones], minlength=SLOTS).astype(np.uint32)
-        by_block = counts.reshape(2, SLOTS // BLOCK, BLOCK)
+                for slot in seen.slots():
+                    np.add.at(counts, slot * np.uint32(2) + seen.bit, np.uint32(1))
+        by_block = np.ascontiguousarray(counts.reshape(SLOTS, 2).T).reshape(2, SLOTS // BLOCK, BLOCK)
         held = np.flatnonzero(by_block.any(axis=(0, 2)))
         for some in np.array_split(held, max(1, len(held) // 256)):
             packed = [zlib.compress(by_block[:, b].tobytes(), 1) for b in some]
@@ -190,7 +198,7 @@ def learn_table(docs: DataFrame, code: Code) -> DataFrame:
         odds = []
         for total in sums.values():
             zeros, ones = total.reshape(2, BLOCK)
-            value = np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -9, 9)
+            value = np.clip(np.log((ones + 0.1) / (zeros + 0.1)), -9, 9)
             odds.append(np.where(zeros + ones > 0, value, np.nan).astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(odds, pa.binary())], names=["block", "odds"])
 
@@ -200,7 +208,7 @@ def learn_table(docs: DataFrame, code: Code) -> DataFrame:
 
 # --- scoring -----------------------------------------------------------------------------------
 
-_CENTRES = np.linspace(-8, 8, 33).astype(np.float32)
+_CENTRES = np.arange(-8, 8.5, 0.5).astype(np.float32)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -208,46 +216,65 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 def code_bits(seen: Decisions, odds: np.ndarray) -> np.ndarray:
-    """Bits that the mixed model spends on each document of the chunk."""
-    inputs = np.stack([odds[s] for s in seen.slots], axis=1).astype(np.float32)
-    known = ~np.isnan(inputs)
-    inputs[~known] = 0
-    gate = known.sum(axis=1)
+    """Bits that the mixed model spends on each document of the chunk.
+
+    Every document's decisions are laid out in lanes of LANE, the last one padded;
+    step t of all lanes is one set of array operations.
+    """
     sizes = np.diff(seen.first)
     lanes = -(-sizes // LANE)
-    doc = np.repeat(np.arange(len(sizes)), lanes)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    start = seen.first[doc] + nth * LANE
-    size = np.minimum(LANE, seen.first[doc + 1] - start)
-    order = np.argsort(-size, kind="stable")
-    start, size, doc = start[order], size[order], doc[order]
-    n, k = len(start), inputs.shape[1]
-    weights = np.full((n * (k + 1), k), START, np.float32)
-    refine = np.tile(_squash(_CENTRES), (n, 1)).ravel()
+    ahead = np.cumsum(lanes) - lanes
+    n, k = int(lanes.sum()), len(ORDERS)
+    place = np.arange(len(seen.bit)) + np.repeat(ahead * LANE - seen.first[:-1], sizes)
+    known = np.zeros(n * LANE, np.uint8)
+    inputs = []
+    for slot in seen.slots():
+        value = odds.take(slot)
+        new = np.isnan(value)
+        value[new] = 0
+        known[place] += ~new
+        flat = np.zeros(n * LANE, np.float32)
+        flat[place] = value
+        inputs.append(flat.reshape(n, LANE))
+    bits = np.full(n * LANE, -1, np.float32)  # less than 0: padding
+    bits[place] = seen.bit
+    bits, known = bits.reshape(n, LANE), known.reshape(n, LANE)
+    gates = np.arange(n) * (k + 1)
+    weights = [np.full(n * (k + 1), START, np.float32) for _ in ORDERS]
+    refine = np.tile(_squash(_CENTRES), n)
+    cells = np.arange(n) * len(_CENTRES) + 16
     spent = np.zeros(n)
-    lane = np.arange(n)
-    active = np.searchsorted(-size, -np.arange(LANE), "left")
-    bits = seen.bit.astype(np.float32)
-    for t in range(int(size.max()) if n else 0):
-        m = int(active[t])
-        at = start[:m] + t
-        x, bit = inputs[at], bits[at]
-        row = lane[:m] * (k + 1) + gate[at]
-        w = weights[row]
-        dot = np.einsum("ij,ij->i", w, x)
-        p = _squash(dot)
-        weights[row] = w + ((bit - p) * np.float32(RATE))[:, None] * x
-        place = (np.clip(dot, -7.99, 7.99) + 8) * 2
-        low = place.astype(np.int32)
-        share = place - low
-        cell = lane[:m] * 33 + low
-        a, b = refine[cell], refine[cell + 1]
-        refined = a + (b - a) * share
-        refine[cell] = a + (bit - a) * (1 - share) * np.float32(REFINE_RATE)
-        refine[cell + 1] = b + (bit - b) * share * np.float32(REFINE_RATE)
-        final = np.clip((p + refined) / 2, LEAST_P, 1 - LEAST_P)
-        spent[:m] -= np.log2(np.where(bit > 0, final, 1 - final))
-    return np.bincount(doc, spent, len(sizes))
+    for t in range(0, LANE, STEPS):
+        some = slice(t, t + STEPS)
+        xs = np.stack([flat[:, some].T for flat in inputs], axis=1)
+        now, gate = np.ascontiguousarray(bits[:, some].T), known[:, some].T + gates
+        chance = np.empty_like(now)
+        for x, bit, row, out in zip(xs, now, gate, chance, strict=True):
+            w = [each.take(row) for each in weights]
+            dot = w[0] * x[0]
+            for each, value in zip(w[1:], x[1:], strict=True):
+                dot += each * value
+            p = np.exp(-dot)
+            p += 1
+            np.reciprocal(p, out=p)
+            x *= (bit - p) * np.float32(RATE)
+            for whole, each, step in zip(weights, w, x, strict=True):
+                each += step
+                whole[row] = each
+            # The nearest cell of the adaptive map.
+            dot *= 2
+            np.rint(dot, out=dot)
+            np.minimum(np.maximum(dot, -16, out=dot), 16, out=dot)
+            cell = cells + dot.astype(np.int64)
+            rate = refine.take(cell)
+            p += rate
+            np.multiply(p, 0.5, out=out)
+            refine[cell] = rate + (bit - rate) * np.float32(REFINE_RATE)
+        np.clip(chance, LEAST_P, 1 - LEAST_P, out=chance)
+        right = np.where(now > 0, chance, 1 - chance)
+        right[now < 0] = 1
+        spent -= np.log2(right).sum(axis=0, dtype=np.float64)
+    return np.add.reduceat(spent, ahead) if len(sizes) else np.zeros(0)
 
 
 def _key(ids: pa.Array, words: Words, hashes: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: int) -> np.ndarray:
@@ -285,7 +312,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     table = np.full(SLOTS, np.nan, np.float16)
     for row in scratch.save(learn_table(plain, code), "table").collect():
         table[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["odds"], np.float16)
-    odds = spark.sparkContext.broadcast(table)
+    odds = spark.sparkContext.broadcast(table.astype(np.float32))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def lookup(hashes):

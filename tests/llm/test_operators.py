@@ -382,7 +382,7 @@ def test_scores(spark, texts):
 def test_mixing_is_a_probability():
     """The probabilities of all continuations of one byte sum to one."""
     code = context_mixing.prefix_code(np.arange(257))
-    odds = np.random.RandomState(0).normal(size=context_mixing.SLOTS).astype(np.float16)
+    odds = np.random.RandomState(0).normal(size=context_mixing.SLOTS).astype(np.float32)
     lead = np.cumsum(code.length)
     assert lead[-1] > 257
     total = 0.0
