@@ -3,7 +3,7 @@
 Text is a sequence of binary decisions: each byte (and the end of the text) is
 coded by the prefix code of the training bytes' frequencies, about four decisions
 a byte.  For each decision, predictors of several orders look up their context
-(the last 2 to 5 bytes and the place in the code, hashed into one table) and give
+(the last 1 to 6 bytes and the place in the code, hashed into one table) and give
 the log odds seen in training.  A mixer adds them by weights, which a gate picks
 by how many orders know their context; after each decision the weights move along
 the coding loss.  The mix is refined by an adaptive map from its log odds to the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kgweave.llm.common import Scratch, Words, text_chunks
 
-ORDERS = (2, 3, 5)
+ORDERS = (1, 2, 3, 4, 6)
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 BLOCK = 1024
@@ -46,7 +46,7 @@ FOLDS = 10
 END = 256
 #: The hash of the end token, beside those of words.
 END_TOKEN = 1
-MODEL_BYTES = 1 << 20
+MODEL_BYTES = 3 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
