@@ -59,9 +59,10 @@ sql("kg_edges", SUPPLY, f"SELECT {EDGE} FROM e")
 sql(
     "narrow_types_lineitem",
     None,
-    """SELECT l_orderkey::INTEGER AS l_orderkey, l_partkey::INTEGER AS l_partkey,
-    l_linenumber, l_quantity::FLOAT AS l_quantity,
-    l_extendedprice::FLOAT AS l_extendedprice FROM lineitem""",
+    """SELECT * REPLACE (l_orderkey::INTEGER AS l_orderkey, l_partkey::INTEGER AS l_partkey,
+    l_suppkey::INTEGER AS l_suppkey, l_quantity::FLOAT AS l_quantity,
+    l_extendedprice::FLOAT AS l_extendedprice, l_discount::FLOAT AS l_discount,
+    l_tax::FLOAT AS l_tax) FROM lineitem""",
 )
 sql(
     "to_native_review",
@@ -81,7 +82,10 @@ sql(
     min(l_linestatus || '/' || l_partkey) AS name FROM lineitem GROUP BY 1""",
 )
 
-sql("snapshot", ACTIVITY, f"SELECT {EDGE} FROM e")
+BOTH_TABLES = f"""SELECT {EDGE}, NULL AS node_id, NULL AS label, NULL AS name, NULL AS properties FROM e
+    UNION ALL SELECT NULL, NULL, NULL, {NODE} FROM n"""
+sql("snapshot", ACTIVITY, BOTH_TABLES)
+sql("read_tables", SUPPLY, BOTH_TABLES)
 
 # --- selection --------------------------------------------------------------
 
@@ -101,6 +105,12 @@ sql(
     """SELECT DISTINCT label, node_count, name FROM
     (SELECT *, count(*) OVER (PARTITION BY label) AS node_count FROM n)""",
 )
+sql(
+    "names_by_label_unnamed",
+    REVIEW,
+    """SELECT DISTINCT label, node_count, CASE WHEN name LIKE 'doc%' THEN NULL ELSE name END AS name FROM
+    (SELECT *, count(*) OVER (PARTITION BY label) AS node_count FROM n) WHERE label IS NOT NULL""",
+)
 FIRST_OF = """SELECT {cols} FROM (SELECT *, row_number() OVER
     (PARTITION BY {keys} ORDER BY node_id) AS rn FROM n) WHERE rn = 1"""
 sql(
@@ -260,6 +270,14 @@ sql(
     f"SELECT * FROM ({METRIC_ROWS}) WHERE label = 'BUILDING'",
     METRICS,
 )
+sql(
+    "category_metrics_absent",
+    SUPPLY,
+    f"""SELECT label, coalesce(node_count, 0) AS node_count, coalesce(connections, 0) AS connections,
+    coalesce(subgraph_size, 0) AS subgraph_size
+    FROM (VALUES ('Nation'), ('Planet'), ('Region')) w(label) LEFT JOIN ({METRIC_ROWS}) USING (label)""",
+    METRICS,
+)
 sql(
     "subgraph_size",
     SUPPLY,
@@ -312,7 +330,8 @@ sql(
 sql(
     "merge_vertices",
     ACTIVITY,
-    "SELECT b AS id, max(u) AS source FROM t GROUP BY b",
+    """SELECT b AS id, arg_max(r, (a, phase, r)) AS relation, arg_max(phase, (a, phase, r))::INTEGER AS side,
+    max(u) AS source FROM t GROUP BY b""",
     TOUCHES,
 )
 EGO = """SELECT a AS seed_id, u AS source, v AS target, max(r) AS label,
@@ -320,6 +339,7 @@ EGO = """SELECT a AS seed_id, u AS source, v AS target, max(r) AS label,
 sql("ego_out", ACTIVITY, EGO.format("a_label = 'BUILDING' AND phase = 0"), TOUCHES)
 sql("ego_in", ACTIVITY, EGO.format("a_label = 'BUILDING' AND phase = 1"), TOUCHES)
 sql("ego_both", ACTIVITY, EGO.format("a_label = 'BUILDING'"), TOUCHES)
+sql("ego_repeated_ids", ACTIVITY, EGO.format("a_label = 'BUILDING'"), TOUCHES)
 sql("ego_every_node", ACTIVITY, EGO.format("true"), TOUCHES)
 sql(
     "ego_both_vertices",
@@ -395,8 +415,11 @@ sql(
 sql(
     "export_vis",
     SUPPLY,
-    f"""SELECT source::VARCHAR AS "from", target::VARCHAR AS "to", label, title
-    FROM ({category_edges("a_label = 'Nation'", STYLED)})""",
+    f"""SELECT source::VARCHAR AS "from", target::VARCHAR AS "to", label, title,
+    NULL AS id, NULL AS "group", NULL AS color, NULL AS size
+    FROM ({category_edges("a_label = 'Nation'", STYLED)})
+    UNION ALL SELECT NULL, NULL, label, title, id::VARCHAR, "group", color, size
+    FROM ({category_colors("{} = 'Nation'", "Nation")})""",
     TOUCHES,
 )
 
@@ -736,18 +759,20 @@ def prompt_oracles(templates: dict[str, str]) -> None:
         )
 
 
-def payload_oracles(presets: dict[str, dict]) -> None:
-    for preset, parameters in presets.items():
-        pairs = ", ".join(
-            f"'{key}', {str(value).lower()}" for key, value in parameters.items()
-        )
-        sql(
-            f"request_payload_{preset}",
-            None,
-            f"""SELECT conv_id * 8 + turn AS question_id, json_object('inputs', text,
-            'parameters', json_object({pairs}))::VARCHAR AS payload
-            FROM conversations""",
-        )
+# The parameters of the four request presets.
+for preset, parameters in {
+    "sampled": "'max_new_tokens', 500, 'temperature', 0.7, 'do_sample', true, 'return_full_text', false",
+    "factual": "'max_new_tokens', 500, 'temperature', 0.3, 'do_sample', true, 'return_full_text', false",
+    "short": "'max_new_tokens', 500, 'temperature', 0.3",
+    "long": "'max_new_tokens', 1000, 'temperature', 0.3",
+}.items():
+    sql(
+        f"request_payload_{preset}",
+        None,
+        f"""SELECT conv_id * 8 + turn AS question_id, json_object('inputs', text,
+        'parameters', json_object({parameters}))::VARCHAR AS payload
+        FROM conversations""",
+    )
 
 
 ANSWERED = "SELECT conv_id * 8 + turn AS request_id, CASE {} ELSE text END AS answer FROM conversations"
@@ -829,3 +854,5 @@ sql(
     ANSWERS,
     NAMES,
 )
+
+ORACLE["node_summary_repeated_ids"] = ORACLE["node_summary"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/kgweave-{spark.sparkContext.applicationId}/{name}"
+
+
 def labelled(graph: Graph, *labels: str) -> DataFrame:
     return graph.nodes.filter(F.col("label").isin(*labels))
 
@@ -63,11 +67,7 @@ def kg_edges(g):
 
 @query
 def narrow_types_lineitem(spark, sf_dir):
-    return narrow_types(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"
-        )
-    )
+    return narrow_types(table(spark, sf_dir, "lineitem"))
 
 
 @review
@@ -95,23 +95,30 @@ def dedupe_nodes(spark, sf_dir):
 
 @supply
 def export_vis(g):
-    """Written as JSON and read back."""
+    """Vertices and edges, written as JSON and read back."""
     spark = g.nodes.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared}/export-vis-{uuid.uuid4().hex}"
-    graph = extract.category_graph(*g, "Nation", styled=True)
-    tables.export_vis(graph, path)
-    return spark.read.schema("`from` string, `to` string, label string, title string").json(
-        f"{path}/edges"
-    )
+    path = shared_folder(spark, "export-vis")
+    tables.export_vis(extract.category_graph(*g, "Nation", styled=True), path)
+    edges = spark.read.schema("`from` string, `to` string, label string, title string").json(f"{path}/edges")
+    vertices = spark.read.schema("id string, label string, `group` string, title string, color string, size int").json(f"{path}/vertices")
+    return edges.unionByName(vertices, allowMissingColumns=True)
 
 
 @activity
 def snapshot(g):
-    """Written as parquet and read back."""
+    """Nodes and edges, written as parquet and read back."""
+    kept = tables.snapshot(g, shared_folder(g.nodes.sparkSession, "snapshot"))
+    return kept.edges.unionByName(kept.nodes, allowMissingColumns=True)
+
+
+@supply
+def read_tables(g):
+    """Written as files and read through the readers, every column as it is."""
+    path = shared_folder(g.nodes.sparkSession, "read-tables")
+    tables.snapshot(g, path)
     spark = g.nodes.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return tables.snapshot(g, f"{shared}/snapshot-{uuid.uuid4().hex}").edges
+    nodes, edges = tables.read_nodes(spark, f"{path}/nodes"), tables.read_edges(spark, f"{path}/edges")
+    return edges.unionByName(nodes, allowMissingColumns=True)
 
 
 @supply
@@ -157,6 +164,13 @@ def names_by_label(g):
     return select.names_by_label(g.nodes)
 
 
+@review
+def names_by_label_unnamed(g):
+    """Documents without a name, so that whole labels have none."""
+    unnamed = F.when(F.col("name").startswith("doc"), F.lit(None)).otherwise(F.col("name"))
+    return select.names_by_label(g.nodes.withColumn("name", unnamed))
+
+
 @query
 def find_node(spark, sf_dir):
     nodes = graphs.supply_nodes(spark, sf_dir)
@@ -309,6 +323,12 @@ def category_metrics_dangling(g):
     return stats.category_metrics(*g)
 
 
+@supply
+def category_metrics_absent(g):
+    """Two labels of the graph and one that no node has."""
+    return stats.category_metrics(*g, ["Nation", "Planet", "Region"])
+
+
 @supply
 def subgraph_size(g):
     return stats.subgraph_size(extract.category_graph(*g, "Nation").vertices)
@@ -356,11 +376,13 @@ def both_directions(g):
 def merge_vertices(g):
     """Per customer the last event that touched it, and its largest source."""
     touches = joins.half_edges(g.edges, BOTH).select(
-        F.col("b").alias("id"), "relation", "phase", F.col("a").alias("seed"), "source"
-    )
-    return extract.merge_vertices(touches, ["seed", "phase", "relation"], ["source"]).select(
-        "id", "source"
+        F.col("b").alias("id"),
+        "relation",
+        F.col("phase").alias("side"),
+        F.struct(F.col("a"), F.col("phase"), F.col("relation")).alias("rank"),
+        "source",
     )
+    return extract.merge_vertices(touches, ["rank"], ["source"])
 
 
 @supply
@@ -383,6 +405,14 @@ def ego_both(g):
     return extract.ego(*g, labelled(g, "BUILDING"), BOTH).edges
 
 
+@activity
+def ego_repeated_ids(g):
+    """Every node twice, the second time under a later name: loading keeps the first."""
+    again = g.nodes.withColumn("name", F.concat(F.lit("~"), "name"))
+    loaded = tables.load_graph(g.nodes.unionByName(again), g.edges)
+    return extract.ego(*loaded, labelled(g, "BUILDING"), BOTH).edges
+
+
 @activity
 def ego_both_vertices(g):
     return extract.ego(*g, labelled(g, "BUILDING"), BOTH).vertices
@@ -494,6 +524,13 @@ def node_summary(g):
     return summaries.node_summary(*g, g.nodes)
 
 
+@supply
+def node_summary_repeated_ids(g):
+    again = g.nodes.withColumn("name", F.concat(F.lit("~"), "name"))
+    loaded = tables.load_graph(g.nodes.unionByName(again), g.edges)
+    return summaries.node_summary(*loaded, loaded.nodes)
+
+
 @supply
 def node_summary_compact(g):
     return summaries.node_summary(*g, labelled(g, "Supplier"), 5, "compact")

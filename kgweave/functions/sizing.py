@@ -8,6 +8,7 @@ operator's shuffle plan, which pre-aggregates before it meets the seeds.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -22,17 +23,25 @@ SMALL_BYTES = 16 * 1024 * 1024
 PUSHED_IDS = 1_000
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value of varying size; values of fixed size weigh little."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    if isinstance(field.dataType, T.VariantType):
+        return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0))
+    return F.lit(8)
+
+
 def is_small(df: DataFrame) -> bool:
-    """True when ``df`` has at most SMALL_ROWS rows and SMALL_BYTES of text.
+    """True when ``df`` has at most SMALL_ROWS rows and SMALL_BYTES of values.
 
-    Reads no more than SMALL_ROWS + 1 rows past each partition's limit and
-    returns two numbers to the driver.
+    One job without a limit: each task sends two numbers, which are summed.
     """
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    width = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0))
-    seen = df.limit(SMALL_ROWS + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")
-    )
+    width = sum((_width(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    seen = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b"))
     row = seen.first()
     return row["n"] <= SMALL_ROWS and row["b"] <= SMALL_BYTES
 
@@ -41,10 +50,29 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _literal(value) -> str:
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return str(value)
+def _literal(value, kind: T.DataType) -> str | None:
+    """SQL text of a constant of type ``kind``; None if the type has none.
+
+    Texts go as the hex of their UTF-8, so no session setting for escapes
+    matters; times as counts since the epoch, so no time zone does.
+    """
+    if isinstance(kind, T.StringType):
+        return f"decode(X'{value.encode().hex()}', 'utf-8')"
+    if isinstance(kind, T.BinaryType):
+        return f"X'{bytes(value).hex()}'"
+    if isinstance(kind, T.DateType):
+        return f"date_from_unix_date({(value - datetime.date(1970, 1, 1)).days})"
+    if isinstance(kind, T.TimestampType):
+        zone = datetime.timezone.utc
+        since = (value if value.tzinfo else value.astimezone()) - datetime.datetime(1970, 1, 1, tzinfo=zone)
+        return f"timestamp_micros({since // datetime.timedelta(microseconds=1)})"
+    if isinstance(kind, T.TimestampNTZType):
+        return f"CAST('{value.isoformat(sep=' ')}' AS TIMESTAMP_NTZ)"
+    if isinstance(kind, T.BooleanType):
+        return str(value).upper()
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.FloatType, T.DoubleType)):
+        return f"CAST('{value}' AS {kind.simpleString()})"
+    return None
 
 
 class Seeds(NamedTuple):
@@ -56,7 +84,10 @@ class Seeds(NamedTuple):
 
     @property
     def pushable(self) -> bool:
-        return self.values is not None and len(self.values) <= PUSHED_IDS
+        if self.values is None or len(self.values) > PUSHED_IDS:
+            return False
+        kind = self.ids.schema["seed_id"].dataType
+        return all(_literal(v, kind) is not None for v in self.values[:1])
 
     def restrict(self, df: DataFrame, *keys: str) -> DataFrame:
         """Early reduction: drop rows none of whose keys is a seed.
@@ -85,7 +116,8 @@ class Seeds(NamedTuple):
         if not self.pushable:
             return df
         # One parsed text: a call per id would cost more than the query.
-        ids = ", ".join(_literal(v) for v in self.values) or "NULL"
+        kind = self.ids.schema["seed_id"].dataType
+        ids = ", ".join(_literal(v, kind) for v in self.values) or "NULL"
         return df.filter(" OR ".join(f"`{key}` IN ({ids})" for key in keys))
 
     def keep(self, df: DataFrame, key: str) -> DataFrame:
@@ -159,7 +191,7 @@ def as_seeds(
     values = tuple(dict.fromkeys(v for v in seeds if v is not None))
     column = pa.array(values) if values else pa.array([], pa.int64())
     ids = spark.createDataFrame(pa.table({"seed_id": column}))
-    return Seeds(ids, len(values) <= SMALL_ROWS, values)
+    return Seeds(ids, len(values) <= SMALL_ROWS and column.nbytes <= SMALL_BYTES, values)
 
 
 def one_row(df: DataFrame) -> Column:

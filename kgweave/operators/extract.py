@@ -44,7 +44,8 @@ def simple_digraph(
     if attributes == ["relation_type"] and order_by == list(EDGE_ORDER):
         # Within a pair the default order is the order of the relation itself.
         return edges.groupBy(*ends).agg(F.max("relation_type").alias("relation_type"))
-    last = F.max_by(F.struct(*attributes), F.struct(*order_by))
+    # Ties in the order are decided by the attributes themselves.
+    last = F.max_by(F.struct(*attributes), F.struct(*order_by, *attributes))
     return edges.groupBy(*ends).agg(last.alias("_last")).select(*ends, "_last.*")
 
 
@@ -237,7 +238,7 @@ def category_graph(
         F.col("name").alias("near_name"),
         F.struct(*order).alias("seed_order"),
     )
-    near = hinted(near, seeds.small)
+    # No hint: the ids were measured, the names that go with them were not.
     half = _collapsed(edges, seeds, BOTH, edge_order).join(near, "a")
     thinned = seeds.prune(edges, "source_node_id", "target_node_id")
     touches = half_edges(thinned, BOTH).select("a", "b", "phase").join(near, "a")

@@ -6,8 +6,10 @@ that follows it; a name occurs in the text exactly when it is a prefix of one of
 those tails.  Tails whose first characters start no name are dropped by a
 fixed-size broadcast table, the others are cut to the lengths that names with
 that beginning have, and the resulting candidate strings meet the names in an
-equi-join.  No pair of text and name is formed that does not match, and neither
-long texts nor many names with a common beginning gather in one group.
+equi-join.  Names longer than LONG characters are met by their first LONG, and
+such a pair is then verified against the whole text, so the work does not grow
+with the longest name.  Neither long texts nor many names with a common beginning
+gather in one group.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from kgweave.functions.sizing import one_row
 
 ANCHOR = 4  # characters at most that identify the beginning of a name
 BUCKETS = 1 << 16  # rows of the broadcast table at most
-LONG = 64  # lengths from here on share one entry
+LONG = 64  # characters of a name that are looked for; the rest is verified
 CUTS = (1 << 15, 1 << 11, 1 << 6)  # text cut sizes, in characters
 
 
@@ -57,17 +59,25 @@ def mention_table(
 ) -> DataFrame:
     """``(text_id, name, label, first_id)`` for every name in every text."""
     terms = name_terms(nodes, mode)
-    found = _candidates(texts.select(text_id, text), nodes, mode, text_id, text)
-    return found.join(terms, "key").select(text_id, "name", "label", "first_id")
+    texts = texts.select(text_id, text)
+    found = _candidates(texts, nodes, mode, text_id, text)
+    met = found.join(terms.withColumn("head", F.left("key", F.lit(LONG))), "head")
+    picked = [text_id, "name", "label", "first_id"]
+    if not terms.filter(F.length("key") > LONG).take(1):
+        return met.select(*picked)
+    whole = texts.select(F.col(text_id).alias("_id"), F.lower(text).alias("_text"))
+    holds = (F.col(text_id) == F.col("_id")) & F.contains("_text", "key")
+    long = met.filter(F.length("key") > LONG).join(whole, holds, "left_semi")
+    return met.filter(F.length("key") <= LONG).select(*picked).unionByName(long.select(*picked))
 
 
 def _candidates(texts, nodes, mode, text_id, text) -> DataFrame:
-    """Distinct ``(text_id, key)``: tails cut to the length of some name."""
+    """Distinct ``(text_id, head)``: tails cut to the length of some name's head."""
     name = strip(F.col("name")) if mode == "terms" else F.col("name")
     keys = nodes.filter(F.col("name").isNotNull()).select(F.lower(name).alias("key"))
     if mode == "terms":
         keys = keys.filter(F.col("key") != "")
-    sized = keys.select("key", F.length("key").alias("n"))
+    sized = keys.select("key", F.least(F.length("key"), F.lit(LONG)).alias("n"))
     longest = sized.agg(F.coalesce(F.max("n"), F.lit(0)))
     # At most ANCHOR + 1 numbers: how many characters the names begin with.
     anchor = F.least("n", F.lit(ANCHOR))
@@ -76,7 +86,7 @@ def _candidates(texts, nodes, mode, text_id, text) -> DataFrame:
     anchors = (
         sized.select(
             _bucket("key", F.lit(1), anchor).alias("bucket"),
-            F.least("n", F.lit(LONG)).alias("n"),
+            "n",
         )
         .groupBy("bucket")
         .agg(F.collect_set("n").alias("lengths"))
@@ -103,28 +113,27 @@ def _candidates(texts, nodes, mode, text_id, text) -> DataFrame:
             text_id, F.substring("tail", F.col("start"), F.col("width")).alias("tail"), "lengths"
         )
     )
-    rest = F.sequence(F.lit(LONG), F.greatest(F.length("tail"), F.lit(LONG)))
-    lengths = F.when(
-        F.array_contains("lengths", LONG), F.array_union("lengths", rest)
-    ).otherwise(F.col("lengths"))
     return (
-        matched.select(text_id, "tail", F.explode(lengths).alias("n"))
+        matched.select(text_id, "tail", F.explode("lengths").alias("n"))
         .filter(F.length("tail") >= F.col("n"))
-        .select(text_id, F.left("tail", "n").alias("key"))
+        .select(text_id, F.left("tail", "n").alias("head"))
         .distinct()
     )
 
 
 def _spread(texts: DataFrame, text_id: str) -> DataFrame:
-    """Texts in at least as many partitions as there are cores.
+    """Texts in as many partitions as there are cores, if they are small enough.
 
-    A scan of fewer files than cores leaves most of them idle while each text
-    byte grows into many rows; larger scans are split well enough.
+    Each text byte grows into many rows, so a scan of fewer splits than cores
+    leaves most of them idle.  By the plan's own size estimate, a partition never
+    gets more than a scan's split would hold; texts of unknown or larger size are
+    left as they are.
     """
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    if len(texts.inputFiles()) < cores:
-        return texts.repartition(cores, text_id)
-    return texts
+    spark = texts.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return texts.repartition(cores, text_id) if size < cores * split else texts
 
 
 def _bucket(text: str, start: Column, size: Column) -> Column:

@@ -50,7 +50,8 @@ def names_by_label(nodes: DataFrame) -> DataFrame:
     """Per label its row count and its distinct names, one row per name.
 
     Names stay rows: one label may hold a third of all names, and an array of
-    them would be one cell built by one task.
+    them would be one cell built by one task.  A label none of whose nodes has a
+    name keeps one row, with a null name.
     """
     per_name = (
         nodes.filter(F.col("label").isNotNull())
@@ -58,11 +59,8 @@ def names_by_label(nodes: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("_rows"))
     )
     sizes = per_name.groupBy("label").agg(F.sum("_rows").alias("node_count"))
-    return (
-        per_name.filter(F.col("name").isNotNull())
-        .join(sizes, "label")
-        .select("label", "node_count", "name")
-    )
+    named = per_name.filter(F.col("name").isNotNull()).select("label", "name")
+    return sizes.join(named, "label", "left").select("label", "node_count", "name")
 
 
 def find_node(

@@ -209,8 +209,14 @@ def category_metrics(
         F.sum("connections").alias("_connections"), F.sum("member").alias("_member")
     )
     # A dangling end has a null id: its edge counts, its vertex does not.
-    return per_vertex.groupBy("label").agg(
+    found = per_vertex.groupBy("label").agg(
         F.sum("_member").alias("node_count"),
         F.sum("_connections").alias("connections"),
         F.count("id").alias("subgraph_size"),
     )
+    if labels is None:
+        return found
+    # A wanted label without nodes counts nothing.
+    wanted = nodes.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(labels)], "label string")
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("node_count", "connections", "subgraph_size")}
+    return wanted.join(found, "label", "left").select("label", *zero.values())

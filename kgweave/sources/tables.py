@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 from pyspark.storagelevel import StorageLevel
 
 from kgweave.functions.columns import narrow_types, shown
@@ -61,10 +62,18 @@ def jdbc_options(
     }
 
 
-def load_graph(nodes: DataFrame, edges: DataFrame, narrow: bool = False) -> Graph:
-    """Checked graph; ``narrow`` stores 64-bit numbers in 32 bits."""
+def load_graph(
+    nodes: DataFrame, edges: DataFrame, narrow: bool = False, unique: bool = True
+) -> Graph:
+    """Checked graph; ``narrow`` stores 64-bit numbers in 32 bits.
+
+    ``unique`` keeps the first row of every node id, as lookups by id take it;
+    pass False for tables known to have one row per id and save the shuffle.
+    """
     nodes = require_schema(nodes, NODE_COLUMNS)
     edges = require_schema(edges, EDGE_COLUMNS)
+    if unique:
+        nodes = dedupe_nodes(nodes)
     if narrow:
         nodes, edges = narrow_types(nodes), narrow_types(edges)
     return Graph(nodes, edges)
@@ -82,8 +91,18 @@ def require_schema(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def dedupe_nodes(
     nodes: DataFrame, order_by: Iterable[str | Column] = ("label", "name")
 ) -> DataFrame:
-    """First row per ``node_id``; ranks are cut to one before the shuffle."""
-    first = Window.partitionBy("node_id").orderBy(*order_by)
+    """First row per ``node_id``; ranks are cut to one before the shuffle.
+
+    Rows equal in ``order_by`` are told apart by their other columns, so the
+    choice does not depend on the order of the input.
+    """
+    order_by = list(order_by)
+    rest = [
+        F.to_json(F.struct(f.name)) if isinstance(f.dataType, (MapType, VariantType)) else F.col(f.name)
+        for f in nodes.schema
+        if f.name not in (*(c for c in order_by if isinstance(c, str)), "node_id")
+    ]
+    first = Window.partitionBy("node_id").orderBy(*order_by, *rest)
     return (
         nodes.withColumn("_rank", F.row_number().over(first))
         .filter(F.col("_rank") == 1)
@@ -108,22 +127,24 @@ def snapshot(graph: Graph, path: str | None = None) -> Graph:
 
 
 def snapshot_tables(graph: Graph, name: str, buckets: int) -> None:
-    """Catalog tables bucketed on the join keys, for repeated extraction.
+    """Catalog tables ordered by the join keys, for repeated extraction.
 
-    Nodes are bucketed on their id, edges once on the source and once on the
-    target, so lookups and per-node ranking join without moving the big side.
+    Nodes are ranged by their id, edges once by the source and once by the
+    target, each with the other end: a file holds a narrow range of keys, which
+    a lookup finds by the files' minima and maxima, and a hub's edges spread
+    over as many files as their share asks for.
     """
+    ends = ("source_node_id", "target_node_id")
     layouts = (
-        (graph.nodes, "nodes", "node_id"),
-        (graph.edges, "edges_by_source", "source_node_id"),
-        (graph.edges, "edges_by_target", "target_node_id"),
+        (graph.nodes, "nodes", ("node_id",)),
+        (graph.edges, "edges_by_source", ends),
+        (graph.edges, "edges_by_target", ends[::-1]),
     )
-    for df, suffix, key in layouts:
+    for df, suffix, keys in layouts:
         (
-            df.repartition(buckets, key)
+            df.repartitionByRange(buckets, *keys)
+            .sortWithinPartitions(*keys)
             .write.mode("overwrite")
-            .bucketBy(buckets, key)
-            .sortBy(key)
             .saveAsTable(f"{name}_{suffix}")
         )
 

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from conftest import NODES
 from pyspark.sql import functions as F
 
 from kgweave.functions.columns import narrow_types, to_native
@@ -85,18 +86,26 @@ def test_snapshot(nodes, edges, tmp_path):
     assert stored.edges.count() == 14
 
 
-def test_bucketed_tables_join_without_moving_edges(spark, nodes, edges):
-    tables.snapshot_tables(Graph(nodes, edges), "kg", 4)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = joins.join_source(
-            spark.table("kg_edges_by_source"), spark.table("kg_nodes")
-        )
-        assert joined.count() == 13
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_a_hub_spreads_over_the_files_of_a_table(spark):
+    edges = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("source_node_id"),
+        (F.col("id") * 31 % 9001).alias("target_node_id"),
+        F.lit("r").alias("relation_type"),
+    )
+    nodes = spark.createDataFrame(NODES, "node_id bigint, label string, name string, properties string")
+    tables.snapshot_tables(Graph(nodes, edges), "kg", 9)
+    by_source = spark.table("kg_edges_by_source")
+    assert by_source.count() == 9000
+    sizes = by_source.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert sizes < 2 * 9000 / 9
+
+
+def test_dedupe_does_not_depend_on_input_order(spark):
+    rows = [(1, "A", "a", p) for p in ("x", "y", "z", None)]
+    made = lambda order: tables.dedupe_nodes(
+        spark.createDataFrame(order, "node_id bigint, label string, name string, properties string").coalesce(1)
+    ).collect()
+    assert made(rows) == made(rows[::-1])
 
 
 def test_export(nodes, edges, tmp_path):
