@@ -36,7 +36,9 @@ SHINGLE = 5
 THRESHOLD = 75
 #: One more prefix token asked for per so many tokens, in the first order.
 EXTRA = 16
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 2
+#: Tokens before a shared one that the last join looks at to name a pair once.
+RECENT = 16
 
 
 def _overlap(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -244,13 +246,19 @@ def _classes(records: DataFrame, scratch: Scratch, threshold: int) -> DataFrame
         if not records.take(1):
             return comps
         # `at`: how many shared tokens stand before one; `k`: how many there are.
-        postings = records.select("sig", "n", "comp", F.size("toks").alias("k"), F.posexplode("pre_a").alias("at", "token"))
-        postings = scratch.save(postings, "postings")
         one = F.struct(F.col("sig").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pc"), F.col("at").alias("p_at"), F.col("k").alias("p_k"))
         if last:
-            # Every pair that is still apart and passes the filters.
-            near = postings.join(postings.select("token", one.alias("p")).select("token", "p.*"), "token").filter((F.col("comp") < F.col("pc")) & _fits(threshold))
+            # Every pair that is still apart and passes the filters, at the first token that it
+            # shares: not where one of the RECENT tokens before is shared as well.
+            begin = F.greatest(F.col("at") - RECENT, F.lit(0))
+            placed = records.select("sig", "n", "comp", "pre_a", F.size("toks").alias("k"), F.posexplode("pre_a").alias("at", "token"))
+            placed = scratch.save(placed.select("sig", "n", "comp", "k", "at", "token", F.slice("pre_a", begin + 1, F.col("at") - begin).alias("recent")), "placed")
+            other = placed.select("token", one.alias("p"), F.col("recent").alias("p_recent")).select("token", "p.*", "p_recent")
+            first = ~F.arrays_overlap("recent", "p_recent")
+            near = placed.join(other, "token").filter((F.col("comp") < F.col("pc")) & _fits(threshold) & first)
         else:
+            postings = records.select("sig", "n", "comp", F.size("toks").alias("k"), F.posexplode("pre_a").alias("at", "token"))
+            postings = scratch.save(postings, "postings")
             # At first one pivot for all its tokens; later tokens of one set have many.
             seed = [F.col("sig"), F.lit(turn), *([F.col("token")] if turn else [])]
             pivots = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(one, F.xxhash64(*seed)).alias("p"))
