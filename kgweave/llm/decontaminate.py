@@ -83,6 +83,13 @@ def _bitmap(shingles: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>"), bits - 1
 
 
+def _held(value: Column, bitmap: Column, mask: int) -> Column:
+    """Whether the bit of a hash is set."""
+    slot = value.bitwiseAND(mask)
+    cell = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
+    return F.expr("1L").bitwiseAND(F.call_function("shiftright", cell, slot.bitwiseAND(63).cast("int"))) == 1
+
+
 def scan_documents(docs: DataFrame, bitmap: Column, mask: int, sizes: list[int], window: int = WINDOW) -> DataFrame:
     """doc_id, k (text hash), n_words and the found shingles: pos, hash, first (word of `near`), near."""
     w = F.col("w")
@@ -91,14 +98,9 @@ def scan_documents(docs: DataFrame, bitmap: Column, mask: int, sizes: list[int],
         places = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
         hashed = F.transform(places, lambda i: F.struct(i.alias("pos"), _shingle(w, i, size).alias("hash")))
 
-        def held(x: Column) -> Column:
-            slot = x["hash"].bitwiseAND(mask)
-            cell = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
-            return F.expr("1L").bitwiseAND(F.call_function("shiftright", cell, slot.bitwiseAND(63).cast("int"))) == 1
-
         first = lambda x: F.greatest(x["pos"] - (window - size), F.lit(0))
         return F.transform(
-            F.filter(hashed, held),
+            F.filter(hashed, lambda x: _held(x["hash"], bitmap, mask)),
             lambda x: F.struct(
                 x["pos"].alias("pos"),
                 x["hash"].alias("hash"),
@@ -143,6 +145,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         .filter(F.col("absent") == 0)
         .select("win_id", "win", F.col("low.hash").alias("hash"), F.col("low.off").alias("off"))
     )
+    rarest = scratch.save(rarest, "rarest")
+    # Most shingles found are common ones: only those that some window is met by are shuffled.
+    met, met_mask = _bitmap(rarest)
+    hits = hits.filter(_held(F.col("hash"), met, met_mask))
     start = F.col("pos") - F.col("off")
     length = F.size("win")
     matches = (
