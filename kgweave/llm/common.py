@@ -38,14 +38,15 @@ def _fs(spark: SparkSession, path: str):
 class Scratch:
     """Tables written in the shared folder: they cut lineage and outlive executors.
 
-    `drop` deletes those that no later step reads; what the result itself reads
-    stays until the application's folder is cleared.
+    `drop` deletes those of a name that no later step reads; what the result itself
+    reads stays until the application's folder is cleared.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.written: dict[str, list[str]] = {}
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -54,6 +55,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at, schema = self.path(name), df.schema
         df.write.option("compression", "zstd").parquet(at)
+        self.written.setdefault(name, []).append(at)
         del df
         self.release()
         return self.spark.read.schema(schema).parquet(at)
@@ -63,10 +65,10 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self, *dfs: DataFrame) -> None:
-        for df in dfs:
-            for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                fs, at = _fs(self.spark, file)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.written.pop(name, []):
+                fs, at = _fs(self.spark, path)
                 fs.delete(at, True)
 
 
@@ -212,4 +214,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         ra, rb = root.withColumnsRenamed({"c": "a", "root": "ra"}), root.withColumnsRenamed({"c": "b", "root": "rb"})
         moved = edges.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         edges = scratch.save(moved.filter(F.col("a") != F.col("b")).distinct(), "edges")
+    scratch.drop("edges", "parents", "jumped")
     return labels

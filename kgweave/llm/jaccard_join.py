@@ -243,6 +243,8 @@ def _classes(records: DataFrame, scratch: Scratch, threshold: int) -> DataFrame
     turn, last = 0, False
     while True:
         records = scratch.save(records, f"records-{turn}")
+        # What they were made of is not read again.
+        scratch.drop("tokens", "frequencies", f"records-{turn - 1}", "spread", "postings", "pivots", "pairs")
         if not records.take(1):
             return comps
         # `at`: how many shared tokens stand before one; `k`: how many there are.

@@ -542,8 +542,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     marked = scratch.save(repeated_anchors(plain, width).join(groups.select("k", "d"), "k"), "marked")
     texts = plain.join(marked, F.col("doc_id").eqNullSafe(F.col("d"))).select("k", "text", "places")
     texts = scratch.save(texts, "texts")
+    scratch.drop("marked")
     runs = sort_shards(scratch.save(shard_pieces(texts, width), "pieces"), width)
     runs = scratch.save(runs.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    scratch.drop("pieces")
 
     def cut(batches):
         for batch in batches:
