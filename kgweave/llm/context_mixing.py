@@ -3,18 +3,19 @@
 Text is a sequence of binary decisions: each byte (and the end of the text) is
 coded by the prefix code of the training bytes' frequencies, about four decisions
 a byte.  For each decision, predictors of several orders look up their context
-(the last 1 to 6 bytes and the place in the code, hashed into one table) and give
-the log odds seen in training.  A mixer adds them by weights, which a gate picks
+(the last 1 to 6 bytes and the place in the code) and give the log odds seen in
+training.  A mixer adds them by weights, which a gate picks
 by how many orders know their context; after each decision the weights move along
 the coding loss.  The mix is refined by an adaptive map from its log odds to the
 rate of ones seen since.  Mixer and map start anew every LANE decisions, so lanes
 run side by side as array operations, and a score does not depend on what else a
 task holds.
 
-The table is learned from all training documents: tasks count zeros and ones per
-slot and send the counts in blocks, which are added up as they arrive.  It has
-SLOTS slots whatever the corpus; that is the model's size, and what bounds its
-broadcast.  Beside it stands an add-0.1 unigram model over words, exact: common
+The table is learned from all training documents and grows with them: it holds, for
+every context of every order, how often each symbol followed it, exactly (six bytes
+and the order fit a key, so nothing is hashed together).  The most frequent contexts
+(at most HOT_PAIRS counts) are broadcast; documents are scored in batches, and each
+batch's other distinct contexts meet the table in a join.  Beside it stands an add-0.1 unigram model over words, exact: common
 words (at most COMMON, broadcast) are counted in place, the rest by a join.
 """
 
@@ -27,15 +28,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.llm.common import Scratch, Words, text_chunks
 
 ORDERS = (1, 2, 3, 4, 6)
+#: A hashed table in place of the exact one, for callers of code_bits that bring their own odds.
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
-BLOCK = 1024
+#: Bits of a symbol behind its context in a packed key.
+SYMBOL_BITS = 9
+#: (context, symbol) counts that are broadcast, at most; the others are joined.
+HOT_PAIRS = 1 << 21
+#: Pairs that a task sums up before it sends them.
+HELD_PAIRS = 1 << 22
 LANE = 2048
 #: Steps laid out at a time.
 STEPS = 64
@@ -47,6 +55,8 @@ END = 256
 #: The hash of the end token, beside those of words.
 END_TOKEN = 1
 MODEL_BYTES = 3 << 18
+#: Bytes of text that are scored together; one longer text is a batch of its own.
+BATCH_BYTES = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -124,10 +134,20 @@ class Decisions:
         # Code rows one after the other: a decision's place is its symbol's row plus its step.
         longest = code.node.shape[1]
         place = np.arange(total[-1]) - np.repeat(total[:-1] - now.astype(np.int64) * longest, count)
+        self.code, self.now, self.begin = code, now, total[:-1]
         self.node = (code.node.ravel() * np.uint32(0x9E3779B1))[place]
         self.bit = code.bit.ravel()[place]
         self.first = np.concatenate((total[np.searchsorted(coded, first)], total[-1:]))
-        self.coded, self.back = coded, (symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        self.coded, self.symbols = coded, symbols
+        self.back = (symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        """By order: each symbol behind its order and its last bytes, packed into 60 bits."""
+        context = np.zeros(len(self.coded), np.int64)
+        for k in range(1, max(ORDERS) + 1):
+            context |= self.symbols[self.coded - k].astype(np.int64) << (8 * (k - 1))
+            if k in ORDERS:
+                yield ((context | (k << 48)) << SYMBOL_BITS) | self.now
 
     def slots(self) -> Iterator[np.ndarray]:
         context = np.zeros(len(self.coded), np.uint32)
@@ -172,38 +192,67 @@ def count_symbols(docs: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "token").agg(F.sum("count").alias("count"))
 
 
-def learn_table(docs: DataFrame, code: Code) -> DataFrame:
-    """block, odds: the log odds of BLOCK slots as 16-bit floats, NaN where nothing was seen."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    if not len(key):
+        return key, count
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[lead], np.add.reduceat(count, lead)
+
+
+def count_contexts(docs: DataFrame, code: Code) -> DataFrame:
+    """context, total, seen: how often each symbol followed each context in the training documents."""
 
     def count(batches):
-        counts = np.zeros(2 * SLOTS, np.uint32)
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def rows(key, n):
+            for lo in range(0, len(key), 1 << 18):
+                some = slice(lo, lo + (1 << 18))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[some] >> SYMBOL_BITS), pa.array((key[some] & 511).astype(np.int16)), pa.array(n[some])], names=["context", "symbol", "n"]
+                )
+
         for batch in batches:
             batch = _only(batch)
             for *_, data, offsets in text_chunks(batch.column("text"), MODEL_BYTES):
-                seen = Decisions(data, offsets, code)
-                for slot in seen.slots():
-                    np.add.at(counts, slot * np.uint32(2) + seen.bit, np.uint32(1))
-        by_block = np.ascontiguousarray(counts.reshape(SLOTS, 2).T).reshape(2, SLOTS // BLOCK, BLOCK)
-        held = np.flatnonzero(by_block.any(axis=(0, 2)))
-        for some in np.array_split(held, max(1, len(held) // 256)):
-            packed = [zlib.compress(by_block[:, b].tobytes(), 1) for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["block", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
-                sums[block] = sums[block] + more if block in sums else more
-        odds = []
-        for total in sums.values():
-            zeros, ones = total.reshape(2, BLOCK)
-            value = np.clip(np.log((ones + 0.1) / (zeros + 0.1)), -9, 9)
-            odds.append(np.where(zeros + ones > 0, value, np.nan).astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(odds, pa.binary())], names=["block", "odds"])
-
-    sent = docs.select("doc_id", "text").mapInArrow(count, "block bigint, counts binary").repartition("block")
-    return sent.mapInArrow(add, "block bigint, odds binary")
+                for pairs in Decisions(data, offsets, code).pairs():
+                    key, n = np.unique(pairs, return_counts=True)
+                    keys.append(key)
+                    counts.append(n)
+                if sum(map(len, keys)) > HELD_PAIRS:
+                    key, n = _summed(keys, counts)
+                    keys, counts = [key], [n]
+                    if len(key) > HELD_PAIRS // 2:
+                        yield from rows(key, n)
+                        keys, counts = [], []
+        if keys:
+            yield from rows(*_summed(keys, counts))
+
+    sent = docs.select("doc_id", "text").mapInArrow(count, "context bigint, symbol smallint, n bigint").repartition("context")
+    pairs = sent.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("seen"))
+
+
+def hot_contexts(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted packed keys and counts of the most frequent contexts, at most HOT_PAIRS of them."""
+    level = F.floor(F.log2("total") * 8)
+    sizes = contexts.groupBy(level.alias("level")).agg(F.sum(F.size("seen")).alias("pairs")).orderBy(F.desc("level")).collect()  # 8 rows a doubling
+    least, room = None, HOT_PAIRS
+    for row in sizes:
+        room -= row["pairs"]
+        if room < 0:
+            break
+        least = row["level"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = contexts.filter(level >= F.lit(least)).select("context", F.inline("seen")).toArrow()
+    key = (found["context"].to_numpy() << SYMBOL_BITS) | found["symbol"].to_numpy()
+    order = np.argsort(key)
+    return key[order], found["n"].to_numpy()[order]
 
 
 # --- scoring -----------------------------------------------------------------------------------
@@ -215,8 +264,54 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def code_bits(seen: Decisions, odds: np.ndarray) -> np.ndarray:
-    """Bits that the mixed model spends on each document of the chunk.
+def _of_contexts(contexts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the context, symbol and count of all that a table of packed keys has on sorted contexts."""
+    keys, counts = table
+    lo = np.searchsorted(keys, contexts << SYMBOL_BITS)
+    size = np.searchsorted(keys, (contexts + 1) << SYMBOL_BITS) - lo
+    at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+    return np.repeat(np.arange(len(contexts)), size), keys[at] & 511, counts[at]
+
+
+class Exact:
+    """Log odds of decisions from counts of (context, symbol), in tables of packed keys that share no context."""
+
+    def __init__(self, *tables: tuple[np.ndarray, np.ndarray]):
+        self.tables = tables
+
+    def values(self, seen: Decisions) -> Iterator[np.ndarray]:
+        """By order, one value per decision; NaN where no training document came by."""
+        code = seen.code
+
+        def nodes(context, symbol):
+            """(context, node) of each decision of each symbol, its bit, and the number of decisions."""
+            size = code.length[symbol]
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            row = np.repeat(symbol, size)
+            return (np.repeat(context, size) << 8) | code.node[row, step], code.bit[row, step], size
+
+        for pairs in seen.pairs():
+            pair, back = np.unique(pairs, return_inverse=True)
+            contexts, which = np.unique(pair >> SYMBOL_BITS, return_inverse=True)
+            held, symbol, n = map(np.concatenate, zip(*(_of_contexts(contexts, t) for t in self.tables), strict=True))
+            place, bit, size = nodes(held, symbol)
+            n = np.repeat(n, size)
+            order = np.argsort(place, kind="stable")
+            place, n, bit = place[order], n[order], bit[order]
+            lead = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+            all_, ones = (np.add.reduceat(x, lead) if len(lead) else np.zeros(0) for x in (n, n * bit))
+            odds = np.clip(np.log((ones + 0.1) / (all_ - ones + 0.1)), -9, 9).astype(np.float32)
+            asked, _, size = nodes(which, pair & 511)
+            place = place[lead]
+            at = np.searchsorted(place, asked)
+            at[at == len(place)] = 0
+            value = np.where(place[at] == asked, odds[at], np.float32(np.nan)) if len(place) else np.full(len(asked), np.nan, np.float32)
+            row = (np.cumsum(size) - size)[back] - seen.begin
+            yield value.take(np.arange(len(seen.bit)) + row[seen.owner])
+
+
+def code_bits(seen: Decisions, odds: np.ndarray | Exact) -> np.ndarray:
+    """Bits that the mixed model spends on each document of the chunk, by exact odds or odds per slot.
 
     Every document's decisions are laid out in lanes of LANE, the last one padded;
     step t of all lanes is one set of array operations.
@@ -228,8 +323,7 @@ def code_bits(seen: Decisions, odds: np.ndarray) -> np.ndarray:
     place = np.arange(len(seen.bit)) + np.repeat(ahead * LANE - seen.first[:-1], sizes)
     known = np.zeros(n * LANE, np.uint8)
     inputs = []
-    for slot in seen.slots():
-        value = odds.take(slot)
+    for value in odds.values(seen) if isinstance(odds, Exact) else map(odds.take, seen.slots()):
         new = np.isnan(value)
         value[new] = 0
         known[place] += ~new
@@ -305,14 +399,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     for row in counted.filter("kind = 1").collect():  # 257 rows
         seen_bytes[row["token"]] = row["count"]
     code = prefix_code(seen_bytes)
-    # At most COMMON rows, and SLOTS slots of two bytes.
+    # At most COMMON rows, and HOT_PAIRS counts.
     common = counts.orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     common = common.sort_values("token")
     tokens = spark.sparkContext.broadcast((common["token"].to_numpy(), common["count"].to_numpy(np.int64)))
-    table = np.full(SLOTS, np.nan, np.float16)
-    for row in scratch.save(learn_table(plain, code), "table").collect():
-        table[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["odds"], np.float16)
-    odds = spark.sparkContext.broadcast(table.astype(np.float32))
+    contexts = scratch.save(count_contexts(plain, code), "contexts")
+    hot = spark.sparkContext.broadcast(hot_contexts(contexts))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def lookup(hashes):
@@ -340,27 +432,60 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     [pa.array(h[where].view(np.int64)), pa.array(key[d[where]].view(np.int64)), pa.array(times.astype(np.int32))], names=["token", "k", "times"]
                 )
 
-    def whole(batches):
+    def dealt(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        names = np.unique(hot.value[0] >> SYMBOL_BITS)
         for batch in batches:
-            parts = []
-            for lo, hi, data, offsets in text_chunks(batch.column("text"), MODEL_BYTES):
-                words = Words(data, offsets)
-                hashes = words.hashes(fold=True)
-                key = _key(batch.column("doc_id"), words, hashes, data, offsets, lo)
-                # The end token is of this chunk's every document.
-                every = np.append(hashes, np.array([END_TOKEN], np.uint64))
-                found, c = lookup(every)
-                logs = np.where(found, np.log10(c + 0.1), 0.0)
-                base = np.bincount(words.doc, logs[:-1], words.docs) + logs[-1] + (0 if found[-1] else np.log10(0.1))
-                known = np.bincount(words.doc, found[:-1], words.docs).astype(np.int64) + int(found[-1])
-                bits = code_bits(Decisions(data, offsets, code), odds.value)
-                held = np.array([held_out(i) for i in batch.column("doc_id").slice(lo, hi - lo).to_pylist()], bool)
-                parts.append((key.view(np.int64), held, words.per_doc + 1, known, base, bits, np.diff(offsets)))
-            if parts:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "k", "held_out", "n_tokens", "known", "base", "bits", "n_bytes"])
-
-    own = scratch.save(plain.mapInArrow(whole, f"doc_id {kind}, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint"), "own")
+            for lo, hi, data, offsets in text_chunks(batch.column("text"), BATCH_BYTES):
+                met = np.unique(np.concatenate([np.unique(p >> SYMBOL_BITS) for p in Decisions(data, offsets, code).pairs()]))
+                if len(names):
+                    met = met[names[np.minimum(np.searchsorted(names, met), len(names) - 1)] != met]
+                name = np.int64(part << 32 | number)
+                number += 1
+                rows = hi - lo
+                none = pa.nulls(rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name)), batch.column("doc_id").slice(lo, rows), batch.column("text").slice(lo, rows), none], names=["batch", "doc_id", "text", "asks"])
+                asks = pa.ListArray.from_arrays(pa.array([0, len(met)], pa.int32()), pa.array(met, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.nulls(1, batch.schema.field("doc_id").type), pa.nulls(1, batch.schema.field("text").type), asks], names=["batch", "doc_id", "text", "asks"]
+                )
+
+    def whole(rows, told):
+        told = told.combine_chunks()
+        lists = pa.concat_arrays(told["seen"].chunks) if told.num_rows else None
+        if lists is None:
+            more = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        else:
+            flat = lists.flatten()
+            key = (np.repeat(told["context"].to_numpy(), lists.value_lengths().to_numpy()) << SYMBOL_BITS) | flat.field("symbol").to_numpy()
+            order = np.argsort(key)
+            more = key[order], flat.field("n").to_numpy()[order]
+        parts, exact = [], Exact(hot.value, more)
+        ids, texts = (pa.concat_arrays(rows[c].chunks) for c in ("doc_id", "text"))
+        for lo, hi, data, offsets in text_chunks(texts, BATCH_BYTES):
+            words = Words(data, offsets)
+            hashes = words.hashes(fold=True)
+            key = _key(ids, words, hashes, data, offsets, lo)
+            # The end token is of this chunk's every document.
+            every = np.append(hashes, np.array([END_TOKEN], np.uint64))
+            found, c = lookup(every)
+            logs = np.where(found, np.log10(c + 0.1), 0.0)
+            base = np.bincount(words.doc, logs[:-1], words.docs) + logs[-1] + (0 if found[-1] else np.log10(0.1))
+            known = np.bincount(words.doc, found[:-1], words.docs).astype(np.int64) + int(found[-1])
+            bits = code_bits(Decisions(data, offsets, code), exact)
+            held = np.array([held_out(i) for i in ids.slice(lo, hi - lo).to_pylist()], bool)
+            parts.append((key.view(np.int64), held, words.per_doc + 1, known, base, bits, np.diff(offsets)))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+        return pa.Table.from_arrays([ids, *columns], names=["doc_id", "k", "held_out", "n_tokens", "known", "base", "bits", "n_bytes"])
+
+    batches = scratch.save(plain.mapInArrow(dealt, f"batch bigint, doc_id {kind}, text string, asks array<bigint>"), "batches")
+    asks = batches.filter("asks IS NOT NULL").select(F.col("batch").alias("of"), F.explode("asks").alias("context"))
+    told = asks.join(contexts, "context").select("of", "context", "seen")
+    scored = batches.filter("asks IS NULL").select("batch", "doc_id", "text").groupBy("batch").cogroup(told.groupBy("of"))
+    own = scratch.save(
+        scored.applyInArrow(whole, f"doc_id {kind}, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint"), "own"
+    )
+    scratch.drop("batches", "contexts")
     asked = plain.mapInArrow(rare, "token bigint, k bigint, times int")
     met = asked.join(counts.withColumnRenamed("count", "c"), "token", "left")
     more = met.groupBy("k").agg(

@@ -398,6 +398,36 @@ def test_mixing_is_a_probability():
     assert np.allclose(two, [one[0], one[0]])
 
 
+def context_counts(texts):
+    """(order, last bytes, symbol) -> count, the end of a text as 256."""
+    out = collections.Counter()
+    for text in texts:
+        data = bytes(max(context_mixing.ORDERS)) + text.lower().encode()
+        for i in range(max(context_mixing.ORDERS), len(data) + 1):
+            for k in context_mixing.ORDERS:
+                out[k, data[i - k : i], data[i] if i < len(data) else 256] += 1
+    return out
+
+
+def test_context_counts_are_exact(spark, monkeypatch):
+    """Every context keeps counts of its own, and a joined context scores like a broadcast one."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    code = context_mixing.prefix_code(np.arange(257))
+    got = {}
+    for row in context_mixing.count_contexts(docs, code).collect():
+        k = row.context >> 48
+        last = (row.context & ((1 << 48) - 1)).to_bytes(6, "big")[6 - k :]
+        got.update({(k, last, s.symbol): s.n for s in row.seen})
+    assert got == context_counts(t for i, t in rows if not context_mixing.held_out(i))
+    hot = {r.doc_id: r.score for r in context_mixing.score_documents(docs).collect()}
+    monkeypatch.setattr(context_mixing, "HOT_PAIRS", 500)
+    assert len(context_mixing.hot_contexts(context_mixing.count_contexts(docs, code))[0]) <= 500
+    joined = {r.doc_id: r.score for r in context_mixing.score_documents(docs).collect()}
+    assert hot.keys() == joined.keys() and all(math.isclose(hot[i], joined[i], rel_tol=1e-6) for i in hot)
+
+
 def test_score_odd_rows(odd, empty):
     got = context_mixing.score_documents(odd).collect()
     assert len(got) == len(ODD)
