@@ -7,9 +7,9 @@ a byte.  For each decision, predictors of several orders look up their context
 training.  A mixer adds them by weights, which a gate picks
 by how many orders know their context; after each decision the weights move along
 the coding loss.  The mix is refined by an adaptive map from its log odds to the
-rate of ones seen since.  Mixer and map start anew every LANE decisions, so lanes
-run side by side as array operations, and a score does not depend on what else a
-task holds.
+rate of ones seen since.  Mixer and map start anew with each document and last to
+its end; documents run side by side as array operations, and a score does not
+depend on what else a task holds.
 
 The table is learned from all training documents and grows with them: it holds, for
 every context of every order, how often each symbol followed it, exactly (six bytes
@@ -44,7 +44,6 @@ SYMBOL_BITS = 9
 HOT_PAIRS = 1 << 21
 #: Pairs that a task sums up before it sends them.
 HELD_PAIRS = 1 << 22
-LANE = 2048
 #: Steps laid out at a time.
 STEPS = 64
 RATE, REFINE_RATE, START = 0.01, 0.02, 0.3
@@ -313,48 +312,44 @@ class Exact:
 def code_bits(seen: Decisions, odds: np.ndarray | Exact) -> np.ndarray:
     """Bits that the mixed model spends on each document of the chunk, by exact odds or odds per slot.
 
-    Every document's decisions are laid out in lanes of LANE, the last one padded;
-    step t of all lanes is one set of array operations.
+    Each document is a lane from its first decision to its last, the longest lane
+    first; step t of all lanes that reach it is one set of array operations.
     """
     sizes = np.diff(seen.first)
-    lanes = -(-sizes // LANE)
-    ahead = np.cumsum(lanes) - lanes
-    n, k = int(lanes.sum()), len(ORDERS)
-    place = np.arange(len(seen.bit)) + np.repeat(ahead * LANE - seen.first[:-1], sizes)
-    known = np.zeros(n * LANE, np.uint8)
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes = seen.first[:-1][order], sizes[order]
+    n, k = len(sizes), len(ORDERS)
+    known = np.zeros(len(seen.bit), np.uint8)
     inputs = []
     for value in odds.values(seen) if isinstance(odds, Exact) else map(odds.take, seen.slots()):
         new = np.isnan(value)
         value[new] = 0
-        known[place] += ~new
-        flat = np.zeros(n * LANE, np.float32)
-        flat[place] = value
-        inputs.append(flat.reshape(n, LANE))
-    bits = np.full(n * LANE, -1, np.float32)  # less than 0: padding
-    bits[place] = seen.bit
-    bits, known = bits.reshape(n, LANE), known.reshape(n, LANE)
-    gates = np.arange(n) * (k + 1)
-    weights = [np.full(n * (k + 1), START, np.float32) for _ in ORDERS]
+        known += ~new
+        inputs.append(value.astype(np.float32, copy=False))
+    weights = np.full((n * (k + 1), k), START, np.float32)
     refine = np.tile(_squash(_CENTRES), n)
-    cells = np.arange(n) * len(_CENTRES) + 16
     spent = np.zeros(n)
-    for t in range(0, LANE, STEPS):
-        some = slice(t, t + STEPS)
-        xs = np.stack([flat[:, some].T for flat in inputs], axis=1)
-        now, gate = np.ascontiguousarray(bits[:, some].T), known[:, some].T + gates
+    for t in range(0, int(sizes[0]) if n else 0, STEPS):
+        live = int(np.searchsorted(-sizes, -t))
+        steps = min(STEPS, int(sizes[0]) - t)
+        at = first[:live] + np.arange(t, t + steps)[:, None]
+        over = at >= first[:live] + sizes[:live]
+        np.minimum(at, len(seen.bit) - 1, out=at)
+        gates, cells = np.arange(live) * (k + 1), np.arange(live) * len(_CENTRES) + 16
+        xs = np.stack([value.take(at) for value in inputs], axis=2)
+        now = seen.bit.take(at).astype(np.float32)
+        now[over] = -1  # less than 0: after a lane's end
+        gate = known.take(at) + gates
         chance = np.empty_like(now)
         for x, bit, row, out in zip(xs, now, gate, chance, strict=True):
-            w = [each.take(row) for each in weights]
-            dot = w[0] * x[0]
-            for each, value in zip(w[1:], x[1:], strict=True):
-                dot += each * value
+            w = weights.take(row, axis=0)
+            dot = np.einsum("ij,ij->i", w, x)
             p = np.exp(-dot)
             p += 1
             np.reciprocal(p, out=p)
-            x *= (bit - p) * np.float32(RATE)
-            for whole, each, step in zip(weights, w, x, strict=True):
-                each += step
-                whole[row] = each
+            x *= ((bit - p) * np.float32(RATE))[:, None]
+            w += x
+            weights[row] = w
             # The nearest cell of the adaptive map.
             dot *= 2
             np.rint(dot, out=dot)
@@ -367,8 +362,10 @@ def code_bits(seen: Decisions, odds: np.ndarray | Exact) -> np.ndarray:
         np.clip(chance, LEAST_P, 1 - LEAST_P, out=chance)
         right = np.where(now > 0, chance, 1 - chance)
         right[now < 0] = 1
-        spent -= np.log2(right).sum(axis=0, dtype=np.float64)
-    return np.add.reduceat(spent, ahead) if len(sizes) else np.zeros(0)
+        spent[:live] -= np.log2(right).sum(axis=0, dtype=np.float64)
+    out = np.empty(n)
+    out[order] = spent
+    return out
 
 
 def _key(ids: pa.Array, words: Words, hashes: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: int) -> np.ndarray:

@@ -398,6 +398,41 @@ def test_mixing_is_a_probability():
     assert np.allclose(two, [one[0], one[0]])
 
 
+def plain_mixer(bits, inputs):
+    """Bits spent on one document's decisions, one at a time."""
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    weights = [[context_mixing.START] * len(inputs) for _ in range(len(inputs) + 1)]
+    refine = [squash(c / 2) for c in range(-16, 17)]
+    spent = 0.0
+    for t, bit in enumerate(bits):
+        xs = [0.0 if math.isnan(v[t]) else float(v[t]) for v in inputs]
+        w = weights[sum(not math.isnan(v[t]) for v in inputs)]
+        dot = sum(a * b for a, b in zip(w, xs, strict=True))
+        p = squash(dot)
+        for i, x in enumerate(xs):
+            w[i] += context_mixing.RATE * (bit - p) * x
+        cell = min(max(round(2 * dot), -16), 16) + 16
+        chance = min(max((p + refine[cell]) / 2, context_mixing.LEAST_P), 1 - context_mixing.LEAST_P)
+        refine[cell] += context_mixing.REFINE_RATE * (bit - refine[cell])
+        spent -= math.log2(chance if bit else 1 - chance)
+    return spent
+
+
+def test_mixer_learns_through_a_whole_document():
+    code = context_mixing.prefix_code(np.arange(257))
+    rng = random.Random(8)
+    docs = [bytes(rng.choice(b"abcde ") for _ in range(n)) for n in (3000, 0, 7, 1200)]
+    offsets = np.concatenate(([0], np.cumsum(list(map(len, docs)))))
+    seen = context_mixing.Decisions(np.frombuffer(b"".join(docs), np.uint8), offsets, code)
+    odds = np.random.RandomState(1).normal(size=context_mixing.SLOTS).astype(np.float32)
+    odds[::3] = np.nan
+    inputs = [odds.take(slot) for slot in seen.slots()]
+    spans = list(zip(seen.first[:-1], seen.first[1:], strict=True))
+    want = [plain_mixer(seen.bit[a:b].tolist(), [x[a:b] for x in inputs]) for a, b in spans]
+    # A decision near the border of two cells of the map may go to either.
+    assert np.allclose(context_mixing.code_bits(seen, odds), want, rtol=1e-3)
+
+
 def context_counts(texts):
     """(order, last bytes, symbol) -> count, the end of a text as 256."""
     out = collections.Counter()
