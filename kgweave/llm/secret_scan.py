@@ -13,17 +13,20 @@ three tests give p-values:
 Fisher's method combines them.  Short strings pass such tests for lack of
 evidence, so a decision needs the length.  Candidates are pooled by encoding and
 length class over all documents, as histograms of the combined p-value (a bounded
-table, merged from all tasks).  In each pool
-
-* Benjamini-Hochberg at level FDR decides which candidates are *not* random: few
-  of those dismissed would be true secrets;
-* of the candidates left, the expected number of natural strings that merely
-  passed is estimated from what was dismissed and the tests' power at that
-  length; a pool where these exceed the share FDR of those left gives no finding.
+table, merged from all tasks).  Each bin of p of each pool is decided for itself by
+its local false-discovery rate, the share of natural strings among its candidates:
+
+* random strings fall into bins as p-values do; how strings of prose of that length
+  fall is found by running all three tests on drawn ones, continued as an
+  exponential where drawn ones are few;
+* the numbers of random and natural strings are fitted to the histogram of the pool
+  and, by half, its neighbours in length; at least NATURAL of them count as natural;
+* what a bin holds beyond the fit's random strings and chance is natural too.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -46,6 +49,8 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}")
 FDR = 0.01
+#: Least share of natural strings in a pool, strings of prose drawn per pool, and their length at most.
+NATURAL, DRAWN, DRAWN_LENGTH = 0.1, 4000, 256
 BINS = 60
 BIN_WIDTH = 0.5  # of -ln p
 #: Alphabets, smallest first.
@@ -84,47 +89,63 @@ def encoding(text: str) -> str | None:
     return next((name for name, letters in _SETS if used <= letters), None)
 
 
-def battery(text: str, name: str) -> tuple[float, float, float]:
-    """p-values of uniformity, runs and serial correlation under randomness."""
-    places = np.array([_PLACE[name][c] for c in text.rstrip("=")])
-    m, n = len(ALPHABETS[name]), len(places)
-    counts = np.bincount(places, minlength=m)
-    x = float(((counts - n / m) ** 2).sum() * m / n)
+def batteries(places: np.ndarray, m: int) -> tuple[list[float], list[float], list[float]]:
+    """p-values of uniformity, runs and serial correlation of each row of places in an alphabet of m."""
+    rows, n = places.shape
+    counts = np.bincount((places + np.arange(rows)[:, None] * m).ravel(), minlength=rows * m).reshape(rows, m)
+    x = ((counts - n / m) ** 2).sum(axis=1) * m / n
     # Sparse counts spread wider than chi-squared's variance tells: scale to the exact one.
     variance = 2 * (m - 1) * (1 - 1 / n)
     df = 2 * (m - 1) ** 2 / variance
-    uniform = chi_squared_tail(x * df / (m - 1), df)
+    uniform = [chi_squared_tail(v, df) for v in (x * df / (m - 1)).tolist()]
     high = places >= m // 2
-    changes = int((high[1:] != high[:-1]).sum())
+    changes = (high[:, 1:] != high[:, :-1]).sum(axis=1)
     rate = 2 * (m // 2) * (m - m // 2) / (m * m)
     z = (abs(changes - (n - 1) * rate) - 0.5) / math.sqrt(max((n - 1) * rate * (1 - rate), 1e-9))
-    runs = min(1.0, 2 * _normal_tail(max(z, 0.0)))
+    runs = [min(1.0, 2 * _normal_tail(max(v, 0.0))) for v in z.tolist()]
     centred = places - (m - 1) / 2
     spread = (m * m - 1) / 12
-    r = float((centred[1:] * centred[:-1]).sum()) / (spread * math.sqrt(n - 1))
-    serial = min(1.0, 2 * _normal_tail(abs(r)))
+    r = (centred[:, 1:] * centred[:, :-1]).sum(axis=1) / (spread * math.sqrt(n - 1))
+    serial = [min(1.0, 2 * _normal_tail(abs(v))) for v in r.tolist()]
     return uniform, runs, serial
 
 
+def battery(text: str, name: str) -> tuple[float, float, float]:
+    """p-values of uniformity, runs and serial correlation under randomness."""
+    places = np.array([[_PLACE[name][c] for c in text.rstrip("=")]])
+    return tuple(p[0] for p in batteries(places, len(ALPHABETS[name])))
+
+
 def combined(p: tuple[float, ...]) -> float:
     """Fisher's method for three p-values: the tail of chi-squared with 6 degrees of freedom."""
     half = -sum(math.log(max(x, 1e-300)) for x in p)
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def power(name: str, length: int) -> float:
-    """Chance that the chi-squared test at level FDR tells prose of this length from random symbols."""
-    letters = ALPHABETS[name].lower()
-    share = np.array([PROSE[ord(c) - 97] if c.isalpha() else 0.05 for c in letters])
+def p_bin(p: float) -> int:
+    return min(BINS - 1, int(-math.log(max(p, 1e-300)) / BIN_WIDTH))
+
+
+@functools.cache
+def prose_bins(name: str, length: int) -> np.ndarray:
+    """Chance of each bin of p for strings of prose of this length, by all three tests."""
+    letters = ALPHABETS[name]
+    share = np.array([PROSE[ord(c) - 97] if c.isalpha() else 0.05 for c in letters.lower()])
     if name in ("base62", "base64", "base64url"):
-        share = np.where([c.isupper() for c in ALPHABETS[name]], share * 0.05, share)
-    share = share / share.sum()
-    m = len(letters)
-    noncentral = length * m * float(((share - 1 / m) ** 2).sum())
-    df = m - 1
-    critical = df * (1 - 2 / (9 * df) + 2.326 * math.sqrt(2 / (9 * df))) ** 3
-    mean, spread = df + noncentral, math.sqrt(2 * (df + 2 * noncentral))
-    return _normal_tail((critical - mean) / spread)
+        share = np.where([c.isupper() for c in letters], share * 0.05, share)
+    m, n = len(letters), min(length, DRAWN_LENGTH)
+    drawn = np.random.RandomState(n * 64 + m).choice(m, (DRAWN, n), p=share / share.sum())
+    bins = np.array([p_bin(combined(p)) for p in zip(*batteries(drawn, m), strict=True)])
+    count = np.bincount(bins, minlength=BINS).astype(float)
+    # Below the first bins with some thirty strings each the logarithm goes on as a line.
+    enough = np.flatnonzero(count >= 30)
+    if len(enough) and enough[0] > 0:
+        a = enough[0]
+        b = min(a + 4, int(enough[-1]))
+        slope = max(0.25, math.log(count[b] / count[a]) / (b - a)) if b > a else 0.25
+        below = np.arange(a)
+        count[below] = np.maximum(count[below], count[a] * np.exp(-slope * (a - below)))
+    return count / count.sum()
 
 
 def length_class(length: int) -> int:
@@ -166,8 +187,7 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         if name is None:
             continue
         p = combined(battery(m[0], name))
-        place = min(BINS - 1, int(-math.log(max(p, 1e-300)) / BIN_WIDTH))
-        out.append((start, end, name, length_class(len(m[0].rstrip("="))), place))
+        out.append((start, end, name, length_class(len(m[0].rstrip("="))), p_bin(p)))
     return out
 
 
@@ -201,6 +221,29 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCANNED}")
 
 
+def local_rates(counts: np.ndarray, near: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """By bin, the share of natural strings; `near` is the histogram that the numbers are fitted to."""
+    edges = np.exp(-BIN_WIDTH * np.arange(BINS + 1))
+    edges[-1] = 0
+    chance = edges[:-1] - edges[1:]
+    # Natural strings unlike prose: anywhere where random ones hardly are.
+    other = (np.arange(BINS) >= 20) / (BINS - 20)
+    kinds = np.stack((chance, prose, other))
+    share = np.full(3, 1 / 3)
+    for _ in range(200):
+        part = share[:, None] * kinds
+        part = part / np.maximum(part.sum(axis=0), 1e-300) * near
+        share = part.sum(axis=1) / near.sum()
+    natural = max(share[1], NATURAL)
+    random = min(share[0], 1 - NATURAL)
+    rate = natural * prose / np.maximum(natural * prose + random * chance, 1e-300)
+    expected = random * counts.sum() * chance
+    # More than chance gives in any of the bins but with probability FDR (Bernstein's bound of a Poisson count).
+    t = math.log(BINS / FDR)
+    excess = counts - expected - np.sqrt(2 * t * expected) - t / 3
+    return np.maximum(rate, np.where(counts > 0, excess / np.maximum(counts, 1), 0))
+
+
 def decisions(histogram: list[tuple[str, int, int, int]], fdr: float = FDR) -> dict[tuple[str, int], int]:
     """From (encoding, length class, bin, count): the first dismissed bin of each pool that gives findings."""
     pools: dict[tuple[str, int], np.ndarray] = {}
@@ -208,17 +251,10 @@ def decisions(histogram: list[tuple[str, int, int, int]], fdr: float = FDR) -> d
         pools.setdefault((name, size), np.zeros(BINS, np.int64))[place] += count
     out = {}
     for (name, size), counts in pools.items():
-        total = counts.sum()
-        # Rejections down to a bin's larger p-value must number enough for that p-value.
-        tail = np.cumsum(counts[::-1])[::-1]
-        largest = np.exp(-BIN_WIDTH * np.arange(BINS))
-        good = np.flatnonzero((tail > 0) & (largest <= fdr * tail / total))
-        cut = int(good[0]) if len(good) else BINS
-        left, dismissed = int(counts[:cut].sum()), int(counts[cut:].sum())
-        strength = power(name, class_length(size))
-        passed = dismissed * (1 - strength) / max(strength, 1e-9)
-        # A pool without enough power at its length finds nothing, however few were dismissed.
-        if left and strength >= 1 - fdr and passed <= fdr * left:
+        near = counts + 0.5 * sum(pools.get((name, size + d), np.zeros(BINS)) for d in (-1, 1))
+        good = local_rates(counts, near, prose_bins(name, class_length(size))) <= fdr
+        cut = BINS if good.all() else int(np.argmin(good))
+        if cut:
             out[name, size] = cut
     return out
 

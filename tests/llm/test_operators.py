@@ -135,6 +135,27 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert sum(got[100 + i].n_random for i in range(60)) == 0
 
 
+def test_keys_are_found_however_many_natural_strings_there_are():
+    """A pool is not silenced by its natural strings, and random keys of 24 characters are found."""
+    rng = random.Random(6)
+    letters = secret_scan.ALPHABETS["base62"]
+    prose = [c for c in "etaoinshrdlu" for _ in range(8)] + list("cmfwypvbgkETAO")
+
+    def bins(length, symbols, n):
+        out = collections.Counter()
+        for _ in range(n):
+            text = "".join(rng.choice(symbols) for _ in range(length))
+            out[secret_scan.p_bin(secret_scan.combined(secret_scan.battery(text, "base62")))] += 1
+        return out
+
+    for length, natural, least in ((40, 100, 0.9), (40, 3000, 0.8), (24, 100, 0.5)):
+        size = secret_scan.length_class(length)
+        keys, words = bins(length, letters, 100), bins(length, prose, natural)
+        cut = secret_scan.decisions([("base62", size, b, n) for b, n in (keys + words).items()]).get(("base62", size), 0)
+        assert sum(n for b, n in keys.items() if b < cut) >= least * 100
+        assert sum(n for b, n in words.items() if b < cut) <= 2
+
+
 def test_secret_odd_rows(odd, empty):
     got = secret_scan.find_secrets(odd).collect()
     assert len(got) == len(ODD)
