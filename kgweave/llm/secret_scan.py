@@ -3,7 +3,8 @@ r"""Secrets in texts: fixed patterns, and strings that test as random.
 Patterns find assignments, access keys and long hex strings.  Everything else is
 found by randomness.  A candidate is a maximal run of [A-Za-z0-9+/_-] of at least
 MIN_LENGTH characters (with up to two `=`).  Its encoding is inferred as the
-smallest alphabet that holds it.  Under "drawn at random from that alphabet"
+smallest alphabet that holds it; a run that no alphabet holds, or that fails the
+tests below, is cut at `/` and `+` or at `-` and `_`, and its parts are candidates.  Under "drawn at random from that alphabet"
 three tests give p-values:
 
 * chi-squared of the symbol counts against uniformity;
@@ -176,18 +177,34 @@ def _joined(spans: Iterator[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], order[x[2]], x[1])))
 
 
+_CUTS = tuple((re.compile(rf"[^{re.escape(c)}]{{{MIN_LENGTH},}}"), frozenset(c)) for c in ("/+", "-_"))
+
+
+def parts(text: str, start: int) -> list[tuple[int, int, str, float]]:
+    """(start, end, encoding, p) of a run, or of the parts at its separators if it does not pass as a whole."""
+    size = len(text.rstrip("="))
+    name = encoding(text) if size >= MIN_LENGTH else None
+    whole = [(start, start + len(text), name, combined(battery(text, name)))] if name else []
+    if whole and whole[0][3] >= FDR:
+        return whole
+    best: list[tuple[int, int, str, float]] = []
+    for cut, separators in _CUTS:
+        if not separators.isdisjoint(text):
+            found = [x for m in cut.finditer(text) for x in parts(m[0], start + m.start())]
+            if found and (not best or max(x[3] for x in found) > max(x[3] for x in best)):
+                best = found
+    return best or whole
+
+
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, encoding, length class, bin of p) of the runs that no base span touches."""
+    """(start, end, encoding, length class, bin of p) of the runs that no base span touches, or of their parts."""
     out = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         if any(s < end and start < e for s, e, _ in taken):
             continue
-        name = encoding(m[0])
-        if name is None:
-            continue
-        p = combined(battery(m[0], name))
-        out.append((start, end, name, length_class(len(m[0].rstrip("="))), p_bin(p)))
+        for start, end, name, p in parts(m[0], start):
+            out.append((start, end, name, length_class(len(text[start:end].rstrip("="))), p_bin(p)))
     return out
 
 

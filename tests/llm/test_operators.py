@@ -156,6 +156,20 @@ def test_keys_are_found_however_many_natural_strings_there_are():
         assert sum(n for b, n in words.items() if b < cut) <= 2
 
 
+def test_runs_are_cut_at_separators():
+    rng = random.Random(12)
+    key = "".join(rng.choice(secret_scan.ALPHABETS["base62"]) for _ in range(40))
+    long = "deployment/the-settings/of-the-service/in-the-other-region"
+    for text in (f"/v1/my-app/{key}", f"https://host/v1/my-app_name-{key}/x", f"see {long}/{key}", f"{long}/item-{key}"):
+        at = text.index(key)
+        found = secret_scan.candidates(text, [])
+        # One short word may stay beside the key.
+        assert [x for x in found if x[0] <= at and at + 40 <= x[1] and x[1] - x[0] <= 50 and math.exp(-secret_scan.BIN_WIDTH * x[4]) > 0.01]
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    plain = "".join(rng.choice(secret_scan.ALPHABETS["base64"]) for _ in range(64)) + "=="
+    assert [x[:3] for x in secret_scan.candidates(f"a {plain} b", [])] == [(2, 68, "base64")]
+
+
 def test_secret_odd_rows(odd, empty):
     got = secret_scan.find_secrets(odd).collect()
     assert len(got) == len(ODD)
