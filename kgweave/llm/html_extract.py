@@ -5,8 +5,10 @@ menus, headers and footers of the page, side bars, notices, adverts, forms,
 comments; by tag, role, class and id) are cut first.  Every paragraph then gives
 points for its length and its commas to its ancestors: all to its parent, half to
 the next, less further up; an ancestor's sum is discounted by its link density.
-The container with most points is the article, and with it those of its siblings
-that score near it or read like prose.  Its blocks, in page order, are the text.
+From the container with most points the way leads up to the article or main element
+around it, else to the highest parent whose parts are all prose; that is the article,
+and with it those of its siblings that score near it or read like prose.  All its
+uncut blocks, in page order, are the text.
 
 Pages are independent: one pass, one task per split, no shuffle.
 """
@@ -41,6 +43,8 @@ ROOTS = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article section div main td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of characters inside links from which a block counts as links, not prose.
+LINKED = 0.25
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -214,15 +218,35 @@ def main_text(page: str | None) -> tuple[str, int, str, float]:
     density = lambda n: n.link_chars / n.chars if n.chars else 0.0
     rating = lambda n: n.score * (1 - density(n))
     best = max(candidates, key=rating)
+    # Up to the article that the container is a part of, else as far as it stands among prose.
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None:
+        best = up
+    else:
+        while best.parent is not None and best.parent.tag not in ("#root", "html"):
+            if any(isinstance(n, Node) and n is not best and not n.cut and density(n) >= LINKED for n in best.parent.children):
+                break
+            best = best.parent
     kept = {id(best)}
     limit = max(1.0, 0.2 * rating(best))
-    for near in best.parent.children if best.parent is not None else ():
-        if isinstance(near, Node) and near is not best and near.chars and not near.cut:
-            prose = near.tag == "p" and density(near) < 0.25 and near.chars > 80
-            if rating(near) >= limit or prose or (near.tag == "h1" and density(near) == 0):
-                kept.add(id(near))
+    for near in best.parent.children if best.parent is not None and up is None else ():
+        if isinstance(near, Node) and near.chars and not near.cut and (rating(near) >= limit or density(near) < LINKED):
+            kept.add(id(near))
+    if up is not None and best.parent is not None:
+        for near in best.parent.children:
+            if isinstance(near, Node) and near is not best and near.chars and not near.cut:
+                prose = near.tag == "p" and density(near) < LINKED and near.chars > 80
+                if rating(near) >= limit or prose or (near.tag == "h1" and density(near) == 0):
+                    kept.add(id(near))
+    # Text that stands among the kept siblings without an element of its own.
+    beside = best.parent if up is None else None
     texts = []
-    for owner, text, _ in found:
+    for owner, text, links in found:
+        if owner is beside and links < LINKED * len(text):
+            texts.append(text)
+            continue
         up = owner
         while up is not None and id(up) not in kept:
             up = up.parent

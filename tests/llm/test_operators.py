@@ -93,6 +93,16 @@ def test_page_furniture():
     assert html_extract.main_text("no <tags")[0] == "no <tags"
 
 
+def test_sections_subheadings_and_short_paragraphs_stay():
+    long, short = "A clause, and one more, of the long section. " * 8, "A few last words."
+    parts = ["Title", "A short first paragraph that says what will follow.", *[long.strip()] * 5, "Second part", short, "Quoted.", "x = 1"]
+    body = f"<h1>{parts[0]}</h1><p>{parts[1]}</p><section>{''.join(f'<p>{long}</p>' for _ in range(5))}</section><h2>{parts[7]}</h2>"
+    body += f"<section><p>{short}</p></section><blockquote>Quoted.</blockquote><pre>x = 1</pre>"
+    links = "<div><a href=a>one more page</a> <a href=b>another page</a></div>"
+    for page in (f"<article>{body}</article>", f"<main><div>{body}</div></main>", f"<div>{body}</div>", f"<div>{links}{body}</div>"):
+        assert html_extract.main_text(f"<body><nav>menu</nav>{page}<footer>f</footer></body>")[0] == " ".join(parts)
+
+
 def test_page_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (2, "<p>a</p>", "y")]
     df = spark.createDataFrame(rows, "page_id int, html string, text string")
