@@ -2,7 +2,8 @@
 
 A page becomes a tree of blocks.  Parts that are never article text (scripts,
 menus, headers and footers of the page, side bars, notices, adverts, forms,
-comments; by tag, role, class and id) are cut first.  Every paragraph then gives
+comments; by tag, role, and whole classes and ids) are cut first; a form, or what is
+only named as furniture, stays if it holds the page's articles or most of its points.  Every paragraph then gives
 points for its length and its commas to its ancestors: all to its parent, half to
 the next, less further up; an ancestor's sum is discounted by its link density.
 From the container with most points the way leads up to the article or main element
@@ -29,16 +30,23 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER = frozenset(
-    "script style noscript template title head iframe object embed svg canvas math nav footer aside form fieldset "
+    "script style noscript template title head iframe object embed svg canvas math nav footer aside "
     "button select option input textarea label dialog menu audio video map xmp noembed noframes search".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+#: Cut unless the page's text is in them.
+FORMS = frozenset("form fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner masthead header footer nav navbar "
     "navigation menu sidebar aside widget breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond reply replies "
     "cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login social share sharing "
     "related recommended recommendations toolbar skip tags hidden copyright legal disclaimer".split()
 )
+#: Words that may stand beside one of FURNITURE in a class or id, as in "site-footer".
+PLACES = frozenset(
+    "bar box block list area wrap wrapper container section item items link links button buttons icon icons panel banner menu inner outer "
+    "left right top bottom upper lower primary secondary main site page global post form message".split()
+)
 ROOTS = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article section div main td th".split())
@@ -53,10 +61,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "score", "chars", "link_chars", "order")
+    __slots__ = ("tag", "parent", "children", "cut", "score", "chars", "link_chars", "order", "soft")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, soft: bool = False):
+        self.tag, self.parent, self.cut, self.soft = tag, parent, cut, soft
         self.children: list[Node | str] = []
         self.score = 0.0
         self.chars = self.link_chars = 0
@@ -80,13 +88,67 @@ def _furniture(tag: str, attributes: str, parent: Node) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag != "header" and not FURNITURE.isdisjoint(_WORD.findall(value)):
-            return True
         if name == "style" and _HIDDEN.search(value):
             return True
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether an element is a form, or a whole class or id names it as furniture."""
+    if tag in FORMS:
+        return True
+    if not attributes or tag in ROOTS or tag == "header":
+        return False
+    for name, value in _ATTR.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role" and value == "form":
+            return True
+        for token in value.split() if name in ("class", "id") else ():
+            said = set(_WORD.findall(token))
+            if said & FURNITURE and said <= FURNITURE | PLACES:
+                return True
+    return False
+
+
+def _settle(root: Node) -> None:
+    """Cut the elements named as furniture but those with all articles of the page or most of its points."""
+    points: dict[int, float] = {}
+    total, stack, named, articles = 0.0, [root], [], []
+    while stack:
+        node = stack.pop()
+        if node.cut:
+            continue
+        if node.soft:
+            named.append(node)
+        if node.tag in ("article", "main"):
+            articles.append(node)
+        stack.extend(n for n in node.children if isinstance(n, Node))
+    if not named:
+        return
+    for owner, text, links in blocks(root):
+        worth = _points(owner, text, links)
+        total += worth
+        while owner is not None:
+            if owner.soft:
+                points[id(owner)] = points.get(id(owner), 0.0) + worth
+            owner = owner.parent
+    inside: dict[int, int] = {}
+    for up in articles:
+        while up is not None:
+            if up.soft:
+                inside[id(up)] = inside.get(id(up), 0) + 1
+            up = up.parent
+    for node in named:
+        within = inside.get(id(node), 0)
+        around, up = 0, node.parent
+        while up is not None:
+            around += up.tag in ("article", "main")
+            up = up.parent
+        # Where an article stands beside it, points alone do not make furniture an article.
+        held = within == len(articles) if articles and within else within + around == len(articles) and points.get(id(node), 0.0) > total / 2
+        node.cut = not held
+
+
 def parse(page: str) -> Node:
     """The tree of a page; open elements are closed as browsers do for paragraphs, items and cells."""
     root = here = Node("#root", None, False)
@@ -125,7 +187,7 @@ def parse(page: str) -> Node:
                     here = up.parent
                     if name == "tr" and here.tag == "tr":
                         here = here.parent
-        node = Node(name, here, here.cut or _furniture(name, tag[3], here))
+        node = Node(name, here, here.cut or _furniture(name, tag[3], here), _named(name, tag[3]))
         here.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -185,11 +247,15 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def _points(owner: Node, text: str, links: int) -> float:
+    points = (0.5 if owner.tag in HEADINGS else 1.0) + text.count(",") + min(len(text) / 100, 3.0)
+    return points * (1 - links / len(text))
+
+
 def _add_points(found: list[tuple[Node, str, int]]) -> list[Node]:
     scored: dict[int, Node] = {}
     for owner, text, links in found:
-        points = (0.5 if owner.tag in HEADINGS else 1.0) + text.count(",") + min(len(text) / 100, 3.0)
-        points *= 1 - links / len(text)
+        points = _points(owner, text, links)
         # Text straight inside a container counts for the container itself.
         up = owner.parent if owner.tag not in SCOPES or owner.tag in ("td", "th") else owner
         level = 0
@@ -209,7 +275,12 @@ def main_text(page: str | None) -> tuple[str, int, str, float]:
     """Text, number of blocks, tag of the container and its points; nothing for a page without text."""
     if not page:
         return "", 0, "", 0.0
-    found = blocks(parse(page))
+    root = parse(page)
+    _settle(root)
+    found = blocks(root)
+    if not found:
+        # Names may mislead: once more by tags and roles alone.
+        found = blocks(parse(page))
     if not found:
         return "", 0, "", 0.0
     candidates = _add_points(found)

@@ -103,6 +103,23 @@ def test_sections_subheadings_and_short_paragraphs_stay():
         assert html_extract.main_text(f"<body><nav>menu</nav>{page}<footer>f</footer></body>")[0] == " ".join(parts)
 
 
+def test_names_do_not_cut_the_article():
+    text = "<h1>Title</h1><p>Some text, with commas, and a few more words for the article.</p><p>And a second one, as long.</p>"
+    want = "Title Some text, with commas, and a few more words for the article. And a second one, as long."
+    side = "<div class='site-footer'>about us</div><div id='cookie-notice'>We use</div><div class='comments'><p>I, think</p></div>"
+    for open_, close in (
+        ("<div class='content has-sidebar'>", "</div>"),
+        ("<div class='elementor-widget-text'>", "</div>"),
+        ("<div class='legal-text'>", "</div>"),
+        ("<form action=x><input name=a>", "<button>go</button></form>"),
+        ("<div class='widget'>", "</div>"),
+        ("<div class='sidebar'><article>", "</article></div>"),
+    ):
+        assert html_extract.main_text(f"<body><nav>n</nav>{open_}{text}{close}{side}</body>")[0] == want
+    assert html_extract.main_text(f"<article><div class='article-header'><h1>Head</h1></div>{text}</article>")[0] == f"Head {want}"
+    assert html_extract.main_text("<div class='comments'>a, b</div><div class='promo'>c, d</div>")[0] != ""
+
+
 def test_page_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (2, "<p>a</p>", "y")]
     df = spark.createDataFrame(rows, "page_id int, html string, text string")
