@@ -62,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The quantile sketches and the tokenizer cannot be said in SQL; tests hold run() against brute force.
+#: The quantile sketches and the tokenizer cannot be said in SQL.  No test holds run() against brute
+#: force as a whole: only its operators are tested, each for itself.
 ORACLE_SQL = None
 
 PIPELINE_QUERIES = {"pipeline": run}
