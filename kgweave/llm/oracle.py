@@ -38,7 +38,48 @@ FROM described d JOIN {last} c ON d.s = c.source AND d.l = c.lang AND d.topic =
 """
 
 
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    start = "[4294967295::UBIGINT]"
+    letters = f"list_transform(string_split({text}, ''), lambda z: ord(z)::UBIGINT)"
+    bits = "lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT))"
+    return f"xor(list_reduce(list_concat({start}, {letters}), lambda p, q: list_reduce([xor(p, q), 0, 0, 0, 0, 0, 0, 0, 0], {bits})), 4294967295::UBIGINT)"
+
+
 ORACLE = {
+    "op11_prefix_trie": rf"""
+WITH turns AS (
+  SELECT conv_id::BIGINT AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS MATERIALIZED (
+  SELECT c, pos, dense_rank() OVER (ORDER BY role, text) AS id, len(regexp_extract_all(text, '[^ 	-]+')) AS w FROM turns),
+convs AS (SELECT c, c - c % 20 AS base, ({_crc32("c::VARCHAR")} % 4)::BIGINT AS h, count(*) AS n FROM t GROUP BY c),
+heads AS MATERIALIZED (
+  SELECT a.c, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS k FROM convs a LEFT JOIN convs b ON a.base = b.c),
+rebuilt AS (
+  SELECT heads.c, t.pos AS d, id, w FROM heads JOIN t ON t.c = base AND t.pos <= k
+  UNION ALL SELECT heads.c, k + t.pos - h, id, w FROM heads JOIN t ON t.c = heads.c AND t.pos > h),
+paths AS (
+  SELECT heads.c, list(id ORDER BY d) FILTER (id IS NOT NULL) AS ids, list(w ORDER BY d) FILTER (id IS NOT NULL) AS ws
+  FROM heads LEFT JOIN rebuilt USING (c) GROUP BY heads.c),
+members AS MATERIALIZED (
+  SELECT c, d, array_to_string(ids[1:d], ',') AS node, array_to_string(ids[1:d - 1], ',') AS parent, ws[d] AS w, d = len(coalesce(ids, [])) AS ends
+  FROM (SELECT *, unnest(range(0, len(coalesce(ids, [])) + 1)) AS d FROM paths)),
+nodes AS MATERIALIZED (
+  SELECT d, coalesce(node, '') AS node, any_value(CASE WHEN d > 0 THEN parent END) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(any_value(w), 0) AS w, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY d, coalesce(node, '')),
+grown AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+trie AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN grown ON nodes.node = grown.parent AND nodes.d = grown.d),
+below AS (
+  SELECT a AS d, array_to_string(string_split(node, ',')[1:a], ',') AS node, sum((n_convs - 1) * w) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM trie) GROUP BY ALL)
+SELECT trie.conv_id, trie.d AS depth, up.conv_id AS parent_conv_id, trie.n_convs, trie.n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, trie.ends_sha256
+FROM trie JOIN below ON trie.d = below.d AND trie.node = coalesce(below.node, '')
+  LEFT JOIN trie up ON trie.parent = up.node AND trie.d = up.d + 1
+""",
     "op10_raking": _raking(),
     "op3_decontaminate": r"""
 WITH d AS (

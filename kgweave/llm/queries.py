@@ -11,7 +11,9 @@ from kgweave.llm.decontaminate import decontaminate
 from kgweave.llm.html_extract import extract_pages
 from kgweave.llm.jaccard_join import jaccard_classes
 from kgweave.llm.oracle import ORACLE
+from kgweave.llm.piece_encoding import encoding_digests
 from kgweave.llm.preference_chat import borrowed_pairs, format_preferences, spans_text
+from kgweave.llm.prefix_trie import prefix_trie
 from kgweave.llm.quality_rules import quality_rules
 from kgweave.llm.raking import mix_to_targets
 from kgweave.llm.secret_scan import find_secrets
@@ -72,6 +74,21 @@ def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("probability", F.round("probability", 6))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def piece_file() -> str:
+    """The public piece model's file; its place is the public package's."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), piece_file())
+
+
 LLM_QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_secret_scan": op2_secret_scan,
@@ -86,4 +103,7 @@ LLM_QUERIES["op8_context_mixing"] = op8_context_mixing
 LLM_QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 LLM_QUERIES["op10_raking"] = op10_raking
 
+LLM_QUERIES["op11_prefix_trie"] = op11_prefix_trie
+LLM_QUERIES["op13_piece_encoding"] = op13_piece_encoding
+
 LLM_ORACLE = dict(ORACLE)
