@@ -46,14 +46,73 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_concat({start}, {letters}), lambda p, q: list_reduce([xor(p, q), 0, 0, 0, 0, 0, 0, 0, 0], {bits})), 4294967295::UBIGINT)"
 
 
+def _repair_step() -> str:
+    """One row x taken by the audits p of the four states: least of all edits, as cost in six digits and letters."""
+    add = lambda state, cost, letters: f"(lpad((left({state}, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || '{letters}')"
+    stays = "x.f NOT IN ('b', 'd')"
+    cut = "(CASE WHEN x.f = 't' THEN 1 ELSE 0 END)"
+    drop = lambda s: add(f"p.s{s}", 3, "D")
+    keep = lambda s, i: f"CASE WHEN {stays} AND x.i = '{i}' THEN {add(f'p.s{s}', cut, 'K')} END"
+    rerole = lambda s, i: f"CASE WHEN {stays} THEN {add(f'p.s{s}', f'(2 + {cut})', 'R' + i)} END"
+    to_u = ", ".join([drop(2), *(f(s, "u") for s in (0, 1, 3) for f in (keep, rerole))])
+    row = (
+        f"{{'s0': {drop(0)}, 's1': least({drop(1)}, {keep(0, 's')}), 's2': least({to_u}), "
+        f"'s3': least({drop(3)}, {keep(2, 'a')}, {rerole(2, 'a')})}}"
+    )
+    user = f"{{'s0': y.s0, 's1': y.s1, 's2': least(y.s2, {', '.join(add(f'y.s{s}', 2, 'Iu') for s in (0, 1, 3))}), 's3': y.s3}}"
+    both = f"{{'i': '', 'f': '', 's0': z.s0, 's1': z.s1, 's2': z.s2, 's3': least(z.s3, {add('z.s2', 2, 'Ia')})}}"
+    return f"list_transform(list_transform([{row}], lambda y: {user}), lambda z: {both})[1]"
+
+
 ORACLE = {
+    "op12_structure_repair": rf"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fate FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw WHERE fate <> 0),
+placed_rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM placed_rows),
+f AS MATERIALIZED (
+  SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN again THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE 'f' END AS f,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier FROM r),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank,
+    count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND earlier || i NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'i': i, 'f': f, 's0': NULL::VARCHAR, 's1': NULL::VARCHAR, 's2': NULL::VARCHAR, 's3': NULL::VARCHAR}} ORDER BY pos) AS rows
+  FROM f GROUP BY conv_id),
+states AS (
+  SELECT * EXCLUDE (rows), list_reduce(list_concat([{{'i': '', 'f': '', 's0': '000000', 's1': NULL, 's2': '000002Iu', 's3': '000004IuIa'}}], rows),
+    lambda p, x: {_repair_step()}) AS s FROM told),
+plans AS MATERIALIZED (SELECT * EXCLUDE (s), left(least(s.s0, s.s3), 6)::BIGINT AS cost, substr(least(s.s0, s.s3), 7) AS plan FROM states),
+tokens AS (SELECT conv_id, unnest(regexp_extract_all(plan, 'D|K|[IR][ua]')) AS token, generate_subscripts(regexp_extract_all(plan, 'D|K|[IR][ua]'), 1) AS nth FROM plans),
+placed AS (SELECT *, sum(CASE WHEN token[1] = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY nth) AS pos FROM tokens),
+lines AS (
+  SELECT placed.conv_id, nth, CASE token WHEN 'Iu' THEN 'user:' WHEN 'Ia' THEN 'assistant:' WHEN 'K' THEN role || ':' || text
+    WHEN 'Ru' THEN 'user:' || text WHEN 'Ra' THEN 'assistant:' || text END AS line
+  FROM placed LEFT JOIN f ON placed.conv_id IS NOT DISTINCT FROM f.conv_id AND placed.pos = f.pos AND token[1] <> 'I'),
+hashed AS (SELECT conv_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY nth), '')) AS repaired_sha256 FROM lines GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  replace(replace(coalesce(plan, ''), 'u', ''), 'a', '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM every LEFT JOIN plans ON every.conv_id IS NOT DISTINCT FROM plans.conv_id
+  LEFT JOIN hashed ON every.conv_id IS NOT DISTINCT FROM hashed.conv_id
+""",
     "op11_prefix_trie": rf"""
 WITH turns AS (
   SELECT conv_id::BIGINT AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 t AS MATERIALIZED (
-  SELECT c, pos, dense_rank() OVER (ORDER BY role, text) AS id, len(regexp_extract_all(text, '[^ 	-]+')) AS w FROM turns),
+  SELECT c, pos, dense_rank() OVER (ORDER BY role, text) AS id, len(regexp_extract_all(text, '[^ 	-
+]+')) AS w FROM turns),
 convs AS (SELECT c, c - c % 20 AS base, ({_crc32("c::VARCHAR")} % 4)::BIGINT AS h, count(*) AS n FROM t GROUP BY c),
 heads AS MATERIALIZED (
   SELECT a.c, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS k FROM convs a LEFT JOIN convs b ON a.base = b.c),

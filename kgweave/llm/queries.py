@@ -17,6 +17,7 @@ from kgweave.llm.prefix_trie import prefix_trie
 from kgweave.llm.quality_rules import quality_rules
 from kgweave.llm.raking import mix_to_targets
 from kgweave.llm.secret_scan import find_secrets
+from kgweave.llm.structure_repair import repair_conversations
 from kgweave.llm.suffix_dedup import remove_repeats
 from kgweave.llm.token_orc import read_tokens, with_crc32, write_tokens
 
@@ -78,6 +79,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def piece_file() -> str:
     """The public piece model's file; its place is the public package's."""
     import public_tokenizers
@@ -104,6 +109,7 @@ LLM_QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 LLM_QUERIES["op10_raking"] = op10_raking
 
 LLM_QUERIES["op11_prefix_trie"] = op11_prefix_trie
+LLM_QUERIES["op12_structure_repair"] = op12_structure_repair
 LLM_QUERIES["op13_piece_encoding"] = op13_piece_encoding
 
 LLM_ORACLE = dict(ORACLE)
