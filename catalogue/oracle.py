@@ -189,6 +189,7 @@ sql(
 )
 NATION = IDS.format("Nation")
 sql("touching", SUPPLY, f"SELECT {EDGE} FROM e WHERE u IN {NATION} OR v IN {NATION}")
+sql("snapshot_lookup", SUPPLY, f"SELECT {EDGE} FROM e WHERE u IN {NATION} OR v IN {NATION}")
 sql("semi_ids", ACTIVITY, f"SELECT {NODE} FROM n WHERE node_id IN (SELECT u FROM e)")
 sql(
     "seed_names",
@@ -637,11 +638,11 @@ q AS (SELECT conv_id AS question_id, conv_id * 8 + 2 AS seed_id, question,
     CASE WHEN sys THEN NULL WHEN last > 4 THEN 'category' ELSE 'node' END AS view,
     CASE WHEN sys THEN NULL WHEN last > 5 THEN 'Supplier' WHEN last > 4 THEN 'Nation'
          ELSE c_name END AS selected
-  FROM q0 JOIN customer ON conv_id = c_custkey)"""
+  FROM q0 LEFT JOIN customer ON conv_id = c_custkey)"""
 CONTEXT = f"""cat AS (SELECT s.label, 'Nodes in ''' || s.label || ''' category:' || chr(10) || chr(10)
     || string_agg({RULED}, chr(10) ORDER BY s.node_id) AS summary
     FROM {EXAMPLES} s JOIN t3 ON s.node_id = t3.node_id WHERE s.rank <= 5 GROUP BY s.label),
-ctx AS (SELECT question_id, CASE WHEN view = 'node' THEN t10.summary
+ctx AS (SELECT question_id, CASE WHEN view = 'node' AND selected IS NOT NULL THEN t10.summary
     WHEN view = 'category' THEN cat.summary ELSE 'No specific node data available.' END AS context
   FROM q LEFT JOIN t10 ON view = 'node' AND seed_id = t10.node_id
   LEFT JOIN cat ON view = 'category' AND selected = cat.label)"""
@@ -678,7 +679,81 @@ def filled(template: str, values: dict[str, str]) -> str:
     return text
 
 
-def prompt_oracles(templates: dict[str, str]) -> None:
+# The wording of the prompts, a slot in braces where a value goes.
+PROMPTS = {
+    "stats": """Facts about the current selection
+node: {selected_node}
+connections: {connected_count}
+direction: {direction}
+nodes in graph: {total_nodes}
+edges in graph: {total_edges}
+
+Conversation so far
+{history}
+
+Question: {question}
+""",
+    "grounded": """Use nothing but these graph facts.
+{context}
+
+nodes in graph: {total_nodes}
+edges in graph: {total_edges}
+view: {direction}
+
+Conversation so far
+{history}
+
+Question: {question}
+""",
+    "hybrid": """Start from these graph facts, then add what is commonly known.
+{context}
+
+Say which part comes from the graph and which does not.
+
+Question: {question}
+""",
+    "overview": """{summary}
+
+View: {focus}
+
+Look the answer up in the summary; keep general remarks short.
+
+Question: {question}
+""",
+    "plain": """Graph facts
+{context}
+
+Conversation so far
+{history}
+
+Question: {question}
+""",
+    "examples": """Answer from the graph facts only; say so when they do not hold the answer.
+
+Sample question: Which parts does the supplier deliver?
+Sample answer: According to the graph, bolts and rings.
+Sample question: How old is the supplier?
+Sample answer: The graph does not say.
+
+Graph facts
+{context}
+
+Conversation so far
+{history}
+
+Question: {question}
+""",
+    "strict": """Answer from the graph facts only. If they do not hold the answer, reply: The graph does not say.
+Graph facts
+{context}
+Conversation so far
+{history}
+Question: {question}
+""",
+}
+
+
+def prompt_oracles() -> None:
     base = {"question": "question", "history": "history"}
     hist = "JOIN hist ON question_id = conv_id"
     sql(
@@ -686,17 +761,17 @@ def prompt_oracles(templates: dict[str, str]) -> None:
         SUPPLY,
         "SELECT question_id, "
         + filled(
-            templates["stats"],
+            PROMPTS["stats"],
             base
             | {
-                "selected_node": "s.name",
+                "selected_node": "CASE WHEN s.node_id IS NULL THEN 'no selection' ELSE coalesce(s.name, '') END",
                 "connected_count": "coalesce(both_sides, 0)",
                 "direction": "'Both'",
                 "total_nodes": "total_nodes",
                 "total_edges": "total_edges",
             },
         )
-        + f""" AS prompt FROM q {hist} JOIN n s ON seed_id = s.node_id
+        + f""" AS prompt FROM q {hist} LEFT JOIN n s ON seed_id = s.node_id
         LEFT JOIN c ON seed_id = c.node_id CROSS JOIN tot""",
         NUMBERED,
         SEED_COUNTS,
@@ -709,7 +784,7 @@ def prompt_oracles(templates: dict[str, str]) -> None:
         SUPPLY,
         "SELECT q.question_id, "
         + filled(
-            templates["grounded"],
+            PROMPTS["grounded"],
             base
             | {
                 "context": "context",
@@ -728,7 +803,7 @@ def prompt_oracles(templates: dict[str, str]) -> None:
         "prompts_hybrid",
         SUPPLY,
         "SELECT q.question_id, "
-        + filled(templates["hybrid"], base | {"context": "context"})
+        + filled(PROMPTS["hybrid"], base | {"context": "context"})
         + " AS prompt FROM q JOIN ctx ON q.question_id = ctx.question_id",
         *CONTEXT_PARTS,
     )
@@ -738,7 +813,7 @@ def prompt_oracles(templates: dict[str, str]) -> None:
         "prompts_overview",
         SUPPLY,
         "SELECT question_id, "
-        + filled(templates["overview"], base | {"summary": "summary", "focus": focus})
+        + filled(PROMPTS["overview"], base | {"summary": "summary", "focus": focus})
         + " AS prompt FROM q CROSS JOIN full_text",
         RANKED,
         GRAPH_LINES,
@@ -749,7 +824,7 @@ def prompt_oracles(templates: dict[str, str]) -> None:
             f"prompts_{template}",
             SUPPLY,
             "SELECT question_id, "
-            + filled(templates[template], base | {"context": "context"})
+            + filled(PROMPTS[template], base | {"context": "context"})
             + f" AS prompt FROM q {hist} CROSS JOIN sc",
             RANKED,
             texts("t5", 5, compact=True),
@@ -855,4 +930,5 @@ sql(
     NAMES,
 )
 
+prompt_oracles()
 ORACLE["node_summary_repeated_ids"] = ORACLE["node_summary"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,6 +122,15 @@ def read_tables(g):
     return edges.unionByName(nodes, allowMissingColumns=True)
 
 
+@supply
+def snapshot_lookup(g):
+    """Edges of the nations from tables ranged by the join keys, by the files that may hold them."""
+    spark = g.nodes.sparkSession
+    name = f"kg_{uuid.uuid4().hex[:12]}"
+    tables.snapshot_tables(g, name, 16, shared_folder(spark, "snapshot-tables"))
+    return tables.lookup_incident(spark, name, labelled(g, "Nation"))
+
+
 @supply
 def vis_vertices(g):
     return tables.vis_vertices(extract.category_graph(*g, "Nation", True).vertices)
@@ -633,7 +643,8 @@ def previous_turns(spark, sf_dir):
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest message of each conversation, asked while looking at the
-    customer of the same number, at a category, or at nothing."""
+    customer of the same number, at a category, or at nothing, as when there is
+    no such customer."""
     conv = table(spark, sf_dir, "conversations")
     newest = conv.groupBy("conv_id").agg(
         F.max_by("text", "turn").alias("question"),
@@ -651,7 +662,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     selected = F.when(view == "node", F.col("c_name")).when(
         view == "category", F.when(F.col("last") > 5, "Supplier").otherwise("Nation")
     )
-    return select.nonblank(newest).join(customer, "conv_id").select(
+    return select.nonblank(newest).join(customer, "conv_id", "left").select(
         F.col("conv_id").alias("question_id"),
         (F.col("conv_id") * 8 + 2).alias("seed_id"),
         "question",
@@ -688,10 +699,7 @@ def context_for(spark, sf_dir):
 @query
 def prompts_stats(spark, sf_dir):
     g = graphs.supply_graph(spark, sf_dir)
-    asks = asked(spark, sf_dir)
-    seeds = asks.select(F.col("seed_id").alias("node_id"))
-    facts = prompts.stats_context(*g, seeds)
-    return prompts.build_prompt(asks.join(facts, "seed_id"), "stats")
+    return prompts.build_prompt(prompts.stats_for(asked(spark, sf_dir), *g), "stats")
 
 
 @query

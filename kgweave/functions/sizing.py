@@ -21,6 +21,10 @@ SMALL_ROWS = 500_000
 SMALL_BYTES = 16 * 1024 * 1024
 # Seed sets up to this many ids become a literal predicate on the scan.
 PUSHED_IDS = 1_000
+# A larger set cuts rows by a bitmap before they are shuffled: so many bits per
+# seed, and no more bits than these (16 MB), beyond which it would keep too much.
+BITS_PER_SEED = 8
+MOST_BITS = 1 << 27
 
 
 def _width(field: T.StructField) -> Column:
@@ -35,15 +39,27 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when ``df`` has at most SMALL_ROWS rows and SMALL_BYTES of values.
+class Size(NamedTuple):
+    rows: int
+    bytes: int
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= SMALL_ROWS and self.bytes <= SMALL_BYTES
+
+
+def size_of(df: DataFrame) -> Size:
+    """Rows, and bytes of their values.
 
     One job without a limit: each task sends two numbers, which are summed.
     """
     width = sum((_width(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
-    seen = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b"))
-    row = seen.first()
-    return row["n"] <= SMALL_ROWS and row["b"] <= SMALL_BYTES
+    return Size(*df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first())
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when ``df`` has at most SMALL_ROWS rows and SMALL_BYTES of values."""
+    return size_of(df).small
 
 
 def hinted(df: DataFrame, small: bool) -> DataFrame:
@@ -76,11 +92,12 @@ def _literal(value, kind: T.DataType) -> str | None:
 
 
 class Seeds(NamedTuple):
-    """Distinct, non-null seed ids in column ``seed_id``."""
+    """Distinct, non-null seed ids in column ``seed_id``; ``rows`` if counted."""
 
     ids: DataFrame
     small: bool
     values: tuple | None = None
+    rows: int | None = None
 
     @property
     def pushable(self) -> bool:
@@ -92,13 +109,14 @@ class Seeds(NamedTuple):
     def restrict(self, df: DataFrame, *keys: str) -> DataFrame:
         """Early reduction: drop rows none of whose keys is a seed.
 
-        Only applied where it is free of a shuffle; otherwise ``df`` passes
-        through and the operator's final join with the seeds does the work.
+        Only applied where it is free of a shuffle.  A set too large to be sent
+        whole leaves some other rows: its bitmap holds hashes of the ids.  The
+        operator's final join with the seeds drops them.
         """
         if self.pushable:
             return self.prune(df, *keys)
         if not self.small:
-            return df
+            return self._sift(df, *keys)
         if len(keys) == 1:
             return self.keep(df, keys[0])
         hit = F.lit(False)
@@ -108,6 +126,17 @@ class Seeds(NamedTuple):
             hit = hit | F.col(f"_id{i}").isNotNull()
         return df.filter(hit).drop(*(f"_id{i}" for i in range(len(keys))))
 
+    def _sift(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Rows one of whose keys has its bit set; all rows if the set is too large or uncounted."""
+        bits = 1 << max((self.rows or 0) * BITS_PER_SEED - 1, 1 << 16).bit_length()
+        if self.rows is None or bits > MOST_BITS:
+            return df
+        words = one_row(bitmap(self.ids, "seed_id", bits))
+        hit = F.lit(False)
+        for key in keys:
+            hit = hit | has_bit(words, _slot(key, bits))
+        return df.filter(hit)
+
     def prune(self, df: DataFrame, *keys: str) -> DataFrame:
         """``restrict`` by the predicate that a scan can evaluate, if any.
 
@@ -141,6 +170,20 @@ def pinned(df: DataFrame, bound: int) -> Pinned:
     return Pinned(df.sparkSession.createDataFrame(rows, df.schema), rows)
 
 
+def bounded(df: DataFrame, bound: int) -> tuple[DataFrame, Pinned | Seeds]:
+    """A table of at most ``bound`` rows with ``node_id``, and its ids as seeds.
+
+    Very few rows are held; otherwise the limit stays a step of the plan and no
+    row comes to the driver.
+    """
+    if bound <= PUSHED_IDS:
+        held = pinned(df, bound)
+        return held.df, held
+    fixed = not isinstance(df.schema["node_id"].dataType, (T.StringType, T.BinaryType))
+    small = fixed and bound <= min(SMALL_ROWS, SMALL_BYTES // 8)
+    return df, as_seeds(df.sparkSession, df, small)
+
+
 def measured(df: DataFrame) -> tuple[DataFrame, bool, Pinned | None]:
     """A table, whether it may be broadcast, and its rows when very few."""
     held = pinned(df, PUSHED_IDS + 1)
@@ -150,19 +193,25 @@ def measured(df: DataFrame) -> tuple[DataFrame, bool, Pinned | None]:
 
 
 def measured_keys(df: DataFrame) -> tuple[DataFrame, bool, Pinned | None]:
-    """The same for the distinct rows of a key table.
+    """The same for the distinct rows of a key table."""
+    keys, size, held = _sized_keys(df)
+    return keys, held is not None or size.small, held
+
+
+def _sized_keys(df: DataFrame) -> tuple[DataFrame, Size | None, Pinned | None]:
+    """Distinct rows, and either their size or, when very few, the rows.
 
     The plain rows are looked at first: reading a few stops early, and when
     they are few so are the distinct ones.  Only a long table pays for a
-    distinct count.
+    distinct count, once.
     """
     held = pinned(df, PUSHED_IDS + 1)
     if held.rows.num_rows <= PUSHED_IDS:
         rows = held.rows.group_by(held.rows.column_names).aggregate([])
         held = Pinned(df.sparkSession.createDataFrame(rows, df.schema), rows)
-        return held.df, True, held
+        return held.df, None, held
     keys = df.distinct()
-    return keys, is_small(df) or is_small(keys), None
+    return keys, size_of(keys), None
 
 
 def as_seeds(
@@ -184,9 +233,9 @@ def as_seeds(
         )
         if small is not None:
             return Seeds(ids.distinct(), small)
-        ids, small, held = measured_keys(ids)
+        ids, size, held = _sized_keys(ids)
         if held is None:
-            return Seeds(ids, small)
+            return Seeds(ids, size.small, rows=size.rows)
         return Seeds(ids, True, tuple(held.rows.column("seed_id").to_pylist()))
     values = tuple(dict.fromkeys(v for v in seeds if v is not None))
     column = pa.array(values) if values else pa.array([], pa.int64())
@@ -194,6 +243,39 @@ def as_seeds(
     return Seeds(ids, len(values) <= SMALL_ROWS and column.nbytes <= SMALL_BYTES, values)
 
 
+def _slot(key: str, bits: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
+
+
+def bitmap(df: DataFrame, key: str, bits: int) -> DataFrame:
+    """One row: ``bits`` bits as an array of 64-bit words, those of the keys' hashes set."""
+    return bit_words(df.select(_slot(key, bits).alias("slot")), bits)
+
+
+def bit_words(slots: DataFrame, bits: int) -> DataFrame:
+    """One row: ``bits`` bits as an array of 64-bit words, those of ``slot`` set.
+
+    Words are put together before they meet, and their number is fixed.
+    """
+    used = slots.select(
+        F.shiftright("slot", 6).alias("word"),
+        F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bits"),
+    )
+    none = slots.sparkSession.range(bits // 64).select(
+        F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits")
+    )
+    words = used.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    return words.agg(F.transform(ordered, lambda x: x["bits"]).alias("words"))
+
+
+def has_bit(words: Column, slot: Column) -> Column:
+    word = F.get(words, F.shiftright(slot, 6).cast("int"))
+    one = F.lit(1).cast("bigint")
+    mask = F.call_function("shiftleft", one, slot.bitwiseAND(F.lit(63)).cast("int"))
+    return word.bitwiseAND(mask) != 0
+
+
 def one_row(df: DataFrame) -> Column:
     """The only value of a one-row, one-column DataFrame, as a column."""
     return df.scalar()

@@ -1,10 +1,12 @@
 """Neighbourhood and category subgraphs.
 
-All extractions share one plan: half edges (seen from the seed end) are
-collapsed to a simple digraph, met with the seeds on the near end, and looked
-up in the nodes on the far end.  The collapse groups by both ends, which
-spreads a hub over its neighbours; both joins are followed by an exchange on
-other keys, so AQE may split a hub's partition.
+Edges are first collapsed to a simple digraph by a group over both ends, which
+spreads a hub over its neighbours.  Where each seed has a subgraph of its own,
+an edge is then seen from its seed end and looked up at the other one.  Where
+all seeds share one graph, it stays one row: both ends are looked up once, with
+a flag that says which of them is a seed, and what two seeds would write to it
+is decided within the row.  Either way no join feeds a group on its own key, so
+AQE may split a hub's partition.
 """
 
 from __future__ import annotations
@@ -124,6 +126,39 @@ def _far_ends(half: DataFrame, nodes: DataFrame) -> DataFrame:
     return half.join(far, "b")
 
 
+def _simple_near(edges: DataFrame, seeds: Seeds, direction: str, order_by: Iterable[str]) -> DataFrame:
+    """The simple digraph, of a small seed set only the edges that it sees."""
+    keep = list(dict.fromkeys([*EDGE_ORDER, *order_by]))
+    near = seeds.restrict(edges, *near_ends(direction))
+    return simple_digraph(near.select(*keep), order_by)
+
+
+def _between(simple: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges with the columns of ``ends`` (node_id, ...) for the source (s_) and
+    the target (t_); dangling edges drop out."""
+    for side, prefix in (("source", "s_"), ("target", "t_")):
+        found = ends.select(*(F.col(c).alias(prefix + c) for c in ends.columns))
+        simple = simple.join(found, F.col(f"{side}_node_id") == F.col(f"{prefix}node_id"))
+    return simple
+
+
+def _flagged(nodes: DataFrame, seeds: Seeds, *columns: str) -> DataFrame:
+    """Nodes with ``seed``: whether the node is one."""
+    ids = seeds.ids.select("seed_id", F.lit(True).alias("seed"))
+    return nodes.join(
+        hinted(ids, seeds.small), F.col("node_id") == F.col("seed_id"), "left"
+    ).select("node_id", *columns, F.coalesce("seed", F.lit(False)).alias("seed"))
+
+
+def _seen(direction: str) -> Column:
+    """Whether a seed sees the edge in this direction, by the flags of its ends."""
+    ends = {"source_node_id": F.col("s_seed"), "target_node_id": F.col("t_seed")}
+    hit = F.lit(False)
+    for end in near_ends(direction):
+        hit = hit | ends[end]
+    return hit
+
+
 def ego(
     nodes: DataFrame,
     edges: DataFrame,
@@ -185,15 +220,15 @@ def ego_multi(
     check_direction(direction)
     seeds = as_seeds(nodes.sparkSession, seeds, small)
     seeded = _seed_nodes(nodes, seeds)
-    half = _from_seeds(
-        _collapsed(edges, seeds, direction, order_by), seeded, seeds.small
-    )
-    # An edge between two seeds is seen from both ends with the same label.
+    simple = _simple_near(edges, seeds, direction, order_by)
     merged = (
-        _far_ends(half, nodes)
-        .groupBy("source", "target")
-        .agg(F.max("relation").alias("label"))
-        .select("source", "target", shown(F.col("label")).alias("label"))
+        _between(simple, _flagged(nodes, seeds))
+        .filter(_seen(direction))
+        .select(
+            F.col("source_node_id").alias("source"),
+            F.col("target_node_id").alias("target"),
+            shown(F.col("relation_type")).alias("label"),
+        )
     )
     members = (
         _from_seeds(_neighbours(edges, seeds, direction), seeded, seeds.small)
@@ -233,39 +268,30 @@ def category_graph(
     if small is None and label == ALL:
         small = False
     seeds = as_seeds(nodes.sparkSession, members, small)
-    near = members.select(
-        F.col("node_id").alias("a"),
-        F.col("name").alias("near_name"),
-        F.struct(*order).alias("seed_order"),
+    inside = F.lit(True) if label == ALL else F.coalesce(F.col("label") == label, F.lit(False))
+    ends = nodes.select(
+        "node_id", "name", F.struct(*order).alias("order"), inside.alias("seed")
     )
-    # No hint: the ids were measured, the names that go with them were not.
-    half = _collapsed(edges, seeds, BOTH, edge_order).join(near, "a")
-    thinned = seeds.prune(edges, "source_node_id", "target_node_id")
-    touches = half_edges(thinned, BOTH).select("a", "b", "phase").join(near, "a")
-
-    other = shown(F.col("far_name"))
+    between = _between(_simple_near(edges, seeds, BOTH, edge_order), ends).filter(_seen(BOTH))
+    # The later of two seeds wrote last; one seed alone wrote the edge.
+    by_source = F.col("s_seed") & (~F.col("t_seed") | (F.col("s_order") > F.col("t_order")))
+    near, far = shown(F.col("s_name")), shown(F.col("t_name"))
+    relation = shown(F.col("relation_type"))
     if styled:
-        relation = F.concat(shown(F.col("relation")), F.lit(": "))
-        names = [shown(F.col("near_name")), other]
-        title = F.when(
-            F.col("phase") == 0, F.concat(relation, names[0], F.lit(" → "), names[1])
-        ).otherwise(F.concat(relation, names[1], F.lit(" → "), names[0]))
+        title = F.concat(relation, F.lit(": "), near, F.lit(" → "), far)
     else:
-        title = other
-    written = _far_ends(half, nodes).select(
-        "source",
-        "target",
-        "seed_order",
-        "phase",
-        shown(F.col("relation")).alias("label"),
+        title = F.when(by_source, far).otherwise(near)
+    graph_edges = between.select(
+        F.col("source_node_id").alias("source"),
+        F.col("target_node_id").alias("target"),
+        relation.alias("label"),
         title.alias("title"),
     )
-    last = F.max_by(F.struct("label", "title"), F.struct("seed_order", "phase"))
-    graph_edges = (
-        written.groupBy("source", "target")
-        .agg(last.alias("_last"))
-        .select("source", "target", "_last.*")
+    seed_order = members.select(
+        F.col("node_id").alias("a"), F.struct(*order).alias("seed_order")
     )
+    thinned = seeds.prune(edges, "source_node_id", "target_node_id")
+    touches = half_edges(thinned, BOTH).select("a", "b", "phase").join(seed_order, "a")
     vertices = _category_vertices(nodes, touches, members, label, styled)
     return Subgraph(vertices, graph_edges)
 

@@ -59,9 +59,9 @@ def touching(edges: DataFrame, ids, small: bool | None = None) -> DataFrame:
     against the distinct ids give the same rows.
     """
     seeds = as_seeds(edges.sparkSession, ids, small)
+    flagged = seeds.restrict(edges, "source_node_id", "target_node_id")
     if seeds.small:
-        return seeds.restrict(edges, "source_node_id", "target_node_id")
-    flagged = edges
+        return flagged
     for end in ("source", "target"):
         hits = seeds.ids.select(
             F.col("seed_id").alias(f"_{end}"), F.lit(True).alias(f"_hit_{end}")

@@ -1,29 +1,35 @@
 """Node names that occur in texts: an exact, case-insensitive substring join.
 
 A substring condition alone plans as a nested loop over all pairs.  Here texts
-are cut into overlapping windows whose every start position yields the text
-that follows it; a name occurs in the text exactly when it is a prefix of one of
-those tails.  Tails whose first characters start no name are dropped by a
-fixed-size broadcast table, the others are cut to the lengths that names with
-that beginning have, and the resulting candidate strings meet the names in an
-equi-join.  Names longer than LONG characters are met by their first LONG, and
-such a pair is then verified against the whole text, so the work does not grow
-with the longest name.  Neither long texts nor many names with a common beginning
-gather in one group.
+are cut into overlapping pieces; a name occurs in the text exactly when it is a
+prefix of what follows some start in a piece.  The first characters at all starts
+of a piece come from one pass over it, and only starts whose first characters
+begin a name go on, by a bitmap of fixed size that is a constant of the plan.
+They are cut to the lengths that names with that beginning have, and the
+resulting candidate strings meet the names in an equi-join.  Names longer than
+LONG characters are met by their first LONG, and such a pair is then verified
+against the whole text, so the work does not grow with the longest name.  Neither
+long texts nor many names with a common beginning gather in one group.
 """
 
 from __future__ import annotations
 
+import json
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions.columns import strip
-from kgweave.functions.sizing import one_row
+from kgweave.functions.sizing import has_bit
 
 ANCHOR = 4  # characters at most that identify the beginning of a name
-BUCKETS = 1 << 16  # rows of the broadcast table at most
+BUCKETS = 1 << 16  # bits of the bitmap, and rows of the broadcast table at most
 LONG = 64  # characters of a name that are looked for; the rest is verified
-CUTS = (1 << 15, 1 << 11, 1 << 6)  # text cut sizes, in characters
+CUTS = (1 << 15, 1 << 9)  # text cut sizes, in characters
+# Up to so many characters from every start, found in one pass; a start is never
+# the second half of a surrogate pair.
+GRAMS = r"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{0,{}}}))"
 
 
 def name_terms(nodes: DataFrame, mode: str = "terms") -> DataFrame:
@@ -60,10 +66,11 @@ def mention_table(
     """``(text_id, name, label, first_id)`` for every name in every text."""
     terms = name_terms(nodes, mode)
     texts = texts.select(text_id, text)
-    found = _candidates(texts, nodes, mode, text_id, text)
+    shape = _shape(nodes, mode)
+    found = _candidates(texts, shape, text_id, text)
     met = found.join(terms.withColumn("head", F.left("key", F.lit(LONG))), "head")
     picked = [text_id, "name", "label", "first_id"]
-    if not terms.filter(F.length("key") > LONG).take(1):
+    if not shape.long:
         return met.select(*picked)
     whole = texts.select(F.col(text_id).alias("_id"), F.lower(text).alias("_text"))
     holds = (F.col(text_id) == F.col("_id")) & F.contains("_text", "key")
@@ -71,47 +78,73 @@ def mention_table(
     return met.filter(F.length("key") <= LONG).select(*picked).unionByName(long.select(*picked))
 
 
-def _candidates(texts, nodes, mode, text_id, text) -> DataFrame:
-    """Distinct ``(text_id, head)``: tails cut to the length of some name's head."""
+class Shape(NamedTuple):
+    """What the texts must know of the names before they meet them."""
+
+    anchors: DataFrame  # bucket and the lengths of the names that begin there, at most BUCKETS rows
+    sizes: list[int]  # how many characters names begin with: at most ANCHOR + 1 numbers
+    width: int  # the longest head
+    long: bool  # whether any name is longer than its head
+    words: Column  # bitmap of the buckets in use
+
+
+def _shape(nodes: DataFrame, mode: str) -> Shape:
+    """One look at the names: a few numbers and a bitmap of fixed size come back."""
     name = strip(F.col("name")) if mode == "terms" else F.col("name")
     keys = nodes.filter(F.col("name").isNotNull()).select(F.lower(name).alias("key"))
     if mode == "terms":
         keys = keys.filter(F.col("key") != "")
-    sized = keys.select("key", F.least(F.length("key"), F.lit(LONG)).alias("n"))
-    longest = sized.agg(F.coalesce(F.max("n"), F.lit(0)))
-    # At most ANCHOR + 1 numbers: how many characters the names begin with.
-    anchor = F.least("n", F.lit(ANCHOR))
-    anchor_sizes = sized.agg(F.collect_set(anchor))
-    # At most BUCKETS rows of at most LONG + 1 small numbers each.
-    anchors = (
-        sized.select(
-            _bucket("key", F.lit(1), anchor).alias("bucket"),
-            "n",
-        )
-        .groupBy("bucket")
-        .agg(F.collect_set("n").alias("lengths"))
+    sized = keys.select("key", F.length("key").alias("whole"), F.least(F.length("key"), F.lit(LONG)).alias("n"))
+    sized = sized.withColumn("size", F.least("n", F.lit(ANCHOR)))
+    bucketed = sized.select(_bucket("key", F.lit(1), F.col("size")).alias("bucket"), "size", "n", "whole")
+    anchors = bucketed.groupBy("bucket").agg(F.collect_set("n").alias("lengths"))
+    word = F.shiftright("bucket", 6).alias("word")
+    used = bucketed.groupBy(word).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bucket & 63 AS int)))").alias("bits"),
+        F.collect_set("size").alias("sizes"),
+        F.max("n").alias("width"),
+        F.max("whole").alias("whole"),
     )
+    rows = used.collect()  # BUCKETS / 64 rows at most
+    bits = dict.fromkeys(range(BUCKETS // 64), 0) | {r["word"]: r["bits"] for r in rows}
+    return Shape(
+        anchors,
+        sorted({size for r in rows for size in r["sizes"]}),
+        max((r["width"] for r in rows), default=0),
+        any(r["whole"] > LONG for r in rows),
+        F.from_json(F.lit(json.dumps(list(bits.values()))), "array<bigint>"),
+    )
+
+
+def _candidates(texts, shape: Shape, text_id, text) -> DataFrame:
+    """Distinct ``(text_id, head)``: tails cut to the length of some name's head."""
     tails = (
         _spread(texts, text_id)
         .select(text_id, F.lower(text).alias("tail"))
         .filter(F.col("tail").isNotNull())
-        .withColumn("width", one_row(longest))
     )
     # Cutting in steps keeps the work linear in the length of a text: finding
     # the n-th character of a string takes n steps.
     for step in CUTS:
-        tails = _cut(tails, text_id, step)
-    starts = F.sequence(F.lit(1), F.greatest(F.col("span"), F.lit(1)))
-    started = tails.select(text_id, "tail", "width", F.explode(starts).alias("start"))
-    sizes = F.explode(one_row(anchor_sizes)).alias("size")
-    started = started.select(text_id, "tail", "width", "start", sizes)
-    # Only a start that may begin a name has its tail cut out of the piece.
+        tails = _cut(tails, text_id, step, shape.width)
+
+    def begins(size: int) -> Column:
+        """Whether some name may begin with so many characters here."""
+        enough = F.length("gram") >= size
+        return enough & has_bit(shape.words, _bucket("gram", F.lit(1), F.lit(size)))
+
+    hit = F.lit(False)
+    for size in shape.sizes:
+        hit = hit | begins(size)
+    grams = F.regexp_extract_all("tail", F.lit(GRAMS.format(max(shape.sizes, default=1))), 1)
+    hits = tails.select(text_id, "tail", "span", F.posexplode(grams).alias("at", "gram"))
+    hits = hits.filter((F.col("at") < F.greatest("span", F.lit(1))) & hit)
+    sizes = F.array(*(F.lit(size) for size in shape.sizes or [0]))
     matched = (
-        started.withColumn("bucket", _bucket("tail", F.col("start"), F.col("size")))
-        .join(F.broadcast(anchors), "bucket")
-        .select(
-            text_id, F.substring("tail", F.col("start"), F.col("width")).alias("tail"), "lengths"
-        )
+        hits.select("*", F.explode(sizes).alias("size"))
+        .withColumn("bucket", _bucket("gram", F.lit(1), F.col("size")))
+        .join(F.broadcast(shape.anchors), "bucket")
+        .select(text_id, F.substring("tail", F.col("at") + 1, F.lit(shape.width)).alias("tail"), "lengths")
     )
     return (
         matched.select(text_id, "tail", F.explode("lengths").alias("n"))
@@ -142,7 +175,7 @@ def _bucket(text: str, start: Column, size: Column) -> Column:
     return F.xxhash64(beginning, size).bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def _cut(tails: DataFrame, text_id: str, step: int) -> DataFrame:
+def _cut(tails: DataFrame, text_id: str, step: int, width: int) -> DataFrame:
     """Pieces that start every ``step`` characters and overlap by the width.
 
     A piece is longer than its step; the next cut starts only within its
@@ -150,13 +183,9 @@ def _cut(tails: DataFrame, text_id: str, step: int) -> DataFrame:
     """
     span = F.length("tail") if step == CUTS[0] else F.col("span")
     starts = F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0)), F.lit(step))
-    pieces = tails.select(
-        text_id, "tail", "width", span.alias("whole"), F.explode(starts).alias("start")
-    )
-    length = F.col("width") + (step - 1)
+    pieces = tails.select(text_id, "tail", span.alias("whole"), F.explode(starts).alias("start"))
     return pieces.select(
         text_id,
-        F.substring("tail", F.col("start") + 1, length).alias("tail"),
-        "width",
+        F.substring("tail", F.col("start") + 1, F.lit(width + step - 1)).alias("tail"),
         F.least(F.lit(step), F.col("whole") - F.col("start")).alias("span"),
     )

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgweave.functions.sizing import as_seeds, pinned
+from kgweave.functions.sizing import as_seeds, bounded
 from kgweave.model import BOTH, EDGE_ORDER, NODE_ORDER
 from kgweave.operators.joins import half_edges, near_ends, semi_ids
 from kgweave.operators.select import filter_label
@@ -79,7 +79,8 @@ def most_connected_ids(edges: DataFrame, n: int = 15) -> DataFrame:
 
 def most_connected(nodes: DataFrame, edges: DataFrame, n: int = 15) -> DataFrame:
     """Nodes of the n most connected ids; an id without a node drops out."""
-    return semi_ids(nodes, pinned(most_connected_ids(edges, n), n))
+    ids, held = bounded(most_connected_ids(edges, n), n)
+    return semi_ids(nodes, held or ids)
 
 
 def examples_per_label(

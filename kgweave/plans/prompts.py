@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions.columns import ordered_lines, shown
-from kgweave.functions.sizing import as_seeds, one_row
+from kgweave.functions.sizing import PUSHED_IDS, as_seeds, one_row, pinned
 from kgweave.model import BOTH
 from kgweave.operators.mentions import mention_table
 from kgweave.operators.stats import (
@@ -26,6 +26,7 @@ from kgweave.plans.summaries import category_summary, node_summary_by_name
 # Texts that stand in for an answer or a context.
 NO_CONTEXT = "No specific node data available."
 CATEGORY_VIEW = "Category Overview"
+NO_SELECTION = "no selection"
 NO_TEXT = "No response received"
 NOT_JSON = "Llama query failed: the body is not JSON"
 REFUSED = "Llama API Error: "
@@ -128,6 +129,31 @@ def stats_context(
     )
 
 
+def stats_for(
+    questions: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    direction: str | None = BOTH,
+    small: bool | None = None,
+) -> DataFrame:
+    """Every question with the facts of its ``seed_id``; one whose seed is no
+    node, or null, stands without selection and connections."""
+    seeds = questions.select(F.col("seed_id").alias("node_id"))
+    facts = stats_context(nodes, edges, seeds, direction, small)
+    met = questions.join(
+        facts.select("seed_id", "selected_node", "connected_count", F.lit(True).alias("_met")),
+        "seed_id",
+        "left",
+    )
+    name = F.when(F.col("_met").isNull(), NO_SELECTION).otherwise(F.col("selected_node"))
+    filled_in = {
+        "selected_node": name,
+        "connected_count": F.coalesce("connected_count", F.lit(0)),
+        "direction": F.lit(direction).cast("string"),
+    }
+    return _with_totals(met.withColumns(filled_in).drop("_met"), nodes, edges)
+
+
 def category_stats_context(
     nodes: DataFrame, edges: DataFrame, labels: list[str] | None = None
 ) -> DataFrame:
@@ -167,9 +193,17 @@ def context_for(
     neither = questions.filter(
         ~F.coalesce(F.col("view").isin("node", "category"), F.lit(False)) | ~selected
     )
-    names = on_node.select(F.col("selected").alias("name")).distinct()
+    # All selections are looked at once; if few, names and labels go on as lists.
+    chosen = questions.filter(F.col("view").isin("node", "category") & selected)
+    held = pinned(chosen.select("view", "selected"), PUSHED_IDS + 1).rows
+    if held.num_rows <= PUSHED_IDS:
+        pairs = dict.fromkeys(zip(*(c.to_pylist() for c in held.columns)))
+        names = [value for view, value in pairs if view == "node"]
+        labels = [value for view, value in pairs if view == "category"]
+    else:
+        names = on_node.select(F.col("selected").alias("name")).distinct()
+        labels = on_category.select(F.col("selected").alias("label")).distinct()
     node_texts = node_summary_by_name(nodes, edges, names, k)
-    labels = on_category.select(F.col("selected").alias("label")).distinct()
     category_texts = category_summary(nodes, edges, labels)
     return (
         on_node.join(node_texts, F.col("selected") == F.col("name"))
@@ -231,59 +265,79 @@ def parse_response(responses: DataFrame, mode: str = "strict") -> DataFrame:
     raw body; ``strict`` reports the keys of a body without text; ``compact``
     takes every status below 400.
     """
-    body = F.col("body")
-    in_list = F.get_json_object(body, "$[0].generated_text")
-    in_object = F.get_json_object(body, "$.generated_text")
-    in_choices = F.get_json_object(body, "$.choices[0].message.content")
-    length = F.json_array_length(body)
-    keys = F.json_object_keys(body)
-    key_list = F.concat(F.lit("['"), F.array_join(keys, "', '"), F.lit("']"))
-    key_list = F.when(F.size(keys) == 0, "[]").otherwise(key_list)
-    readable = F.expr("try_parse_json(body)").isNotNull()
-    status = F.col("status").cast("string")
-    refused = F.concat(F.lit(REFUSED), status, F.lit(" - "), shown(body))
-    if mode == "early":
-        text = (
-            F.when(~readable, NOT_JSON)
-            .when(length > 0, F.coalesce(in_list, F.lit(NO_TEXT)))
-            .when(in_object.isNotNull(), in_object)
-            .when(
-                F.array_contains(keys, "choices"),
-                F.coalesce(in_choices, F.lit(NO_TEXT)),
-            )
-            .otherwise(body)
-        )
-        answer = F.when(F.col("status") == 200, text).otherwise(refused)
-    elif mode == "strict":
-        report = F.concat(
-            F.lit(NO_TEXT_KEYS),
-            F.when(keys.isNotNull(), key_list).otherwise("Not a dict"),
-        )
-        text = (
-            F.when(~readable, NOT_JSON)
-            .when((length > 0) & (in_list != ""), in_list)
-            .when(keys.isNotNull() & in_object.isNotNull(), in_object)
-            .otherwise(report)
-        )
-        answer = F.when(F.col("status") == 200, text).otherwise(refused)
-    elif mode == "compact":
-        report = F.concat(
-            F.lit(NO_TEXT_KEYS_COMPACT),
-            F.when(keys.isNotNull(), key_list).otherwise("not an object"),
-        )
-        text = (
-            F.when(length > 0, F.coalesce(in_list, F.lit("")))
-            .when(in_object.isNotNull(), in_object)
-            .otherwise(report)
-        )
-        answer = F.when(F.col("status") < 400, text).otherwise(
-            F.concat(F.lit(REFUSED_COMPACT), status, F.lit(": "), shown(body))
-        )
-    else:
+    if mode not in ("early", "strict", "compact"):
         raise ValueError(f"unknown mode {mode!r}")
+    body, status = F.col("body"), F.col("status")
+    answers = {"early": _early, "strict": _strict, "compact": _compact}
+    # Bound once, so that the body is parsed once whatever is asked of it.
+    parsed = F.array(F.expr("try_parse_json(body)"))
+    text = F.transform(parsed, lambda value: answers[mode](value, body))[0]
+    code = status.cast("string")
+    if mode == "compact":
+        refused = F.concat(F.lit(REFUSED_COMPACT), code, F.lit(": "), shown(body))
+        answer = F.when(status < 400, text).otherwise(refused)
+    else:
+        refused = F.concat(F.lit(REFUSED), code, F.lit(" - "), shown(body))
+        answer = F.when(status == 200, text).otherwise(refused)
     return responses.select("request_id", answer.alias("answer"))
 
 
+def _at(value: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _length(value: Column) -> Column:
+    """Elements of a body that is a list; null for any other."""
+    return F.size(_at(value, "$", "array<variant>"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+
+
+def _key_list(body: Column) -> Column:
+    """Keys in the order of the text, which a parsed body does not keep."""
+    keys = F.json_object_keys(body)
+    listed = F.concat(F.lit("['"), F.array_join(keys, "', '"), F.lit("']"))
+    return F.when(F.size(keys) == 0, "[]").otherwise(listed)
+
+
+IN_LIST, IN_OBJECT = "$[0].generated_text", "$.generated_text"
+IN_CHOICES = "$.choices[0].message.content"
+
+
+def _early(value: Column, body: Column) -> Column:
+    return (
+        F.when(value.isNull(), NOT_JSON)
+        .when(_length(value) > 0, F.coalesce(_at(value, IN_LIST), F.lit(NO_TEXT)))
+        .when(_at(value, IN_OBJECT).isNotNull(), _at(value, IN_OBJECT))
+        .when(
+            _at(value, "$.choices", "variant").isNotNull(),
+            F.coalesce(_at(value, IN_CHOICES), F.lit(NO_TEXT)),
+        )
+        .otherwise(body)
+    )
+
+
+def _strict(value: Column, body: Column) -> Column:
+    report = F.when(_is_object(value), _key_list(body)).otherwise("Not a dict")
+    return (
+        F.when(value.isNull(), NOT_JSON)
+        .when((_length(value) > 0) & (_at(value, IN_LIST) != ""), _at(value, IN_LIST))
+        .when(_is_object(value) & _at(value, IN_OBJECT).isNotNull(), _at(value, IN_OBJECT))
+        .otherwise(F.concat(F.lit(NO_TEXT_KEYS), report))
+    )
+
+
+def _compact(value: Column, body: Column) -> Column:
+    report = F.when(_is_object(value), _key_list(body)).otherwise("not an object")
+    return (
+        F.when(_length(value) > 0, F.coalesce(_at(value, IN_LIST), F.lit("")))
+        .when(_at(value, IN_OBJECT).isNotNull(), _at(value, IN_OBJECT))
+        .otherwise(F.concat(F.lit(NO_TEXT_KEYS_COMPACT), report))
+    )
+
+
 # The heading and the bullet of each enrichment mode.
 HEADINGS = {
     "names": "\n\n**More context:**\n",

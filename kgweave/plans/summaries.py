@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from kgweave.functions.columns import has_properties, ordered_lines, shown
 from kgweave.functions.sizing import (
+    PUSHED_IDS,
     as_seeds,
+    bounded,
     hinted,
     measured,
     measured_keys,
-    pinned,
 )
 from kgweave.model import ALL, BOTH, EDGE_ORDER, NODE_ORDER, OUTGOING
 from kgweave.operators.select import find_node_by_name
@@ -126,7 +127,7 @@ def node_summary(
 def node_summary_by_name(
     nodes: DataFrame,
     edges: DataFrame,
-    names: DataFrame,
+    names: DataFrame | list[str],
     k: int = 10,
     style: str = "full",
     node_order: Iterable[str] = NODE_ORDER,
@@ -135,9 +136,14 @@ def node_summary_by_name(
 ) -> DataFrame:
     """``(name, summary)`` of the first node with each name.
 
-    An unknown name gets the not-found sentence.
+    ``names`` is a list, or a DataFrame with ``name``.  An unknown name gets the
+    not-found sentence.
     """
-    names = names.select("name")
+    if isinstance(names, DataFrame):
+        names = names.select("name")
+    else:
+        spark, small = nodes.sparkSession, len(names) <= PUSHED_IDS
+        names = spark.createDataFrame([(name,) for name in names], "name string")
     if small is None:
         names, small, _ = measured_keys(names)
     first = find_node_by_name(nodes, names, node_order, small).select("name", "node_id")
@@ -301,17 +307,20 @@ def graph_summary_text(nodes: DataFrame, edges: DataFrame, **options) -> DataFra
     ``graph_summary_lines`` for the distributed form.
     """
     lines = graph_summary_lines(nodes, edges, **options)
-    keys = [F.col(c) for c in ("label", "pos", "rank")]
+    # A label's lines are put together by its own task; only the last step sees all labels.
+    texts = lines.groupBy("section", "label").agg(
+        ordered_lines([F.col("pos"), F.col("rank")], F.col("line")).alias("text")
+    )
 
     def section(number: int) -> Column:
-        return ordered_lines(
-            keys, F.when(F.col("section") == number, F.col("line"))
-        )
+        here = F.when(F.col("section") == number, F.struct("label", "text"))
+        ordered = F.array_sort(F.collect_list(here))
+        return F.array_join(F.transform(ordered, lambda x: x["text"]), "\n")
 
     def block(body: Column) -> Column:
         return F.when(body != "", body)
 
-    return lines.agg(section(0).alias("counts"), section(1).alias("relations")).select(
+    return texts.agg(section(0).alias("counts"), section(1).alias("relations")).select(
         F.concat_ws(
             "\n",
             F.lit(GRAPH_HEADING),
@@ -352,8 +361,8 @@ def sample_context(
     sample = sampled_nodes(nodes, edges, strategy, n, order).select(
         "node_id", "name", F.struct(*order).alias("pos")
     )
-    held = pinned(sample, n)
-    rows = _sampled_texts(nodes, edges, held.df, held, by, k, "compact", edge_order)
+    sample, held = bounded(sample, n)
+    rows = _sampled_texts(nodes, edges, sample, held, by, k, "compact", edge_order)
     return rows.agg(
         ordered_lines([F.col("pos")], F.col("summary"), "\n\n").alias("context")
     )

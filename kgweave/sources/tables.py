@@ -10,6 +10,7 @@ from pyspark.sql.types import MapType, VariantType
 from pyspark.storagelevel import StorageLevel
 
 from kgweave.functions.columns import narrow_types, shown
+from kgweave.functions.sizing import PUSHED_IDS, as_seeds
 from kgweave.model import EDGE_COLUMNS, NODE_COLUMNS, Graph, Subgraph
 
 
@@ -126,27 +127,70 @@ def snapshot(graph: Graph, path: str | None = None) -> Graph:
     )
 
 
-def snapshot_tables(graph: Graph, name: str, buckets: int) -> None:
+# Per table of a snapshot, the keys its rows are ranged by.
+LAYOUTS = {
+    "nodes": ("node_id",),
+    "edges_by_source": ("source_node_id", "target_node_id"),
+    "edges_by_target": ("target_node_id", "source_node_id"),
+}
+
+
+def snapshot_tables(graph: Graph, name: str, buckets: int, path: str | None = None) -> None:
     """Catalog tables ordered by the join keys, for repeated extraction.
 
     Nodes are ranged by their id, edges once by the source and once by the
-    target, each with the other end: a file holds a narrow range of keys, which
-    a lookup finds by the files' minima and maxima, and a hub's edges spread
-    over as many files as their share asks for.
+    target, each with the other end: a file holds a narrow range of keys, and a
+    hub's edges spread over as many files as their share asks for.  Beside each
+    table stands one of its files with the least and the largest key of each, by
+    which ``lookup`` finds the files to open.  With ``path`` the data lie there.
     """
-    ends = ("source_node_id", "target_node_id")
-    layouts = (
-        (graph.nodes, "nodes", ("node_id",)),
-        (graph.edges, "edges_by_source", ends),
-        (graph.edges, "edges_by_target", ends[::-1]),
-    )
-    for df, suffix, keys in layouts:
-        (
-            df.repartitionByRange(buckets, *keys)
-            .sortWithinPartitions(*keys)
-            .write.mode("overwrite")
-            .saveAsTable(f"{name}_{suffix}")
-        )
+    spark = graph.nodes.sparkSession
+    for suffix, keys in LAYOUTS.items():
+        df = graph.nodes if suffix == "nodes" else graph.edges
+        ordered = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+        _save_table(ordered, f"{name}_{suffix}", path)
+        files = spark.table(f"{name}_{suffix}").groupBy(
+            F.col("_metadata.file_path").alias("file")
+        ).agg(F.min(keys[0]).alias("least"), F.max(keys[0]).alias("largest"))
+        # One row per file.
+        _save_table(files.coalesce(1), f"{name}_{suffix}_files", path)
+
+
+def _save_table(df: DataFrame, name: str, path: str | None) -> None:
+    writer = df.write.mode("overwrite")
+    if path is not None:
+        writer = writer.option("path", f"{path}/{name}")
+    writer.saveAsTable(name)
+
+
+def lookup(spark: SparkSession, name: str, suffix: str, seeds) -> DataFrame:
+    """Rows of a snapshot's table whose first key is a seed, from the files that may hold one.
+
+    Up to PUSHED_IDS seeds, files are chosen by their least and largest keys and
+    no other is opened; more seeds meet the whole table.
+    """
+    key = LAYOUTS[suffix][0]
+    rows = spark.table(f"{name}_{suffix}")
+    seeds = as_seeds(spark, seeds)
+    if seeds.values is None or len(seeds.values) > PUSHED_IDS:
+        return seeds.keep(rows, key)
+    between = (F.col("seed_id") >= F.col("least")) & (F.col("seed_id") <= F.col("largest"))
+    # A few seeds against one row per file.
+    held = spark.table(f"{name}_{suffix}_files").join(F.broadcast(seeds.ids), between, "left_semi")
+    files = [row["file"] for row in held.select("file").collect()]
+    if not files:
+        return rows.filter(F.lit(False))
+    return seeds.keep(spark.read.schema(rows.schema).parquet(*files), key)
+
+
+def lookup_incident(spark: SparkSession, name: str, seeds) -> DataFrame:
+    """Edges of a snapshot with a seed at either end, each row once."""
+    seeds = as_seeds(spark, seeds)
+    leaving = lookup(spark, name, "edges_by_source", seeds)
+    entering = lookup(spark, name, "edges_by_target", seeds)
+    seen = F.col("source_node_id") == F.col("seed_id")
+    fresh = entering.join(seeds.ids, seen, "left_anti")
+    return leaving.unionByName(fresh)
 
 
 VIS_VERTEX = ("id", "label", "group", "title", "color", "size")

@@ -139,6 +139,71 @@ def test_hubs_are_split(spark, hub):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def test_hot_names_are_split(spark, hub):
+    """A third of all texts mention one name: its pairs are dealt over several tasks."""
+    nodes, _ = hub
+    answers = spark.range(0, 30_000, 1, 8).select(
+        F.col("id").alias("answer_id"),
+        F.when(F.col("id") % 3 == 0, "the SAME").when(F.col("id") % 3 == 1, "nothing").otherwise(F.concat(F.lit("a name "), F.col("id") % 90)).alias("answer"),
+    )
+    before = {key: spark.conf.get(key, None) for key in SKEW}
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        enriched = prompts.enrich_answers(answers, nodes)
+        hot = enriched.filter(F.contains("answer", F.lit("• **same**"))).count()
+        assert hot == 10_000
+        enriched.toArrow()
+        assert "skew=true" in plan_of(enriched), plan_of(enriched)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_category_edges_are_met_once(nodes, edges):
+    """Each end is looked up once, and nothing is grouped after the lookups."""
+    for df in (
+        extract.category_graph(nodes, edges, "Person", small=False).edges,
+        extract.ego_multi(nodes, edges, nodes.filter("label = 'Person'"), small=False).edges,
+    ):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Aggregate")]
+        assert plan.count("Aggregate") - plan.count("Aggregate [seed_id") <= 1, plan
+        assert above.count("Join") == 2, plan
+
+
+def test_large_seed_sets_cut_edges_before_the_shuffle(spark, monkeypatch):
+    """Beyond what is broadcast, a bitmap of the seeds keeps few other edges."""
+    monkeypatch.setattr(sizing, "PUSHED_IDS", 10)
+    monkeypatch.setattr(sizing, "SMALL_ROWS", 100)
+    edges = spark.range(60_000).select(
+        F.col("id").alias("source_node_id"), (F.col("id") * 7 % 60_000).alias("target_node_id"), F.lit("r").alias("relation_type")
+    )
+    for every in (20, 5):
+        ids = spark.range(0, 60_000, every).withColumnRenamed("id", "node_id")
+        seeds = sizing.as_seeds(spark, ids)
+        assert not seeds.small and seeds.rows == 60_000 // every
+        sifted = seeds.restrict(edges, "source_node_id", "target_node_id")
+        wanted = edges.filter(f"source_node_id % {every} = 0 OR target_node_id % {every} = 0")
+        assert wanted.exceptAll(sifted).count() == 0
+        assert sifted.count() - wanted.count() < (60_000 - wanted.count()) / 5
+        found = joins.touching(edges, ids)
+        assert found.count() == wanted.count() and found.exceptAll(wanted).count() == 0
+        counts = stats.edge_counts(edges, ids).agg(F.sum("outgoing"), F.sum("incoming")).first()
+        assert tuple(counts) == (60_000 // every, 60_000 // every)
+
+
+def test_a_large_sample_stays_in_the_plan(spark, hub):
+    nodes, edges = hub
+    few, many = (topk.most_connected(nodes, edges, n) for n in (50, 3000))
+    assert "Limit" not in plan_of(few) and "Limit" in plan_of(many) or "TakeOrdered" in plan_of(many)
+    assert few.exceptAll(many).count() == 0
+    ranked = topk.most_connected_ids(edges, 3000)
+    assert many.count() == nodes.join(ranked, "node_id").count()
+    text = summaries.sample_context(nodes, edges, "most_connected", 2000).first()["context"]
+    assert text.count("Node: ") == topk.most_connected(nodes, edges, 2000).count()
+
+
 def test_large_and_small_plans_agree_on_hubs(hub):
     nodes, edges = hub
     seeds = nodes.filter("node_id < 2000")

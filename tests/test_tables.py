@@ -100,6 +100,30 @@ def test_a_hub_spreads_over_the_files_of_a_table(spark):
     assert sizes < 2 * 9000 / 9
 
 
+def test_lookups_open_few_files(spark, tmp_path):
+    edges = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("source_node_id"),
+        (F.col("id") * 31 % 9001).alias("target_node_id"),
+        F.lit("r").alias("relation_type"),
+    )
+    nodes = spark.createDataFrame(NODES, "node_id bigint, label string, name string, properties string")
+    tables.snapshot_tables(Graph(nodes, edges), "ranged", 9, str(tmp_path))
+    for seeds in ([100], [100, 8000], [7], [-5], []):
+        found = tables.lookup(spark, "ranged", "edges_by_source", seeds)
+        assert found.exceptAll(edges.filter(F.col("source_node_id").isin(seeds))).count() == 0
+        assert found.count() == edges.filter(F.col("source_node_id").isin(seeds)).count()
+        if seeds and seeds[0] == 100:
+            # A seed lies in one range, or in two if it is a border.
+            assert len(found.inputFiles()) <= 2 * len(seeds) < 9
+    seeds = spark.createDataFrame([(7,), (31,), (8000,)], "node_id bigint")
+    both = tables.lookup_incident(spark, "ranged", seeds)
+    want = edges.filter("source_node_id IN (7, 31, 8000) OR target_node_id IN (7, 31, 8000)")
+    assert both.exceptAll(want).count() == want.exceptAll(both).count() == 0
+    many = spark.range(0, 4000, 2).withColumnRenamed("id", "node_id")
+    large = tables.lookup(spark, "ranged", "edges_by_target", many)
+    assert large.count() == edges.filter("target_node_id < 4000 AND target_node_id % 2 = 0").count()
+
+
 def test_dedupe_does_not_depend_on_input_order(spark):
     rows = [(1, "A", "a", p) for p in ("x", "y", "z", None)]
     made = lambda order: tables.dedupe_nodes(

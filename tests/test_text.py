@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgweave.operators import chat, mentions
+from kgweave.functions import sizing
 from kgweave.plans import prompts, summaries
 
 ANN = """Node: Ann (Type: Person)
@@ -189,11 +190,43 @@ def test_prompts_fill_every_slot(spark, template):
         prompts.build_prompt(row.drop(slots[0]), template)
 
 
-@pytest.mark.parametrize("preset", prompts.PRESETS)
+SAMPLED = {"max_new_tokens": 500, "temperature": 0.7, "do_sample": True, "return_full_text": False}
+PAYLOADS = {
+    "sampled": SAMPLED,
+    "factual": SAMPLED | {"temperature": 0.3},
+    "short": {"max_new_tokens": 500, "temperature": 0.3},
+    "long": {"max_new_tokens": 1000, "temperature": 0.3},
+}
+
+
+@pytest.mark.parametrize("preset", PAYLOADS)
 def test_payload(spark, preset):
     asked = spark.createDataFrame([(1, 'say "hi"\n→')], "question_id int, prompt string")
     payload = json.loads(prompts.request_payload(asked, preset).first()["payload"])
-    assert payload == {"inputs": 'say "hi"\n→', "parameters": prompts.PRESETS[preset]}
+    assert payload == {"inputs": 'say "hi"\n→', "parameters": PAYLOADS[preset]}
+
+
+def test_stats_for_every_question(spark, nodes, edges):
+    asked = spark.createDataFrame([(1, 1), (2, 77), (3, None), (4, 9)], "question_id int, seed_id bigint")
+    facts = prompts.stats_for(asked, nodes, edges)
+    got = sorted((r.question_id, r.selected_node, r.connected_count, r.total_nodes, r.total_edges) for r in facts.collect())
+    assert got == [(1, "Ann", 6, 12, 14), (2, "no selection", 0, 12, 14), (3, "no selection", 0, 12, 14), (4, None, 1, 12, 14)]
+
+
+def test_many_selections_give_the_same_texts(spark, nodes, edges, monkeypatch):
+    rows = [(1, "node", "Ann"), (2, "category", "Company"), (3, "node", "Zoe"), (4, None, "x"), (5, "node", "Ann")]
+    questions = spark.createDataFrame(rows, "question_id int, view string, selected string")
+    few = sorted(map(tuple, prompts.context_for(questions, nodes, edges).collect()))
+    monkeypatch.setattr(prompts, "PUSHED_IDS", 1)
+    monkeypatch.setattr(sizing, "PUSHED_IDS", 1)
+    assert sorted(map(tuple, prompts.context_for(questions, nodes, edges).collect())) == few
+
+
+def test_a_body_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, 200, "{}")], "request_id int, status int, body string")
+    for mode in ("early", "strict", "compact"):
+        plan = prompts.parse_response(rows, mode)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parseJson") <= 1 and "get_json_object" not in plan
 
 
 RESPONSES = [
@@ -288,6 +321,13 @@ def test_mentions_match_brute_force(spark):
     ) == sorted({(i, n.strip()) for i, n in brute_force(enumerate(texts), names)})
 
 
+def test_names_after_pairs_of_surrogates(spark):
+    nodes = spark.createDataFrame([(1, "L", "b😀c"), (2, "L", "cd"), (3, "L", "😀😀")], "node_id bigint, label string, name string")
+    table = spark.createDataFrame([(1, "a😀b😀😀b😀cd"), (2, "😀" * 700 + "cd")], "text_id int, text string")
+    found = mentions.mention_table(table, nodes)
+    assert sorted((r["text_id"], r["first_id"]) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3)]
+
+
 def test_names_mode_keeps_spaces_and_blanks(spark):
     nodes = spark.createDataFrame(
         [(1, "L", " ab"), (2, "L", "")], "node_id bigint, label string, name string"
