@@ -3,7 +3,9 @@
 A page becomes a tree of blocks.  Parts that are never article text (scripts,
 menus, headers and footers of the page, side bars, notices, adverts, forms,
 comments; by tag, role, and whole classes and ids) are cut first; a form, or what is
-only named as furniture, stays if it holds the page's articles or most of its points.  Every paragraph then gives
+only named as furniture, stays if it holds the page's articles or most of its points,
+and so do headings, paragraphs, and what only an id names inside an article.  Readers'
+comments go whatever their tag.  Every paragraph then gives
 points for its length and its commas to its ancestors: all to its parent, half to
 the next, less further up; an ancestor's sum is discounted by its link density.
 From the container with most points the way leads up to the article or main element
@@ -31,7 +33,7 @@ BLOCKS = frozenset(
 )
 NEVER = frozenset(
     "script style noscript template title head iframe object embed svg canvas math nav footer aside "
-    "button select option input textarea label dialog menu audio video map xmp noembed noframes search".split()
+    "button select option input textarea dialog menu audio video map xmp noembed noframes search".split()
 )
 #: Cut unless the page's text is in them.
 FORMS = frozenset("form fieldset".split())
@@ -40,46 +42,58 @@ FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner masthead header footer nav navbar "
     "navigation menu sidebar aside widget breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond reply replies "
     "cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login social share sharing "
-    "related recommended recommendations toolbar skip tags hidden copyright legal disclaimer".split()
+    "related recommended recommendations toolbar skip tags hidden copyright legal disclaimer response responses".split()
 )
+#: Of these, what names readers' comments, and what may be a part of an article within it.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies response responses".split())
+OWN_PARTS = frozenset("header masthead banner legal notice notices alert disclaimer copyright tags skip".split())
 #: Words that may stand beside one of FURNITURE in a class or id, as in "site-footer".
 PLACES = frozenset(
     "bar box block list area wrap wrapper container section item items link links button buttons icon icons panel banner menu inner outer "
-    "left right top bottom upper lower primary secondary main site page global post form message".split()
+    "left right top bottom upper lower primary secondary main site page global post form message body text reader readers user users thread entry".split()
 )
 ROOTS = frozenset("html body main article".split())
+ARTICLES = frozenset("article main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article section div main td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements nested deeper stand beside each other, as in browsers; so every step up is bounded.
+DEEPEST = 512
 #: Share of characters inside links from which a block counts as links, not prose.
 LINKED = 0.25
 
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>)""", re.S)
+#: A tag; quotes hold a value only after an equals sign.  No repetition can be taken back, so a search is linear.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)>""")
+#: The same where quotes mean nothing.
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_COMMENT_END = re.compile("--!?>")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "score", "chars", "link_chars", "order", "soft")
+    __slots__ = ("tag", "parent", "children", "cut", "score", "chars", "link_chars", "soft", "depth", "in_article", "in_form")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, soft: bool = False):
+    def __init__(self, tag: str, parent: Node | None, cut: bool, soft: str = ""):
         self.tag, self.parent, self.cut, self.soft = tag, parent, cut, soft
         self.children: list[Node | str] = []
         self.score = 0.0
         self.chars = self.link_chars = 0
+        self.depth = parent.depth + 1 if parent is not None else 0
+        # Whether it is one or stands in one.
+        self.in_article = tag in ARTICLES or parent is not None and parent.in_article
+        self.in_form = tag in FORMS or parent is not None and parent.in_form
 
 
 def _furniture(tag: str, attributes: str, parent: Node) -> bool:
     if tag in NEVER:
         return True
-    if tag == "header":
-        # An article's own head belongs to it; the page's does not.
-        up = parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+    # An article's own head belongs to it; the page's does not.
+    if tag == "header" and not parent.in_article:
+        return True
+    if tag == "label" and parent.in_form:
+        return True
     if not attributes or tag in ROOTS:
         return False
     for name, value in _ATTR.findall(attributes):
@@ -93,34 +107,45 @@ def _furniture(tag: str, attributes: str, parent: Node) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether an element is a form, or a whole class or id names it as furniture."""
+def _named(tag: str, attributes: str, parent: Node) -> str:
+    """"form" for a form, "comments" or "furniture" if a whole class or id names that, else nothing.
+
+    Headings and paragraphs are never furniture by name, nor is an article; inside an
+    article only classes count, and not those that name its own parts.
+    """
     if tag in FORMS:
-        return True
-    if not attributes or tag in ROOTS or tag == "header":
-        return False
+        return "form"
+    if not attributes or tag in ROOTS and tag != "article":
+        return ""
+    inside, found = parent.in_article, ""
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value == "form":
-            return True
+            return "form"
         for token in value.split() if name in ("class", "id") else ():
             said = set(_WORD.findall(token))
-            if said & FURNITURE and said <= FURNITURE | PLACES:
-                return True
-    return False
+            if not said & FURNITURE or not said <= FURNITURE | PLACES:
+                continue
+            if said & COMMENTS and tag != "p" and tag not in HEADINGS:
+                return "comments"
+            plain = tag in ("article", "header", "p") or tag in HEADINGS
+            if not plain and not (inside and (name == "id" or said & FURNITURE <= OWN_PARTS)):
+                found = "furniture"
+    return found
 
 
 def _settle(root: Node) -> None:
-    """Cut the elements named as furniture but those with all articles of the page or most of its points."""
+    """Cut comments, and of what is named as furniture all but what holds all articles of the page or most of its points."""
     points: dict[int, float] = {}
     total, stack, named, articles = 0.0, [root], [], []
     while stack:
         node = stack.pop()
-        if node.cut:
+        if node.cut or node.soft == "comments":
+            node.cut = True
             continue
         if node.soft:
             named.append(node)
-        if node.tag in ("article", "main"):
+        if node.tag in ARTICLES:
             articles.append(node)
         stack.extend(n for n in node.children if isinstance(n, Node))
     if not named:
@@ -142,7 +167,7 @@ def _settle(root: Node) -> None:
         within = inside.get(id(node), 0)
         around, up = 0, node.parent
         while up is not None:
-            around += up.tag in ("article", "main")
+            around += up.tag in ARTICLES
             up = up.parent
         # Where an article stands beside it, points alone do not make furniture an article.
         held = within == len(articles) if articles and within else within + around == len(articles) and points.get(id(node), 0.0) > total / 2
@@ -152,18 +177,36 @@ def _settle(root: Node) -> None:
 def parse(page: str) -> Node:
     """The tree of a page; open elements are closed as browsers do for paragraphs, items and cells."""
     root = here = Node("#root", None, False)
-    at, size = 0, len(page)
+    at, size, last, pattern = 0, len(page), page.rfind(">"), _TAG
     while at < size:
-        tag = _TAG.search(page, at)
-        if tag is None:
-            here.children.append(page[at:])
+        mark = page.find("<", at)
+        if not 0 <= mark < last:
+            here.children.append(html.unescape(page[at:]))
             break
-        if tag.start() > at:
-            here.children.append(page[at : tag.start()])
+        if mark > at:
+            here.children.append(html.unescape(page[at:mark]))
+        if page.startswith("<!--", mark):
+            end = _COMMENT_END.search(page, mark + 2)
+            at = end.end() if end else size
+            continue
+        if page.startswith("<![CDATA[", mark):
+            end = page.find("]]>", mark)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page[mark + 1] in "!?":
+            at = page.index(">", mark) + 1
+            continue
+        tag = pattern.match(page, mark)
+        if tag is None and pattern is _TAG and _BARE_TAG.match(page, mark):
+            # A quote that never ends: from here on quotes mean nothing.
+            pattern = _BARE_TAG
+            tag = pattern.match(page, mark)
+        if tag is None:
+            here.children.append("<")
+            at = mark + 1
+            continue
         at = tag.end()
         name = tag[2]
-        if name is None:
-            continue
         name = name.lower()
         if tag[1]:
             up = here
@@ -187,24 +230,20 @@ def parse(page: str) -> Node:
                     here = up.parent
                     if name == "tr" and here.tag == "tr":
                         here = here.parent
-        node = Node(name, here, here.cut or _furniture(name, tag[3], here), _named(name, tag[3]))
+        node = Node(name, here, here.cut or _furniture(name, tag[3], here), _named(name, tag[3], here))
         here.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if not node.cut:
-                node.children.append(page[at : end.start() if end else size])
+                node.children.append(html.unescape(page[at : end.start() if end else size]))
             at = end.end() if end else size
-        elif name not in VOID and not tag[3].rstrip().endswith("/"):
-            here = node
-        elif name in VOID or name not in BLOCKS:
-            pass
-        else:
+        elif name not in VOID and (name in BLOCKS or not tag[3].rstrip().endswith("/")) and node.depth < DEEPEST:
             here = node
     return root
 
 
 def _tidy(pieces: list[str]) -> str:
-    return " ".join(html.unescape("".join(pieces)).split())
+    return " ".join("".join(pieces).split())
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
@@ -291,7 +330,7 @@ def main_text(page: str | None) -> tuple[str, int, str, float]:
     best = max(candidates, key=rating)
     # Up to the article that the container is a part of, else as far as it stands among prose.
     up = best
-    while up is not None and up.tag not in ("article", "main"):
+    while up is not None and up.tag not in ARTICLES:
         up = up.parent
     if up is not None:
         best = up
@@ -308,7 +347,7 @@ def main_text(page: str | None) -> tuple[str, int, str, float]:
     if up is not None and best.parent is not None:
         for near in best.parent.children:
             if isinstance(near, Node) and near is not best and near.chars and not near.cut:
-                prose = near.tag == "p" and density(near) < LINKED and near.chars > 80
+                prose = near.tag == "p" and density(near) == 0
                 if rating(near) >= limit or prose or (near.tag == "h1" and density(near) == 0):
                     kept.add(id(near))
     # Text that stands among the kept siblings without an element of its own.
@@ -332,8 +371,11 @@ OUTPUT = ["text", "n_chars", "n_blocks", "container", "points"]
 def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     """`pages` without `column`, with text, n_chars (code points), n_blocks, container and points.
 
-    Null or empty html, or a page of furniture only, gives an empty text.  Broken
-    or unclosed markup is read as far as it goes; nothing is cut by length.
+    Null or empty html, or a page of furniture only, gives an empty text; an empty table
+    gives an empty one.  Broken or unclosed markup is read as far as it goes, in time
+    linear in the page: what follows the last ">" is text, and after a quoted value that
+    never ends quotes mean nothing.  Nothing is cut by length; a long page is held whole
+    by its task.  Of containers with equal ratings the one that was scored first counts.
     Repeated rows are extracted again; columns named like an output are replaced.
     """
     plain = pages.drop(*(set(OUTPUT) & set(pages.columns) - {column}))
