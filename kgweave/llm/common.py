@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,14 +89,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _letters(fold: bool) -> np.ndarray:
-    codes = np.random.RandomState(20240607).randint(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
-    if fold:
-        codes[65:91] = codes[97:123]
-    return codes
-
-
-_EXACT, _FOLDED = _letters(False), _letters(True)
+_EXACT = np.random.RandomState(20240607).randint(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -119,17 +113,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums and inverse powers: (sums[e] - sums[s]) * inverse[s] hashes codes[s:e]."""
+    """Running sums and inverse powers: (sums[e] - sums[s]) * inverse[s] hashes codes[s:e].
+
+    For candidates only: runs of 1,024 codes and more can collide by design.
+    """
     power, inverse = _power_tables(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * power[:-1], out=sums[1:])
     return sums, inverse
 
 
+#: Spans up to so many bytes are hashed together, eight bytes a round; longer ones by the library.
+SHORT_SPAN = 64
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; `fold` lower-cases A-Z."""
-    sums, inverse = prefix_hash((_FOLDED if fold else _EXACT)[data])
-    return mix((sums[end] - sums[start]) * inverse[start])
+    """A 64-bit hash of each byte span; `fold` lower-cases A-Z.
+
+    Not a polynomial: modulo 2^64 there are texts that collide in any of those.
+    """
+    if fold:
+        data = _FOLD[data]
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x51_7C_C1_B7_27_22_0A_95))
+    if not len(size):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    long = size > SHORT_SPAN
+    live, done = np.flatnonzero((size > 0) & ~long), 0
+    while len(live):
+        rest = size[live] - done
+        piece = eight[start[live] + done]
+        short = rest < 8
+        piece[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix((out[live] ^ piece) * np.uint64(_BASE) + np.uint64(done + 1))
+        live, done = live[rest > 8], done + 8
+    if long.any():
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
 
 
 class Words:

@@ -10,12 +10,14 @@ on doc_id, so that a lookup by doc_id skips files, stripes and row groups by
 metadata, and a scan reads stripes in parallel.
 
 Words repeat, so a task encodes each distinct piece of text once: pieces are cut
-as the tokenizer's own split rule cuts them, found by their 64-bit hash in a
-bounded table, and only new ones go through the tokenizer's model.
+as the tokenizer's own split rule cuts them, gathered by hash and compared in full,
+looked up in a bounded table, and only new ones go through the tokenizer's model.  A
+file with another split rule goes through the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -70,19 +72,24 @@ class PieceEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        split = spec["pre_tokenizer"] or {}
+        #: Whether `_starts` is the file's split rule.
+        self.plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kinds = _kinds()
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.first = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
 
-    def _learn(self, key: int, piece: str) -> int:
+    def _learn(self, piece: str) -> int:
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         k = len(self.known)
         if k == len(self.first):
@@ -92,7 +99,7 @@ class PieceEncoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.first[k], self.count[k] = self.used, len(ids)
         self.used += len(ids)
-        self.known[key] = k
+        self.known[piece] = k
         return k
 
     def _starts(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -117,7 +124,7 @@ class PieceEncoder:
         plain = []
         for i, text in enumerate(texts):
             # Contractions and special tokens have split rules of their own.
-            if "'" in text or any(s in text for s in self.special):
+            if not self.plain or "'" in text or any(s in text for s in self.special):
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
             else:
                 plain.append(i)
@@ -134,16 +141,10 @@ class PieceEncoder:
             self._forget()
         start = self._starts(codes, edges)
         end = np.append(start[1:], len(codes))
-        sums, inverse = prefix_hash(mix(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
-        keys, at, which = np.unique((sums[end] - sums[start]) * inverse[start], return_index=True, return_inverse=True)
+        at, which = _alike(codes, start, end)
         known = self.known
-        rows = np.array(
-            [
-                known[key] if key in known else self._learn(key, joined[s:e])
-                for key, s, e in zip(keys.tolist(), start[at].tolist(), end[at].tolist(), strict=True)
-            ],
-            np.int64,
-        )[which]
+        pieces = [joined[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        rows = np.array([known[piece] if piece in known else self._learn(piece) for piece in pieces], np.int64)[which]
         counts = self.count[rows]
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = self.flat[np.repeat(self.first[rows] - total[:-1], counts) + np.arange(total[-1])]
@@ -153,6 +154,19 @@ class PieceEncoder:
         return out
 
 
+def _alike(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One piece of each kind, and the kind of every piece: of equal pieces by hash if they are equal in full."""
+    sums, inverse = prefix_hash(mix(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+    _, at, which = np.unique((sums[end] - sums[start]) * inverse[start], return_index=True, return_inverse=True)
+    size = end - start
+    if (size == size[at][which]).all():
+        shift = np.repeat(start[at][which] - start, size)
+        if (codes == codes[np.arange(len(codes)) + shift]).all():
+            return at, which
+    # Some differ: every piece stands for itself.
+    return np.arange(len(start)), np.arange(len(start))
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
