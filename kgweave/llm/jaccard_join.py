@@ -5,10 +5,11 @@ least ceil(t * n) tokens of each.  Under any one order of all tokens, the first
 n - ceil(t * n) + e tokens of each then have at least e tokens in common.  That
 holds for every order, so the filters of several orders intersect:
 
-1. a plain hash order, e = n / 16.  It only asks, per document, whether enough of
+1. a plain hash order, e = n / 8.  It only asks, per document, whether enough of
    its prefix occurs in any other document; most documents end here.  A token
    that two documents of one batch share is settled where it is read, and one row
-   of it moves on, so a frequent token costs a row per batch;
+   of it moves on, so a frequent token costs a row per batch.  Tokens are read in
+   order, so that a task holds one token's last row and what it has counted;
 2. two orders by rarity (document frequency, ties by hash), with different ties,
    over the documents left.  A pair must share a prefix token under both, and
    must fit in size, before its sets are intersected.
@@ -18,7 +19,9 @@ pairs already connected need no verification: each token's documents are first
 held against one pivot, and what that connects is merged.  A token of one class
 alone cannot link classes any more, so frequencies, prefixes and the sets still in
 play are made anew, under new orders, and other pivots follow.  At last every pair
-that is still apart and passes the filters is verified.  Nothing is capped, and no
+that is still apart and passes the filters is verified; there a bitmap of each set
+bounds from above what two sets can share, within the join, so that sets with a
+passage in common but too little else never become a row.  Nothing is capped, and no
 pair that could link two classes is left out.
 """
 
@@ -35,8 +38,12 @@ SHINGLE = 5
 #: Jaccard similarity in hundredths.
 THRESHOLD = 75
 #: One more prefix token asked for per so many tokens, in the first order.
-EXTRA = 16
+EXTRA = 8
 PIVOT_ROUNDS = 2
+#: 64-bit words of the bitmap that bounds a pair's overlap.
+WORDS = 8
+#: Counts that a task holds before it sends them on.
+HELD = 1 << 20
 #: Tokens before a shared one that the last join looks at to name a pair once.
 RECENT = 16
 
@@ -128,33 +135,62 @@ def _first_order(docs: DataFrame, k: int, threshold: int) -> DataFrame:
             yield rows(own.astype(np.uint64), -2 - count.astype(np.int32))
 
     def shared(batches):
-        token, key = [], []
+        """Counts of shared tokens by set, packed by the task that sums them; rows come in order."""
+        held, size = [], 0
+        # The last row, and whether it still waits for another of its token.
+        last_token = last_key = None
+        waits = False
+
+        def packed():
+            own, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            count = np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64)
+            order = np.argsort(own % folds, kind="stable")
+            own, count = own[order], count[order]
+            fold, first = np.unique(own % folds, return_index=True)
+            edges = pa.array(np.append(first, len(own)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (own.astype(np.int32), count)]
+            return pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), *lists], names=["fold", "keys", "counts"])
+
         for batch in batches:
-            token.append(batch.column(0).to_numpy())
-            key.append(batch.column(1).to_numpy())
-        if not token:
-            return
-        token, key = np.concatenate(token), np.concatenate(key)
-        settled = key < -1
-        owner, count = [token[settled]], [-2 - key[settled].astype(np.int64)]
-        token, key = token[~settled], key[~settled]
-        order = np.lexsort((key, token))
-        token, key = token[order], key[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key = token[new], key[new]
-        lead = np.ones(len(token), bool)
-        lead[1:] = token[1:] != token[:-1]
-        run = np.cumsum(lead) - 1
-        # Two documents, or one row that says so.
-        hits = np.bincount(run, weights=np.where(key == -1, 2, 1))[run] > 1 if len(run) else lead
-        own, found = np.unique(key[hits & (key >= 0)], return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((*owner, own)).astype(np.int32)), pa.array(np.concatenate((*count, found)))], names=["key", "shared"]
-        )
-
-    sent = docs.select("text").mapInArrow(prefixes, "token bigint, key int").repartition("token")
-    return sent.mapInArrow(shared, "key int, shared bigint").groupBy("key").agg(F.sum("shared").alias("shared"))
+            token, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            settled = key < -1
+            more = [(token[settled].astype(np.int64), -2 - key[settled].astype(np.int64))]
+            token, key = token[~settled], key[~settled].astype(np.int64)
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+            new[:1] = len(token) > 0 and (token[0] != last_token or key[0] != last_key)
+            token, key = token[new], key[new]
+            if len(token):
+                run = np.cumsum(np.append(False, token[1:] != token[:-1]))
+                weight = np.bincount(run, weights=np.where(key == -1, 2, 1))
+                if token[0] == last_token:
+                    weight[0] += 1
+                    if waits:
+                        more.append((np.array([last_key]), np.ones(1, np.int64)))
+                # Two documents, or one row that says so.
+                hits = weight[run] > 1
+                found = key[hits & (key >= 0)]
+                more.append((found, np.ones(len(found), np.int64)))
+                last_token, last_key, waits = token[-1], key[-1], not hits[-1]
+            held += more
+            size += sum(len(k) for k, _ in more)
+            if size > HELD:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    def summed(batches):
+        held = [(b.column("keys").flatten().to_numpy(), b.column("counts").flatten().to_numpy()) for b in batches]
+        if held:
+            own, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            count = np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count)], names=["key", "shared"])
+
+    folds = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = docs.select("text").mapInArrow(prefixes, "token bigint, key int").repartition("token").sortWithinPartitions("token", "key")
+    counted = sent.mapInArrow(shared, "fold int, keys array<int>, counts array<bigint>")
+    return counted.repartition("fold").mapInArrow(summed, "key int, shared bigint")
 
 
 def _all_tokens(texts: DataFrame, k: int) -> DataFrame:
@@ -236,6 +272,33 @@ def _fits(threshold: int):
     return sizes & ((100 + threshold) * most >= threshold * (n + m))
 
 
+def _with_bits(records: DataFrame) -> DataFrame:
+    """sig, n, comp, pre_a, k (number of toks), and w0 ... : WORDS words with the bits of the toks' hashes."""
+
+    def run(batches):
+        for batch in batches:
+            toks = batch.column("toks")
+            sizes = np.diff(toks.offsets.to_numpy())
+            slot = mix(toks.flatten().to_numpy().view(np.uint64)) % np.uint64(64 * WORDS)
+            words = np.zeros(len(sizes) * WORDS, np.uint64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            np.bitwise_or.at(words, row * WORDS + (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+            columns = [*(batch.column(c) for c in ("sig", "n", "comp", "pre_a")), pa.array(sizes.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, *(_long(words.reshape(-1, WORDS)[:, i]) for i in range(WORDS))], names=["sig", "n", "comp", "pre_a", "k", *(f"w{i}" for i in range(WORDS))]
+            )
+
+    words = ", ".join(f"w{i} bigint" for i in range(WORDS))
+    return records.select("sig", "n", "comp", "pre_a", "toks").mapInArrow(run, f"sig bigint, n int, comp bigint, pre_a array<bigint>, k int, {words}")
+
+
+def _may_overlap(threshold: int):
+    """Whether two sets may share enough, by their bitmaps: a bit that one alone has is a token that one alone has."""
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"p_w{i}"))) for i in range(WORDS)), F.lit(0))
+    most = F.col("k") + F.col("p_k") - apart
+    return (100 + threshold) * most >= 2 * threshold * (F.col("n") + F.col("m"))
+
+
 def _classes(records: DataFrame, scratch: Scratch, threshold: int) -> DataFrame | None:
     """sig, comp for the sets that link with another set; None if there are none."""
     links = comps = None
@@ -253,11 +316,13 @@ def _classes(records: DataFrame, scratch: Scratch, threshold: int) -> DataFrame
             # Every pair that is still apart and passes the filters, at the first token that it
             # shares: not where one of the RECENT tokens before is shared as well.
             begin = F.greatest(F.col("at") - RECENT, F.lit(0))
-            placed = records.select("sig", "n", "comp", "pre_a", F.size("toks").alias("k"), F.posexplode("pre_a").alias("at", "token"))
-            placed = scratch.save(placed.select("sig", "n", "comp", "k", "at", "token", F.slice("pre_a", begin + 1, F.col("at") - begin).alias("recent")), "placed")
-            other = placed.select("token", one.alias("p"), F.col("recent").alias("p_recent")).select("token", "p.*", "p_recent")
+            words = [f"w{i}" for i in range(WORDS)]
+            placed = _with_bits(records).select("sig", "n", "comp", "pre_a", "k", *words, F.posexplode("pre_a").alias("at", "token"))
+            placed = scratch.save(placed.select("sig", "n", "comp", "k", *words, "at", "token", F.slice("pre_a", begin + 1, F.col("at") - begin).alias("recent")), "placed")
+            other = placed.select("token", one.alias("p"), F.col("recent").alias("p_recent"), *(F.col(w).alias(f"p_{w}") for w in words))
+            other = other.select("token", "p.*", "p_recent", *(f"p_{w}" for w in words))
             first = ~F.arrays_overlap("recent", "p_recent")
-            near = placed.join(other, "token").filter((F.col("comp") < F.col("pc")) & _fits(threshold) & first)
+            near = placed.join(other, "token").filter((F.col("comp") < F.col("pc")) & _fits(threshold) & _may_overlap(threshold) & first)
         else:
             postings = records.select("sig", "n", "comp", F.size("toks").alias("k"), F.posexplode("pre_a").alias("at", "token"))
             postings = scratch.save(postings, "postings")

@@ -9,10 +9,9 @@ documents takes its cutoffs from its language, a small language from the corpus.
 The cutoffs are joined back by group and filter.
 
 A cutoff is an outer fence, upper quartile + `reach` * (upper - lower quartile),
-but never nearer than `slack` to the upper `tail` quantile, so that a group of
-nearly equal documents does not reject its own harmless members, and never
-beyond `ceiling`, so that a source of nothing but junk does not declare junk
-normal (nor, below `floor`, a clean one its best pages).
+but never nearer than the rule's `margin` to the upper `tail` quantile, so that a
+group of nearly equal documents does not reject its own harmless members, and never
+beyond `ceiling`, so that a source of nothing but junk does not declare junk normal.
 """
 
 from __future__ import annotations
@@ -41,16 +40,15 @@ class Rule:
     ratio: str
     above: str
     below: str
-    floor: float
+    margin: float
     ceiling: float
-    slack: float
 
 
 #: One-sided rules: larger is worse.
 RULES = (
-    Rule("symbol_ratio", "n_symbols", "n_words", 0.10, 0.35, 0.05),
-    Rule("dup_line_ratio", "n_dup_lines", "n_lines", 0.35, 0.60, 0.10),
-    Rule("word_length", "word_chars", "n_words", 9.0, 20.0, 2.0),
+    Rule("symbol_ratio", "n_symbols", "n_words", 0.10, 0.35),
+    Rule("dup_line_ratio", "n_dup_lines", "n_lines", 0.35, 0.60),
+    Rule("word_length", "word_chars", "n_words", 3.0, 20.0),
 )
 REACH, TAIL, MIN_ROWS, SKETCH_K = 3.0, 0.90, 200, 400
 
@@ -153,8 +151,7 @@ def _fences(parts: DataFrame, prefix: str) -> DataFrame:
     def fence(rule: Rule):
         q = lambda x: F.kll_sketch_get_quantile_double(F.col(rule.ratio), F.lit(x))
         outer = q(0.75) + REACH * (q(0.75) - q(0.25))
-        kept = F.greatest(outer, q(TAIL) + F.lit(rule.slack), F.lit(rule.floor))
-        return F.least(kept, F.lit(rule.ceiling)).alias(f"{prefix}{rule.ratio}")
+        return F.least(F.greatest(outer, q(TAIL) + F.lit(rule.margin)), F.lit(rule.ceiling)).alias(f"{prefix}{rule.ratio}")
 
     keys = [c for c in ("lang", "source") if c in parts.columns]
     return parts.select(*keys, F.col("rows").alias(f"{prefix}rows"), *[fence(r) for r in RULES])

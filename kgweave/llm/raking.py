@@ -15,6 +15,7 @@ they are shuffled, joins are on margins, and each round is written once.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +76,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, b
     """`cells` with factor, raked to `targets` ((value, weight) per dimension, any scale).
 
     A value without a weight gets none of its dimension's tokens.  A dimension
-    whose weights sum to nothing is not raked.
+    whose weights sum to nothing is not raked.  A factor counts as 1 at most and is
+    held at MOST, where a value has too few tokens for its target; `margin_errors`
+    says which targets stay unmet.
     """
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
     goals = {}
@@ -96,6 +99,23 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, b
     return here
 
 
+def margin_errors(raked: DataFrame, targets: Mapping[str, DataFrame], budget: float = BUDGET) -> DataFrame:
+    """dimension, value, goal, expected, error: how far each margin of `rake`'s result is from its target, in shares of the goal.
+
+    Rounds are fixed, and a factor counts as 1 at most, so a target above what a value
+    has cannot be met; this says by how much.  A value without a goal has a null error.
+    """
+    total = raked.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
+    out = []
+    for d, weights in targets.items():
+        whole = weights.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+        expected = raked.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.least("factor", F.lit(1.0))).alias("expected"))
+        goal = weights.select("value", (F.col("weight") / F.lit(whole or 1.0) * (budget * total)).alias("goal"))
+        both = expected.join(goal, "value", "full").select(F.lit(d).alias("dimension"), "value", "goal", F.coalesce("expected", F.lit(0.0)).alias("expected"))
+        out.append(both.withColumn("error", F.try_divide(F.col("expected") - F.col("goal"), F.col("goal"))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def draw(doc_id: Column, seed: str) -> Column:
     """A number in [0, 1) from the id's hash; a null id is the empty text."""
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))

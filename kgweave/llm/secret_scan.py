@@ -181,30 +181,46 @@ _CUTS = tuple((re.compile(rf"[^{re.escape(c)}]{{{MIN_LENGTH},}}"), frozenset(c))
 
 
 def parts(text: str, start: int) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, p) of a run, or of the parts at its separators if it does not pass as a whole."""
+    """(start, end, encoding, p) of a run, or of the parts at its separators if it does not pass as a whole.
+
+    Of several ways to cut, the one with the largest p is taken; the largest of c uniform
+    numbers is below x with probability x^c, so its parts' p are raised to the power c.
+    """
     size = len(text.rstrip("="))
     name = encoding(text) if size >= MIN_LENGTH else None
     whole = [(start, start + len(text), name, combined(battery(text, name)))] if name else []
     if whole and whole[0][3] >= FDR:
         return whole
-    best: list[tuple[int, int, str, float]] = []
+    ways = []
     for cut, separators in _CUTS:
         if not separators.isdisjoint(text):
             found = [x for m in cut.finditer(text) for x in parts(m[0], start + m.start())]
-            if found and (not best or max(x[3] for x in found) > max(x[3] for x in best)):
-                best = found
-    return best or whole
+            if found:
+                ways.append(found)
+    if not ways:
+        return whole
+    best = max(ways, key=lambda found: max(x[3] for x in found))
+    return [(s, e, name, p ** len(ways)) for s, e, name, p in best]
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, encoding, length class, bin of p) of the runs that no base span touches, or of their parts."""
+    """(start, end, encoding, length class, bin of p) of the runs, or of their parts, outside of the base spans."""
     out = []
+    taken = sorted((s, e) for s, e, _ in taken)
+    first = 0
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, e, _ in taken):
-            continue
-        for start, end, name, p in parts(m[0], start):
-            out.append((start, end, name, length_class(len(text[start:end].rstrip("="))), p_bin(p)))
+        at, end = m.span()
+        while first < len(taken) and taken[first][1] <= at:
+            first += 1
+        rests, near = [], first
+        while near < len(taken) and taken[near][0] < end:
+            rests.append((at, taken[near][0]))
+            at = max(at, taken[near][1])
+            near += 1
+        for s, e in [*rests, (at, end)]:
+            if e - s >= MIN_LENGTH:
+                for start, stop, name, p in parts(text[s:e], s):
+                    out.append((start, stop, name, length_class(len(text[start:stop].rstrip("="))), p_bin(p)))
     return out
 
 
@@ -281,7 +297,8 @@ def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, sorted by start and
     kind.  Null or empty texts have none.  Repeated rows are scanned again and
-    count again in the pools.  Other columns are not read.
+    count again in the pools.  An empty table gives an empty table.  A very long text
+    is held whole by its task.  Other columns are not read.
     """
     scanned = Scratch(docs.sparkSession, "secrets").save(scan(docs), "scanned")
     found = scanned.select(F.inline("found")).groupBy("encoding", "size", "bin").count()

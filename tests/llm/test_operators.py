@@ -204,6 +204,18 @@ def test_secret_odd_rows(odd, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_secrets_beside_a_base_span():
+    """What stands beside a base span in one run is tested for itself."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(20):
+        key = "".join(rng.choice(letters) for _ in range(40))
+        digits = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        text = f"see /v1/{digits}/{key}/x"
+        spans = secret_scan.base_spans(text)
+        assert ("hex" in [k for *_, k in spans]) and any(text[s:e].strip("/") in (key, f"{key}/x") for s, e, *_ in secret_scan.candidates(text, spans))
+
+
 # --- 3: decontamination ------------------------------------------------------------------------
 
 
@@ -614,6 +626,15 @@ def test_raking_meets_margins(spark):
             assert math.isclose(mass, share * 0.2 * total, rel_tol=0.01)
 
 
+def test_unmet_targets_are_reported(spark):
+    rows = [("a", "x", "p", 100.0, 1), ("b", "x", "p", 900.0, 9)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double, docs long")
+    targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "value string, weight double")}
+    raked = raking.rake(cells, targets, Scratch(spark, "test"), budget=0.5)
+    errors = {r.value: r.error for r in raking.margin_errors(raked, targets, 0.5).collect()}
+    assert math.isclose(errors["a"], -0.6) and abs(errors["b"]) < 1e-6
+
+
 def test_mixing_odd_rows(odd, empty):
     got = raking.mix_to_targets(odd)
     rows = got.collect()
