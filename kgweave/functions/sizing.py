@@ -134,7 +134,7 @@ class Seeds(NamedTuple):
         words = one_row(bitmap(self.ids, "seed_id", bits))
         hit = F.lit(False)
         for key in keys:
-            hit = hit | has_bit(words, _slot(key, bits))
+            hit = hit | has_bit(words, slot(key, bits))
         return df.filter(hit)
 
     def prune(self, df: DataFrame, *keys: str) -> DataFrame:
@@ -243,13 +243,14 @@ def as_seeds(
     return Seeds(ids, len(values) <= SMALL_ROWS and column.nbytes <= SMALL_BYTES, values)
 
 
-def _slot(key: str, bits: int) -> Column:
+def slot(key: str, bits: int) -> Column:
+    """The bit of a key's hash."""
     return F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
 
 
 def bitmap(df: DataFrame, key: str, bits: int) -> DataFrame:
     """One row: ``bits`` bits as an array of 64-bit words, those of the keys' hashes set."""
-    return bit_words(df.select(_slot(key, bits).alias("slot")), bits)
+    return bit_words(df.select(slot(key, bits).alias("slot")), bits)
 
 
 def bit_words(slots: DataFrame, bits: int) -> DataFrame:
@@ -269,10 +270,10 @@ def bit_words(slots: DataFrame, bits: int) -> DataFrame:
     return words.agg(F.transform(ordered, lambda x: x["bits"]).alias("words"))
 
 
-def has_bit(words: Column, slot: Column) -> Column:
-    word = F.get(words, F.shiftright(slot, 6).cast("int"))
+def has_bit(words: Column, place: Column) -> Column:
+    word = F.get(words, F.shiftright(place, 6).cast("int"))
     one = F.lit(1).cast("bigint")
-    mask = F.call_function("shiftleft", one, slot.bitwiseAND(F.lit(63)).cast("int"))
+    mask = F.call_function("shiftleft", one, place.bitwiseAND(F.lit(63)).cast("int"))
     return word.bitwiseAND(mask) != 0
 
 
