@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgweave.functions.sizing import MOST_BITS, bitmap, has_bit, one_row, slot
 from kgweave.llm.common import Scratch, Words, components, mix, text_chunks, windows
 
 SHINGLE = 5
@@ -344,6 +345,18 @@ def _classes(records: DataFrame, scratch: Scratch, threshold: int) -> DataFrame
         records = _next_records(records, comps, scratch, threshold, turn) if comps is not None else records
 
 
+def _sifted(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """`docs` without most of those that are not `live`, so that their texts are not shuffled.
+
+    By a bitmap of the ids' hashes, at most 16 MB; for more live documents than it can
+    tell apart all stay.  The join with `live` decides.
+    """
+    bits = 1 << (16 * max(live.count(), 1 << 12) - 1).bit_length()
+    if bits > MOST_BITS:
+        return docs
+    return docs.filter(has_bit(one_row(bitmap(live, "doc_id", bits)), slot("doc_id", bits)))
+
+
 def jaccard_classes(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """`docs` (doc_id, text) as doc_id, n_shingles, component_id: the smallest doc_id that links reach.
 
@@ -361,7 +374,8 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     least = F.greatest(F.lit(1), F.floor(_need(F.col("n"), threshold) / EXTRA))
     live = distinct.withColumn("key", _filter_key("sig")).join(shared, "key").filter(F.col("shared") >= least)
     live = scratch.save(live.select("doc_id", "sig"), "live")
-    texts = plain.join(live.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("sig", "text")
+    near = _sifted(plain, live)
+    texts = near.join(live.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("sig", "text")
     tokens = scratch.save(_all_tokens(texts, k), "tokens")
     comps = _classes(_first_records(tokens, scratch, threshold), scratch, threshold)
     placed = sizes.withColumn("comp", F.col("sig"))
