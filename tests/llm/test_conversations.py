@@ -207,9 +207,9 @@ def test_common_prefix_of_audits(monkeypatch):
         for _ in range(200):
             shared = "".join(rng.choice("KD") for _ in range(rng.randint(0, 20)))
             one, two = (shared + "".join(rng.choice("KDUu") for _ in range(rng.randint(0, 6))) for _ in range(2))
-            nodes = []
+            nodes, root = [], structure_repair.Node()
             for text in (one, two):
-                node = structure_repair.Node()
+                node = root
                 for letter in text:
                     node = structure_repair.Node(letter, node)
                 nodes.append(node)
@@ -264,7 +264,7 @@ def test_repair_against_brute_force(spark, seed):
 
 def test_repair_of_a_conversation_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(structure_repair, "CHUNK_BITS", 4)
-    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t // 40}.") for t in range(300)] + [(2, 1, "user", "x" * 100_000)]
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t // 40}.") for t in range(120)] + [(2, 1, "user", "x" * 100_000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = structure_repair.repair_conversations(df, parts=9)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_repaired(rows)
