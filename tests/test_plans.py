@@ -193,6 +193,21 @@ def test_large_seed_sets_cut_edges_before_the_shuffle(spark, monkeypatch):
         assert tuple(counts) == (60_000 // every, 60_000 // every)
 
 
+def test_a_bitmap_stays_with_the_edges_and_in_order(spark, monkeypatch):
+    """The tables that meet the seeds by their ids do not get the bitmap too."""
+    monkeypatch.setattr(sizing, "PUSHED_IDS", 10)
+    monkeypatch.setattr(sizing, "SMALL_ROWS", 100)
+    nodes = spark.range(3000).selectExpr("id AS node_id", "'L' AS label", "concat('n', id) AS name")
+    edges = spark.range(3000).selectExpr("id AS source_node_id", "id * 7 % 3000 AS target_node_id", "'r' AS relation_type")
+    texts = summaries.node_summary(nodes, edges, nodes)
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") == 1
+    assert texts.count() == 3000
+    places = [0, 63, 64, 65_535, 65_536, 200_000, 262_143]
+    slots = spark.createDataFrame([(p,) for p in places], "slot bigint")
+    words = sizing.bit_words(slots, 1 << 18).first()["words"]
+    assert [i * 64 + b for i, w in enumerate(words) for b in range(64) if w >> b & 1] == places
+
+
 def test_a_large_sample_stays_in_the_plan(spark, hub):
     nodes, edges = hub
     few, many = (topk.most_connected(nodes, edges, n) for n in (50, 3000))
