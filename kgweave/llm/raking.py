@@ -9,7 +9,7 @@ expected tokens are counted with that limit, so what a cell at its limit cannot
 give is asked of the others.  The draw is a hash of the id: it repeats.
 
 Built-in expressions only.  All rounds work on cells: sums are combined before
-they are shuffled, joins are on margins, and each round is written once.
+they are shuffled, joins are on margins, and each step of a round is written once.
 """
 
 from __future__ import annotations
@@ -94,8 +94,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, b
             ratio = expected.join(goal, d, "left").select(
                 d, F.when(F.col("expected") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("expected")).otherwise(1.0).alias("ratio")
             )
-            here = here.join(ratio, d).withColumn("factor", F.least(F.col("factor") * F.col("ratio"), F.lit(MOST))).drop("ratio")
-        here = scratch.save(here.select(*DIMS, "tokens", "docs", "factor"), "cells")
+            here = here.join(ratio, d).withColumn("factor", F.least(F.col("factor") * F.col("ratio"), F.lit(MOST)))
+            # A step reads the one before twice: unwritten, a round's plan would hold each eight times.
+            here = scratch.save(here.select(*DIMS, "tokens", "docs", "factor"), "cells")
     return here
 
 
