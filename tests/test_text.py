@@ -328,6 +328,20 @@ def test_names_after_pairs_of_surrogates(spark):
     assert sorted((r["text_id"], r["first_id"]) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3)]
 
 
+def test_few_beginnings_are_spelled_out(spark, monkeypatch):
+    """Only starts of names become rows; the other way to find them gives the same."""
+    names = ["en", "e", "web", "doc1", "doc12", "[a]", "a.b", "b😀c", "\\", "z" * 70, "İx"]
+    texts = ["the en DOC123 a.b axb [A] web\\", "😀b😀c" * 400, "q" * 508 + "doc12" + "y" * 600 + "z" * 71, "i̇x", ""]
+    nodes = spark.createDataFrame([(i, "L", n) for i, n in enumerate(names)], "node_id bigint, label string, name string")
+    table = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    spelled = mentions.mention_table(table, nodes)
+    assert "posexplode" not in spelled._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted((r["text_id"], r["name"]) for r in spelled.collect())
+    assert found == sorted(brute_force(enumerate(texts), names))
+    monkeypatch.setattr(mentions, "SPELLED", 0)
+    assert sorted((r["text_id"], r["name"]) for r in mentions.mention_table(table, nodes).collect()) == found
+
+
 def test_names_mode_keeps_spaces_and_blanks(spark):
     nodes = spark.createDataFrame(
         [(1, "L", " ab"), (2, "L", "")], "node_id bigint, label string, name string"
