@@ -14,7 +14,7 @@ depend on what else a task holds.
 The table is learned from all training documents and grows with them: it holds, for
 every context of every order, how often each symbol followed it, exactly (six bytes
 and the order fit a key, so nothing is hashed together).  The most frequent contexts
-(at most HOT_PAIRS counts) are broadcast; documents are scored in batches, and each
+(at most HOT_PAIRS counts) are broadcast; documents ask in batches, and each
 batch's other distinct contexts meet the table in a join.  Beside it stands an add-0.1 unigram model over words, exact: common
 words (at most COMMON, broadcast) are counted in place, the rest by a join.
 """
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +55,12 @@ END = 256
 #: The hash of the end token, beside those of words.
 END_TOKEN = 1
 MODEL_BYTES = 3 << 18
-#: Bytes of text that are scored together; one longer text is a batch of its own.
+#: Bytes of text whose contexts are found together; one longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
+#: Bytes of text whose decisions are held at a time.
+SCORE_BYTES = 1 << 19
+#: Bytes of text that ask the table together, each context once.
+ASK_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,33 +117,21 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(15))
 
 
-class Decisions:
-    """All decisions of a chunk's documents: bit, first decision of each document, and slots by order."""
+class Symbols:
+    """All symbols of a chunk's documents, each text between zeros and its end symbol."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, code: Code):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         docs, pad = len(offsets) - 1, max(ORDERS)
         sizes = np.diff(offsets)
         # Each text stands after zeros, so that no context reaches into another, and before its end symbol.
-        first = offsets[:-1] + np.arange(docs) * (pad + 1) + pad
+        self.starts = offsets[:-1] + np.arange(docs) * (pad + 1) + pad
         symbols = np.zeros(len(data) + docs * (pad + 1), np.uint16)
-        where = np.arange(len(data)) + np.repeat(first - offsets[:-1], sizes)
+        where = np.arange(len(data)) + np.repeat(self.starts - offsets[:-1], sizes)
         symbols[where] = _LOWER[data]
-        ends = first + sizes
+        ends = self.starts + sizes
         symbols[ends] = END
-        coded = np.sort(np.concatenate((where, ends)))
-        now = symbols[coded]
-        count = code.length[now]
-        total = np.concatenate(([0], np.cumsum(count)))
-        self.owner = np.repeat(np.arange(len(now), dtype=np.int32), count)
-        # Code rows one after the other: a decision's place is its symbol's row plus its step.
-        longest = code.node.shape[1]
-        place = np.arange(total[-1]) - np.repeat(total[:-1] - now.astype(np.int64) * longest, count)
-        self.code, self.now, self.begin = code, now, total[:-1]
-        self.node = (code.node.ravel() * np.uint32(0x9E3779B1))[place]
-        self.bit = code.bit.ravel()[place]
-        self.first = np.concatenate((total[np.searchsorted(coded, first)], total[-1:]))
-        self.coded, self.symbols = coded, symbols
-        self.back = (symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        self.coded, self.symbols = np.sort(np.concatenate((where, ends))), symbols
+        self.now = symbols[self.coded]
 
     def pairs(self) -> Iterator[np.ndarray]:
         """By order: each symbol behind its order and its last bytes, packed into 60 bits."""
@@ -148,6 +141,28 @@ class Decisions:
             if k in ORDERS:
                 yield ((context | (k << 48)) << SYMBOL_BITS) | self.now
 
+    def contexts(self) -> np.ndarray:
+        """Distinct contexts in order; those of one order stand before those of the next."""
+        return np.concatenate([np.unique(pairs >> SYMBOL_BITS) for pairs in self.pairs()])
+
+
+class Decisions(Symbols):
+    """All decisions of a chunk's documents: bit, first decision of each document, and slots by order."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, code: Code):
+        super().__init__(data, offsets)
+        count = code.length[self.now]
+        total = np.concatenate(([0], np.cumsum(count)))
+        self.owner = np.repeat(np.arange(len(self.now), dtype=np.int32), count)
+        # Code rows one after the other: a decision's place is its symbol's row plus its step.
+        longest = code.node.shape[1]
+        place = np.arange(total[-1]) - np.repeat(total[:-1] - self.now.astype(np.int64) * longest, count)
+        self.code, self.begin = code, total[:-1]
+        self.node = (code.node.ravel() * np.uint32(0x9E3779B1))[place]
+        self.bit = code.bit.ravel()[place]
+        self.first = np.concatenate((total[np.searchsorted(self.coded, self.starts)], total[-1:]))
+        self.back = (self.symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+
     def slots(self) -> Iterator[np.ndarray]:
         context = np.zeros(len(self.coded), np.uint32)
         for k in range(1, max(ORDERS) + 1):
@@ -201,8 +216,11 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[lead], np.add.reduceat(count, lead)
 
 
-def count_contexts(docs: DataFrame, code: Code) -> DataFrame:
-    """context, total, seen: how often each symbol followed each context in the training documents."""
+def count_contexts(docs: DataFrame, code: Code | None = None) -> DataFrame:
+    """context, total, seen: how often each symbol followed each context in the training documents.
+
+    Whole symbols are counted, so no `code` is needed.
+    """
 
     def count(batches):
         keys: list[np.ndarray] = []
@@ -218,7 +236,7 @@ def count_contexts(docs: DataFrame, code: Code) -> DataFrame:
         for batch in batches:
             batch = _only(batch)
             for *_, data, offsets in text_chunks(batch.column("text"), MODEL_BYTES):
-                for pairs in Decisions(data, offsets, code).pairs():
+                for pairs in Symbols(data, offsets).pairs():
                     key, n = np.unique(pairs, return_counts=True)
                     keys.append(key)
                     counts.append(n)
@@ -377,6 +395,11 @@ def _key(ids: pa.Array, words: Words, hashes: np.ndarray, data: np.ndarray, offs
     return mix(texts + names * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _by_length(texts: pa.Array) -> pa.Array:
+    """Places of the texts, the shortest first: texts that run side by side should end together."""
+    return pa.array(np.argsort(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), kind="stable"))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -400,7 +423,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     common = counts.orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     common = common.sort_values("token")
     tokens = spark.sparkContext.broadcast((common["token"].to_numpy(), common["count"].to_numpy(np.int64)))
-    contexts = scratch.save(count_contexts(plain, code), "contexts")
+    contexts = scratch.save(count_contexts(plain), "contexts")
     hot = spark.sparkContext.broadcast(hot_contexts(contexts))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -433,8 +456,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         names = np.unique(hot.value[0] >> SYMBOL_BITS)
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("text"), BATCH_BYTES):
-                met = np.unique(np.concatenate([np.unique(p >> SYMBOL_BITS) for p in Decisions(data, offsets, code).pairs()]))
+            batch = batch.take(_by_length(batch.column("text")))
+            for lo, hi, *_ in text_chunks(batch.column("text"), ASK_BYTES):
+                some = text_chunks(batch.column("text").slice(lo, hi - lo), BATCH_BYTES)
+                met = np.unique(np.concatenate([Symbols(data, offsets).contexts() for *_, data, offsets in some]))
                 if len(names):
                     met = met[names[np.minimum(np.searchsorted(names, met), len(names) - 1)] != met]
                 name = np.int64(part << 32 | number)
@@ -454,12 +479,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
             more = np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
             flat = lists.flatten()
-            key = (np.repeat(told["context"].to_numpy(), lists.value_lengths().to_numpy()) << SYMBOL_BITS) | flat.field("symbol").to_numpy()
+            flat = flat.to_numpy()
+            key = (np.repeat(told["context"].to_numpy(), lists.value_lengths().to_numpy()) << SYMBOL_BITS) | (flat & 511)
             order = np.argsort(key)
-            more = key[order], flat.field("n").to_numpy()[order]
+            more = key[order], flat[order] >> SYMBOL_BITS
         parts, exact = [], Exact(hot.value, more)
-        ids, texts = (pa.concat_arrays(rows[c].chunks) for c in ("doc_id", "text"))
-        for lo, hi, data, offsets in text_chunks(texts, BATCH_BYTES):
+        rows = rows.select(["doc_id", "text"]).combine_chunks()
+        rows = rows.take(_by_length(rows["text"].combine_chunks()))
+        ids, texts = (rows[c].combine_chunks() for c in ("doc_id", "text"))
+        for lo, hi, data, offsets in text_chunks(texts, SCORE_BYTES):
             words = Words(data, offsets)
             hashes = words.hashes(fold=True)
             key = _key(ids, words, hashes, data, offsets, lo)
@@ -477,7 +505,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     batches = scratch.save(plain.mapInArrow(dealt, f"batch bigint, doc_id {kind}, text string, asks array<bigint>"), "batches")
     asks = batches.filter("asks IS NOT NULL").select(F.col("batch").alias("of"), F.explode("asks").alias("context"))
-    told = asks.join(contexts, "context").select("of", "context", "seen")
+    # A symbol and its count travel as one number.
+    packed = F.transform("seen", lambda x: F.shiftleft(x["n"], SYMBOL_BITS).bitwiseOR(x["symbol"].cast("bigint")))
+    told = asks.join(contexts, "context").select("of", "context", packed.alias("seen"))
     scored = batches.filter("asks IS NULL").select("batch", "doc_id", "text").groupBy("batch").cogroup(told.groupBy("of"))
     own = scratch.save(
         scored.applyInArrow(whole, f"doc_id {kind}, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint"), "own"
