@@ -25,6 +25,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,11 @@ SYMBOL_BITS = 9
 HOT_PAIRS = 1 << 21
 #: Pairs that a task sums up before it sends them.
 HELD_PAIRS = 1 << 22
-#: Steps laid out at a time.
+#: Steps laid out at a time, and lanes that run side by side.
 STEPS = 64
+LANES = 4096
+#: Counts of the table that are turned into odds at a time; those of one context stay together.
+ODDS_PAIRS = 1 << 17
 RATE, REFINE_RATE, START = 0.01, 0.02, 0.3
 LEAST_P = 1 / 65536
 COMMON = 65_536
@@ -57,7 +61,7 @@ END_TOKEN = 1
 MODEL_BYTES = 3 << 18
 #: Bytes of text whose contexts are found together; one longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
-#: Bytes of text whose decisions are held at a time.
+#: Bytes of text whose words are held at a time while it is scored.
 SCORE_BYTES = 1 << 19
 #: Bytes of text that ask the table together, each context once.
 ASK_BYTES = 4 << 20
@@ -111,6 +115,12 @@ def prefix_code(counts: np.ndarray) -> Code:
 # --- decisions and their contexts --------------------------------------------------------------
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of `x` in order; `x` is sorted in place."""
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def _scatter(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
@@ -143,33 +153,82 @@ class Symbols:
 
     def contexts(self) -> np.ndarray:
         """Distinct contexts in order; those of one order stand before those of the next."""
-        return np.concatenate([np.unique(pairs >> SYMBOL_BITS) for pairs in self.pairs()])
+        out = []
+        for k, pairs in zip(ORDERS, self.pairs(), strict=True):
+            pairs >>= SYMBOL_BITS
+            if k > 3:
+                out.append(_distinct(pairs))
+                continue
+            # So few that each has a place of its own.
+            met = np.zeros(1 << (8 * k), bool)
+            met[pairs & (len(met) - 1)] = True
+            out.append(np.flatnonzero(met) | (k << 48))
+        return np.concatenate(out)
+
+    def numbered(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By order: the distinct pairs, and which of them each symbol's is.
+
+        A pair is the one of the order before and some more bytes, so its number there
+        stands for it, and the symbol's place fits behind that: one sort gives both.
+        """
+        n, last, number, distinct = len(self.coded), 0, None, 0
+        place = max(n - 1, 0).bit_length()
+        for k, pairs in zip(ORDERS, self.pairs(), strict=True):
+            if number is None:
+                key, bits = pairs & ((1 << (8 * k + SYMBOL_BITS)) - 1), 8 * k + SYMBOL_BITS
+            else:
+                more = 8 * (k - last)
+                key = (pairs >> (8 * last + SYMBOL_BITS)) & ((1 << more) - 1)
+                key |= number.astype(np.int64) << more
+                bits = max(distinct - 1, 0).bit_length() + more
+            if bits + place > 63:
+                _, at, number = np.unique(key, return_index=True, return_inverse=True)
+            else:
+                key <<= place
+                key |= np.arange(n)
+                key.sort()
+                at = key & ((1 << place) - 1)
+                key >>= place
+                lead = np.append(True, key[1:] != key[:-1])[:n]
+                number = np.empty(n, np.int32)
+                number[at] = np.cumsum(lead, dtype=np.int32) - np.int32(1)
+                at = at[lead]
+            last, distinct = k, len(at)
+            yield pairs[at], number
 
 
 class Decisions(Symbols):
-    """All decisions of a chunk's documents: bit, first decision of each document, and slots by order."""
+    """All decisions of a chunk's documents: bit, first decision of each document, and slots by order.
+
+    Kept by symbol; what has a row per decision is made when asked for.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, code: Code):
         super().__init__(data, offsets)
-        count = code.length[self.now]
-        total = np.concatenate(([0], np.cumsum(count)))
-        self.owner = np.repeat(np.arange(len(self.now), dtype=np.int32), count)
-        # Code rows one after the other: a decision's place is its symbol's row plus its step.
-        longest = code.node.shape[1]
-        place = np.arange(total[-1]) - np.repeat(total[:-1] - self.now.astype(np.int64) * longest, count)
-        self.code, self.begin = code, total[:-1]
-        self.node = (code.node.ravel() * np.uint32(0x9E3779B1))[place]
-        self.bit = code.bit.ravel()[place]
+        total = np.concatenate(([0], np.cumsum(code.length[self.now])))
+        self.code, self.begin, self.total = code, total[:-1], int(total[-1])
         self.first = np.concatenate((total[np.searchsorted(self.coded, self.starts)], total[-1:]))
-        self.back = (self.symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        # Code rows one after the other: a decision's place is its symbol's row plus its step.
+        rows = self.now.astype(np.int64) * self.code.node.shape[1]
+        return np.arange(self.total) - np.repeat(self.begin - rows, self.code.length[self.now])
+
+    @property
+    def bit(self) -> np.ndarray:
+        return self.code.bit.ravel()[self.place]
 
     def slots(self) -> Iterator[np.ndarray]:
+        owner = np.repeat(np.arange(len(self.now), dtype=np.int32), self.code.length[self.now])
+        node = (self.code.node.ravel() * np.uint32(0x9E3779B1))[self.place]
+        back = (self.symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
         context = np.zeros(len(self.coded), np.uint32)
         for k in range(1, max(ORDERS) + 1):
-            context = _scatter(context + self.back[self.coded - k] + np.uint32(k))
+            context = _scatter(context + back[self.coded - k] + np.uint32(k))
             if k in ORDERS:
-                slot = context[self.owner]
-                slot ^= self.node
+                slot = context[owner]
+                slot ^= node
                 slot *= np.uint32(0x9E3779B1)
                 slot >>= np.uint32(32 - SLOT_BITS)
                 yield slot
@@ -275,19 +334,18 @@ def hot_contexts(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # --- scoring -----------------------------------------------------------------------------------
 
 _CENTRES = np.arange(-8, 8.5, 0.5).astype(np.float32)
+_UNKNOWN = np.float32(-0.0).view(np.int32)
+_RATE, _REFINE, _HALF, _TWO, _LOW, _HIGH = map(np.float32, (RATE, REFINE_RATE, 0.5, 2, -16, 16))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _of_contexts(contexts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the context, symbol and count of all that a table of packed keys has on sorted contexts."""
-    keys, counts = table
-    lo = np.searchsorted(keys, contexts << SYMBOL_BITS)
-    size = np.searchsorted(keys, (contexts + 1) << SYMBOL_BITS) - lo
-    at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-    return np.repeat(np.arange(len(contexts)), size), keys[at] & 511, counts[at]
+def _of_contexts(contexts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where a table of packed keys has each of some sorted contexts: first row and number of rows."""
+    lo = np.searchsorted(table[0], contexts << SYMBOL_BITS)
+    return lo, np.searchsorted(table[0], (contexts + 1) << SYMBOL_BITS) - lo
 
 
 class Exact:
@@ -296,9 +354,11 @@ class Exact:
     def __init__(self, *tables: tuple[np.ndarray, np.ndarray]):
         self.tables = tables
 
-    def values(self, seen: Decisions) -> Iterator[np.ndarray]:
-        """By order, one value per decision; NaN where no training document came by."""
-        code = seen.code
+    def _of_pairs(self, pair: np.ndarray, code: Code) -> np.ndarray:
+        """Of sorted distinct pairs, one value per step of each; NaN where no training document came by.
+
+        Some contexts at a time, so that only their part of the table is spread over nodes.
+        """
 
         def nodes(context, symbol):
             """(context, node) of each decision of each symbol, its bit, and the number of decisions."""
@@ -307,83 +367,144 @@ class Exact:
             row = np.repeat(symbol, size)
             return (np.repeat(context, size) << 8) | code.node[row, step], code.bit[row, step], size
 
-        for pairs in seen.pairs():
-            pair, back = np.unique(pairs, return_inverse=True)
-            contexts, which = np.unique(pair >> SYMBOL_BITS, return_inverse=True)
-            held, symbol, n = map(np.concatenate, zip(*(_of_contexts(contexts, t) for t in self.tables), strict=True))
-            place, bit, size = nodes(held, symbol)
+        lead = np.flatnonzero(np.append(True, (pair[1:] >> SYMBOL_BITS) != (pair[:-1] >> SYMBOL_BITS))[: len(pair)])
+        contexts, ends = pair[lead] >> SYMBOL_BITS, np.append(lead[1:], len(pair))
+        found = [_of_contexts(contexts, t) for t in self.tables]
+        held = np.cumsum(sum(size for _, size in found))
+        out = [np.zeros(0, np.float32)]
+        lo = 0
+        while lo < len(contexts):
+            hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + ODDS_PAIRS, "right")))
+            parts = []
+            for (first, size), (keys, counts) in zip(found, self.tables, strict=True):
+                first, size = first[lo:hi], size[lo:hi]
+                at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+                parts.append((np.repeat(np.arange(hi - lo), size), keys[at] & 511, counts[at]))
+            context, symbol, n = map(np.concatenate, zip(*parts, strict=True))
+            place, bit, size = nodes(context, symbol)
             n = np.repeat(n, size)
-            order = np.argsort(place, kind="stable")
+            order = np.argsort(place)
             place, n, bit = place[order], n[order], bit[order]
-            lead = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
-            all_, ones = (np.add.reduceat(x, lead) if len(lead) else np.zeros(0) for x in (n, n * bit))
+            first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+            all_, ones = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (n, n * bit))
             odds = np.clip(np.log((ones + 0.1) / (all_ - ones + 0.1)), -9, 9).astype(np.float32)
-            asked, _, size = nodes(which, pair & 511)
-            place = place[lead]
+            some = slice(lead[lo], ends[hi - 1])
+            asked, _, _ = nodes(np.repeat(np.arange(hi - lo), ends[lo:hi] - lead[lo:hi]), pair[some] & 511)
+            place = place[first]
             at = np.searchsorted(place, asked)
             at[at == len(place)] = 0
-            value = np.where(place[at] == asked, odds[at], np.float32(np.nan)) if len(place) else np.full(len(asked), np.nan, np.float32)
-            row = (np.cumsum(size) - size)[back] - seen.begin
-            yield value.take(np.arange(len(seen.bit)) + row[seen.owner])
+            out.append(np.where(place[at] == asked, odds[at], np.float32(np.nan)) if len(place) else np.full(len(asked), np.nan, np.float32))
+            lo = hi
+        return np.concatenate(out)
+
+    def rows(self, seen: Decisions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By order: values, and per symbol which of them is that of its first decision; the next follow."""
+        for pair, number in seen.numbered():
+            order = np.argsort(pair)
+            pair = pair[order]
+            size = seen.code.length[pair & 511]
+            value = self._of_pairs(pair, seen.code)
+            first = np.empty(len(pair), np.int32 if len(value) < 1 << 31 else np.int64)
+            first[order] = np.cumsum(size) - size
+            yield value, first[number]
 
 
 def code_bits(seen: Decisions, odds: np.ndarray | Exact) -> np.ndarray:
     """Bits that the mixed model spends on each document of the chunk, by exact odds or odds per slot.
 
     Each document is a lane from its first decision to its last, the longest lane
-    first; step t of all lanes that reach it is one set of array operations.
+    first; step t of all lanes that reach it is one set of array operations.  Only
+    the steps of a window are laid out as decisions, of at most LANES lanes.
     """
+    tables = list(odds.rows(seen)) if isinstance(odds, Exact) else [(odds.take(slot), seen.begin) for slot in seen.slots()]
+    for value, _ in tables:
+        value[np.isnan(value)] = np.float32(-0.0)  # adds nothing; 0 that was learned is +0
     sizes = np.diff(seen.first)
     order = np.argsort(-sizes, kind="stable")
-    first, sizes = seen.first[:-1][order], sizes[order]
-    n, k = len(sizes), len(ORDERS)
-    known = np.zeros(len(seen.bit), np.uint8)
-    inputs = []
-    for value in odds.values(seen) if isinstance(odds, Exact) else map(odds.take, seen.slots()):
-        new = np.isnan(value)
-        value[new] = 0
-        known += ~new
-        inputs.append(value.astype(np.float32, copy=False))
+    out = np.empty(len(sizes))
+    for lo in range(0, len(sizes), LANES):
+        lanes = order[lo : lo + LANES]
+        out[lanes] = _run_lanes(seen, tables, seen.first[lanes], sizes[lanes])
+    return out
+
+
+def _window(seen: Decisions, tables: list[tuple[np.ndarray, np.ndarray]], begin: np.ndarray, end: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some steps of lanes from `begin`: inputs (unknown: 0), bit (after a lane's `end`: -1) and known orders, by step and lane."""
+    code, last = seen.code, np.minimum(begin + steps, end)
+    # The lanes' symbols one after the other, and their decisions.
+    a = np.searchsorted(seen.begin, begin, "right") - 1
+    n = np.searchsorted(seen.begin, last) - a
+    edge = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(a - edge, n)
+    symbol = seen.now[at].astype(np.int64)
+    count = code.length[symbol]
+    start = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(at)), count)
+    step = np.arange(len(owner)) - start[owner]
+    where = start[edge] + begin - seen.begin[a] + np.arange(steps)[:, None]
+    np.minimum(where, len(owner) - 1, out=where)
+    owner, step = owner.take(where), step.take(where).astype(np.int32)
+    now = code.bit.ravel().take((symbol * code.node.shape[1]).take(owner) + step).astype(np.float32)
+    over = begin + np.arange(steps)[:, None] >= end
+    now[over] = -1
+    known = np.zeros(now.shape, np.uint8)
+    xs = np.empty((*now.shape, len(tables)), np.float32)
+    for i, (value, first) in enumerate(tables):
+        where = first.take(at).take(owner)
+        where += step
+        x = value.take(where)
+        known += x.view(np.int32) != _UNKNOWN
+        xs[:, :, i] = x
+    xs[over] = 0
+    return xs, now, known
+
+
+def _run_lanes(seen: Decisions, tables: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`code_bits` of documents by their first decisions and sizes, the longest first."""
+    n, k = len(sizes), len(tables)
     weights = np.full((n * (k + 1), k), START, np.float32)
+    held = weights.view(f"V{weights.itemsize * k}")[:, 0]  # a row is put back as one value
     refine = np.tile(_squash(_CENTRES), n)
     spent = np.zeros(n)
     for t in range(0, int(sizes[0]) if n else 0, STEPS):
         live = int(np.searchsorted(-sizes, -t))
-        steps = min(STEPS, int(sizes[0]) - t)
-        at = first[:live] + np.arange(t, t + steps)[:, None]
-        over = at >= first[:live] + sizes[:live]
-        np.minimum(at, len(seen.bit) - 1, out=at)
-        gates, cells = np.arange(live) * (k + 1), np.arange(live) * len(_CENTRES) + 16
-        xs = np.stack([value.take(at) for value in inputs], axis=2)
-        now = seen.bit.take(at).astype(np.float32)
-        now[over] = -1  # less than 0: after a lane's end
-        gate = known.take(at) + gates
+        xs, now, known = _window(seen, tables, first[:live] + t, first[:live] + sizes[:live], min(STEPS, int(sizes[0]) - t))
+        cells = np.arange(live) * len(_CENTRES) + 16
+        gate = known + np.arange(live) * (k + 1)
         chance = np.empty_like(now)
+        w, dot, p, rate = np.empty((live, k), np.float32), *np.empty((3, live), np.float32)
+        rows = w.view(held.dtype)[:, 0]
         for x, bit, row, out in zip(xs, now, gate, chance, strict=True):
-            w = weights.take(row, axis=0)
-            dot = np.einsum("ij,ij->i", w, x)
-            p = np.exp(-dot)
+            weights.take(row, axis=0, out=w, mode="clip")
+            np.einsum("ij,ij->i", w, x, out=dot)
+            np.negative(dot, out=p)
+            np.exp(p, out=p)
             p += 1
             np.reciprocal(p, out=p)
-            x *= ((bit - p) * np.float32(RATE))[:, None]
+            np.subtract(bit, p, out=rate)
+            rate *= _RATE
+            x *= rate[:, None]
             w += x
-            weights[row] = w
+            held[row] = rows
             # The nearest cell of the adaptive map.
-            dot *= 2
+            dot *= _TWO
             np.rint(dot, out=dot)
-            np.minimum(np.maximum(dot, -16, out=dot), 16, out=dot)
-            cell = cells + dot.astype(np.int64)
-            rate = refine.take(cell)
+            np.maximum(dot, _LOW, out=dot)
+            np.minimum(dot, _HIGH, out=dot)
+            cell = dot.astype(np.int64)
+            cell += cells
+            refine.take(cell, out=rate, mode="clip")
+            p += rate
+            np.multiply(p, _HALF, out=out)
+            np.subtract(bit, rate, out=p)
+            p *= _REFINE
             p += rate
-            np.multiply(p, 0.5, out=out)
-            refine[cell] = rate + (bit - rate) * np.float32(REFINE_RATE)
+            refine[cell] = p
         np.clip(chance, LEAST_P, 1 - LEAST_P, out=chance)
         right = np.where(now > 0, chance, 1 - chance)
         right[now < 0] = 1
         spent[:live] -= np.log2(right).sum(axis=0, dtype=np.float64)
-    out = np.empty(n)
-    out[order] = spent
-    return out
+    return spent
 
 
 def _key(ids: pa.Array, words: Words, hashes: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: int) -> np.ndarray:
@@ -456,10 +577,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         names = np.unique(hot.value[0] >> SYMBOL_BITS)
         for batch in batches:
-            batch = batch.take(_by_length(batch.column("text")))
+            # The longest first: what is left over for a batch of its own is short.
+            batch = batch.take(_by_length(batch.column("text"))[::-1])
             for lo, hi, *_ in text_chunks(batch.column("text"), ASK_BYTES):
                 some = text_chunks(batch.column("text").slice(lo, hi - lo), BATCH_BYTES)
-                met = np.unique(np.concatenate([Symbols(data, offsets).contexts() for *_, data, offsets in some]))
+                met = _distinct(np.concatenate([Symbols(data, offsets).contexts() for *_, data, offsets in some]))
                 if len(names):
                     met = met[names[np.minimum(np.searchsorted(names, met), len(names) - 1)] != met]
                 name = np.int64(part << 32 | number)
@@ -487,6 +609,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rows = rows.select(["doc_id", "text"]).combine_chunks()
         rows = rows.take(_by_length(rows["text"].combine_chunks()))
         ids, texts = (rows[c].combine_chunks() for c in ("doc_id", "text"))
+        bits = np.concatenate([code_bits(Decisions(data, offsets, code), exact) for *_, data, offsets in text_chunks(texts, ASK_BYTES)])
         for lo, hi, data, offsets in text_chunks(texts, SCORE_BYTES):
             words = Words(data, offsets)
             hashes = words.hashes(fold=True)
@@ -497,9 +620,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
             logs = np.where(found, np.log10(c + 0.1), 0.0)
             base = np.bincount(words.doc, logs[:-1], words.docs) + logs[-1] + (0 if found[-1] else np.log10(0.1))
             known = np.bincount(words.doc, found[:-1], words.docs).astype(np.int64) + int(found[-1])
-            bits = code_bits(Decisions(data, offsets, code), exact)
             held = np.array([held_out(i) for i in ids.slice(lo, hi - lo).to_pylist()], bool)
-            parts.append((key.view(np.int64), held, words.per_doc + 1, known, base, bits, np.diff(offsets)))
+            parts.append((key.view(np.int64), held, words.per_doc + 1, known, base, bits[lo:hi], np.diff(offsets)))
         columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
         return pa.Table.from_arrays([ids, *columns], names=["doc_id", "k", "held_out", "n_tokens", "known", "base", "bits", "n_bytes"])
 
