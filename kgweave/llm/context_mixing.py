@@ -15,7 +15,7 @@ The table is learned from all training documents and grows with them: it holds,
 every context of every order, how often each symbol followed it, exactly (six bytes
 and the order fit a key, so nothing is hashed together).  The most frequent contexts
 (at most HOT_PAIRS counts) are broadcast; documents ask in batches, and each
-batch's other distinct contexts meet the table in a join.  Beside it stands an add-0.1 unigram model over words, exact: common
+batch's other distinct contexts meet the table in a join, some batches a round.  Beside it stands an add-0.1 unigram model over words, exact: common
 words (at most COMMON, broadcast) are counted in place, the rest by a join.
 """
 
@@ -25,7 +25,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +46,13 @@ SYMBOL_BITS = 9
 HOT_PAIRS = 1 << 21
 #: Pairs that a task sums up before it sends them.
 HELD_PAIRS = 1 << 22
-#: Steps laid out at a time, and lanes that run side by side.
+#: Decisions laid out at a time, of so many steps at least, and lanes that run side by side.
+WINDOW = 1 << 17
 STEPS = 64
 LANES = 4096
-#: Counts of the table that are turned into odds at a time; those of one context stay together.
+#: Documents that are not worth two runs.
+FEW = 512
+#: Asked pairs whose odds are found at a time.
 ODDS_PAIRS = 1 << 17
 RATE, REFINE_RATE, START = 0.01, 0.02, 0.3
 LEAST_P = 1 / 65536
@@ -58,13 +61,17 @@ FOLDS = 10
 END = 256
 #: The hash of the end token, beside those of words.
 END_TOKEN = 1
-MODEL_BYTES = 3 << 18
-#: Bytes of text whose contexts are found together; one longer text is a batch of its own.
-BATCH_BYTES = 2 << 20
 #: Bytes of text whose words are held at a time while it is scored.
 SCORE_BYTES = 1 << 19
-#: Bytes of text that ask the table together, each context once.
-ASK_BYTES = 4 << 20
+#: Documents of so many bytes, by doublings of it, run beside those of other tasks, about POOL_BYTES together.
+LONG_BYTES = 1 << 14
+POOL_BYTES = 3 << 20
+#: Bytes of text that ask the table together, each context once, and that are scored together.
+ASK_BYTES = 8 << 20
+LANE_BYTES = 3 << 20
+#: Texts, and what their batches are told, are shuffled in rounds of so many bytes of text or in ROUNDS, so that not all of it lies on disk at once.
+ROUND_BYTES = 1 << 27
+ROUNDS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,6 +93,19 @@ class Code:
     node: np.ndarray
     bit: np.ndarray
 
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Symbols' places in the order of their codes: those under one node stand together, its zeros first."""
+        return np.argsort(np.lexsort(self.bit.T[::-1]))
+
+    @cached_property
+    def split(self) -> np.ndarray:
+        """By node, the least rank behind its one."""
+        ones = (self.bit > 0) & (np.arange(self.bit.shape[1]) < self.length[:, None])
+        least = np.full(len(self.length), len(self.length))
+        np.minimum.at(least, self.node[ones], np.broadcast_to(self.rank[:, None], ones.shape)[ones])
+        return least
+
 
 def prefix_code(counts: np.ndarray) -> Code:
     """The optimal prefix code of 257 symbols; unseen ones count as seen a little."""
@@ -118,7 +138,38 @@ def prefix_code(counts: np.ndarray) -> Code:
 def _distinct(x: np.ndarray) -> np.ndarray:
     """The distinct values of `x` in order; `x` is sorted in place."""
     x.sort()
-    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+    return x[_leads(x)]
+
+
+def _leads(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.append(True, x[1:] != x[:-1])[: len(x)]
+
+
+_SIX = (1 << 48) - 1
+
+
+def _newest_lowest(x: np.ndarray, k: int) -> np.ndarray:
+    """`k` bytes in the opposite order."""
+    return (x << (64 - 8 * k)).byteswap() & ((1 << (8 * k)) - 1)
+
+
+def _orders(last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order: the distinct pairs that follow from those of the highest order, packed and sorted, and which of them each gives.
+
+    `last` is sorted by symbol and then by the bytes before it from the last on, so that
+    equal pairs of any order stand together.
+    """
+    for k in ORDERS:
+        some = last >> (8 * (max(ORDERS) - k))
+        lead = _leads(some)
+        some = some[lead]
+        context = _newest_lowest(some & ((1 << (8 * k)) - 1), k) | (k << 48)
+        pair = (context << SYMBOL_BITS) | (some >> (8 * k))
+        order = np.argsort(pair)
+        place = np.empty(len(pair), np.int32)
+        place[order] = np.arange(len(pair), dtype=np.int32)
+        yield pair[order], place[np.cumsum(lead) - 1]
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -132,69 +183,73 @@ class Symbols:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         docs, pad = len(offsets) - 1, max(ORDERS)
-        sizes = np.diff(offsets)
+        sizes = np.diff(offsets) + 1
         # Each text stands after zeros, so that no context reaches into another, and before its end symbol.
         self.starts = offsets[:-1] + np.arange(docs) * (pad + 1) + pad
-        symbols = np.zeros(len(data) + docs * (pad + 1), np.uint16)
-        where = np.arange(len(data)) + np.repeat(self.starts - offsets[:-1], sizes)
-        symbols[where] = _LOWER[data]
-        ends = self.starts + sizes
-        symbols[ends] = END
-        self.coded, self.symbols = np.sort(np.concatenate((where, ends))), symbols
-        self.now = symbols[self.coded]
+        self.coded = np.arange(len(data) + docs) + np.repeat(np.arange(1, docs + 1) * pad, sizes)
+        ends = np.cumsum(sizes) - 1
+        text = np.ones(len(self.coded), bool)
+        text[ends] = False
+        self.now = np.full(len(self.coded), END, np.uint16)
+        self.now[text] = _LOWER[data]
+
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        """The symbols between their zeros."""
+        out = np.zeros(len(self.coded) + len(self.starts) * max(ORDERS), np.uint16)
+        out[self.coded] = self.now
+        return out
+
+    def _before(self, newest_first: bool) -> np.ndarray:
+        """The six bytes before each symbol as one number, the last byte lowest or, `newest_first`, highest."""
+        # An end is before no symbol: as a byte it becomes zero.
+        held = np.zeros(len(self.coded) + len(self.starts) * max(ORDERS) + 16, np.uint8)
+        held[self.coded + 8] = self.now.astype(np.uint8)
+        if newest_first:
+            eight = np.ndarray((len(held) - 7,), "<i8", held, strides=(1,))[self.coded + 2]
+        else:
+            eight = np.ndarray((len(held) - 7,), ">i8", held, strides=(1,))[self.coded].astype(np.int64)
+        eight &= _SIX
+        return eight
+
+    def last_pairs(self) -> np.ndarray:
+        """Each symbol behind the highest order and its last bytes: from these the pairs of the others follow."""
+        pairs = self._before(False)
+        pairs |= max(ORDERS) << 48
+        pairs <<= SYMBOL_BITS
+        pairs |= self.now
+        return pairs
 
     def pairs(self) -> Iterator[np.ndarray]:
         """By order: each symbol behind its order and its last bytes, packed into 60 bits."""
-        context = np.zeros(len(self.coded), np.int64)
-        for k in range(1, max(ORDERS) + 1):
-            context |= self.symbols[self.coded - k].astype(np.int64) << (8 * (k - 1))
-            if k in ORDERS:
-                yield ((context | (k << 48)) << SYMBOL_BITS) | self.now
+        context = self._before(False)
+        for k in ORDERS:
+            yield (((context & ((1 << (8 * k)) - 1)) | (k << 48)) << SYMBOL_BITS) | self.now
 
     def contexts(self) -> np.ndarray:
         """Distinct contexts in order; those of one order stand before those of the next."""
-        out = []
-        for k, pairs in zip(ORDERS, self.pairs(), strict=True):
-            pairs >>= SYMBOL_BITS
-            if k > 3:
-                out.append(_distinct(pairs))
-                continue
-            # So few that each has a place of its own.
-            met = np.zeros(1 << (8 * k), bool)
-            met[pairs & (len(met) - 1)] = True
-            out.append(np.flatnonzero(met) | (k << 48))
+        last, out = _distinct(self._before(True)), []
+        for k in ORDERS:
+            some = last >> (8 * (max(ORDERS) - k))
+            out.append(np.sort(_newest_lowest(some[_leads(some)], k) | (k << 48)))
         return np.concatenate(out)
 
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of the highest order, as the symbol and the bytes before it, the last first, and which of them each symbol's is."""
+        key = self._before(True)
+        key |= self.now.astype(np.int64) << 48
+        order = np.argsort(key)
+        key = key[order]
+        lead = _leads(key)
+        number = np.empty(len(key), np.int32)
+        number[order] = np.cumsum(lead, dtype=np.int32) - np.int32(1)
+        return key[lead], number
+
     def numbered(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """By order: the distinct pairs, and which of them each symbol's is.
-
-        A pair is the one of the order before and some more bytes, so its number there
-        stands for it, and the symbol's place fits behind that: one sort gives both.
-        """
-        n, last, number, distinct = len(self.coded), 0, None, 0
-        place = max(n - 1, 0).bit_length()
-        for k, pairs in zip(ORDERS, self.pairs(), strict=True):
-            if number is None:
-                key, bits = pairs & ((1 << (8 * k + SYMBOL_BITS)) - 1), 8 * k + SYMBOL_BITS
-            else:
-                more = 8 * (k - last)
-                key = (pairs >> (8 * last + SYMBOL_BITS)) & ((1 << more) - 1)
-                key |= number.astype(np.int64) << more
-                bits = max(distinct - 1, 0).bit_length() + more
-            if bits + place > 63:
-                _, at, number = np.unique(key, return_index=True, return_inverse=True)
-            else:
-                key <<= place
-                key |= np.arange(n)
-                key.sort()
-                at = key & ((1 << place) - 1)
-                key >>= place
-                lead = np.append(True, key[1:] != key[:-1])[:n]
-                number = np.empty(n, np.int32)
-                number[at] = np.cumsum(lead, dtype=np.int32) - np.int32(1)
-                at = at[lead]
-            last, distinct = k, len(at)
-            yield pairs[at], number
+        """By order: the distinct pairs, and which of them each symbol's is."""
+        last, number = self.ordered()
+        for pair, which in _orders(last):
+            yield pair, which[number]
 
 
 class Decisions(Symbols):
@@ -245,11 +300,23 @@ def _only(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(_train_rows(batch.column("doc_id"))))
 
 
+def _sizes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _length_class(size: np.ndarray) -> np.ndarray:
+    """Doublings of LONG_BYTES below each size; -1 for shorter ones."""
+    return np.maximum(np.frexp(size / LONG_BYTES)[1].astype(np.int64) - 1, -1)
+
+
 def count_symbols(docs: DataFrame) -> DataFrame:
-    """kind, token, count over the training documents: words (kind 0) and bytes (kind 1)."""
+    """kind, token, count over the training documents: words (kind 0) and bytes (kind 1); bytes of all by class of length (kind 2)."""
 
     def run(batches):
         for batch in batches:
+            size = _sizes(batch.column("text"))
+            kinds, which = np.unique(_length_class(size), return_inverse=True)
+            long = np.bincount(which, size, len(kinds)).astype(np.int64)
             batch = _only(batch)
             tokens, bytes_ = [np.full(batch.num_rows, END_TOKEN, np.uint64)], np.zeros(257, np.int64)
             bytes_[END] = batch.num_rows
@@ -257,9 +324,9 @@ def count_symbols(docs: DataFrame) -> DataFrame:
                 tokens.append(Words(data, offsets).hashes(fold=True))
                 bytes_[:256] += np.bincount(_LOWER[data], minlength=256)
             token, count = np.unique(np.concatenate(tokens), return_counts=True)
-            kind = np.concatenate((np.zeros(len(token), np.int32), np.ones(257, np.int32)))
-            token = np.concatenate((token.view(np.int64), np.arange(257)))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(token), pa.array(np.concatenate((count, bytes_)))], names=["kind", "token", "count"])
+            kind = np.repeat(np.arange(3, dtype=np.int32), (len(token), 257, len(kinds)))
+            token = np.concatenate((token.view(np.int64), np.arange(257), kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(token), pa.array(np.concatenate((count, bytes_, long)))], names=["kind", "token", "count"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "kind int, token bigint, count bigint")
     return rows.groupBy("kind", "token").agg(F.sum("count").alias("count"))
@@ -275,10 +342,18 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[lead], np.add.reduceat(count, lead)
 
 
-def count_contexts(docs: DataFrame, code: Code | None = None) -> DataFrame:
+def _lower(k: int):
+    """The pair of order `k` that follows from a `pair` of the highest order."""
+    pair = F.col("pair")
+    last = pair.bitwiseAND(F.lit((1 << (8 * k + SYMBOL_BITS)) - 1))
+    return last.bitwiseOR(F.lit(k << (48 + SYMBOL_BITS)))
+
+
+def count_contexts(docs: DataFrame, code: Code | None = None, scratch: Scratch | None = None) -> DataFrame:
     """context, total, seen: how often each symbol followed each context in the training documents.
 
-    Whole symbols are counted, so no `code` is needed.
+    Whole symbols are counted, so no `code` is needed.  Tasks send the pairs of the highest
+    order; once those are summed, the pairs of the others are sums of them.
     """
 
     def count(batches):
@@ -288,17 +363,16 @@ def count_contexts(docs: DataFrame, code: Code | None = None) -> DataFrame:
         def rows(key, n):
             for lo in range(0, len(key), 1 << 18):
                 some = slice(lo, lo + (1 << 18))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[some] >> SYMBOL_BITS), pa.array((key[some] & 511).astype(np.int16)), pa.array(n[some])], names=["context", "symbol", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some])], names=["pair", "n"])
 
         for batch in batches:
             batch = _only(batch)
-            for *_, data, offsets in text_chunks(batch.column("text"), MODEL_BYTES):
-                for pairs in Symbols(data, offsets).pairs():
-                    key, n = np.unique(pairs, return_counts=True)
-                    keys.append(key)
-                    counts.append(n)
+            for *_, data, offsets in text_chunks(batch.column("text"), LANE_BYTES):
+                pairs = Symbols(data, offsets).last_pairs()
+                pairs.sort()
+                lead = np.flatnonzero(_leads(pairs))
+                keys.append(pairs[lead])
+                counts.append(np.diff(np.append(lead, len(pairs))))
                 if sum(map(len, keys)) > HELD_PAIRS:
                     key, n = _summed(keys, counts)
                     keys, counts = [key], [n]
@@ -308,8 +382,12 @@ def count_contexts(docs: DataFrame, code: Code | None = None) -> DataFrame:
         if keys:
             yield from rows(*_summed(keys, counts))
 
-    sent = docs.select("doc_id", "text").mapInArrow(count, "context bigint, symbol smallint, n bigint").repartition("context")
-    pairs = sent.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    sent = docs.select("doc_id", "text").mapInArrow(count, "pair bigint, n bigint").repartition("pair")
+    last = (scratch or Scratch(docs.sparkSession, "mixing")).save(sent.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    others = last.select(F.explode(F.array(*[_lower(k) for k in ORDERS if k < max(ORDERS)])).alias("pair"), "n")
+    pairs = last.unionByName(others.groupBy("pair").agg(F.sum("n").alias("n")))
+    symbol = F.col("pair").bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1)).cast("smallint")
+    pairs = pairs.select(F.shiftright("pair", SYMBOL_BITS).alias("context"), symbol.alias("symbol"), "n")
     return pairs.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("seen"))
 
 
@@ -334,79 +412,133 @@ def hot_contexts(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # --- scoring -----------------------------------------------------------------------------------
 
 _CENTRES = np.arange(-8, 8.5, 0.5).astype(np.float32)
-_UNKNOWN = np.float32(-0.0).view(np.int32)
-_RATE, _REFINE, _HALF, _TWO, _LOW, _HIGH = map(np.float32, (RATE, REFINE_RATE, 0.5, 2, -16, 16))
+_HALF = np.float32(0.5)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _of_contexts(contexts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Where a table of packed keys has each of some sorted contexts: first row and number of rows."""
-    lo = np.searchsorted(table[0], contexts << SYMBOL_BITS)
-    return lo, np.searchsorted(table[0], (contexts + 1) << SYMBOL_BITS) - lo
+def ranked(table: tuple[np.ndarray, np.ndarray], code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Packed keys and counts by context and rank, sorted, and the counts' running sums."""
+    keys, counts = table
+    keys = ((keys >> SYMBOL_BITS) << SYMBOL_BITS) | code.rank[keys & ((1 << SYMBOL_BITS) - 1)]
+    order = np.argsort(keys)
+    return keys[order], np.concatenate(([0], np.cumsum(counts[order])))
 
 
-class Exact:
-    """Log odds of decisions from counts of (context, symbol), in tables of packed keys that share no context."""
+def _odds(ones, zeros):
+    return np.clip(np.log((ones + 0.1) / (zeros + 0.1)), -9, 9).astype(np.float32)
 
-    def __init__(self, *tables: tuple[np.ndarray, np.ndarray]):
-        self.tables = tables
 
-    def _of_pairs(self, pair: np.ndarray, code: Code) -> np.ndarray:
-        """Of sorted distinct pairs, one value per step of each; NaN where no training document came by.
+class Exact:
+    """Log odds of decisions from counts of (context, symbol), in tables of packed keys that share no context.
 
-        Some contexts at a time, so that only their part of the table is spread over nodes.
-        """
+    `ready` are tables that `ranked` has made.
+    """
 
-        def nodes(context, symbol):
-            """(context, node) of each decision of each symbol, its bit, and the number of decisions."""
+    def __init__(self, *tables: tuple[np.ndarray, np.ndarray], ready: tuple[tuple[np.ndarray, np.ndarray], ...] = ()):
+        self.tables, self.ready = tables, list(ready)
+
+    def _of_pairs(self, pairs: np.ndarray, code: Code, value: np.ndarray) -> None:
+        """Of sorted distinct pairs, one value per step of each; those where no training document came by are left."""
+        self.ready += [ranked(t, code) for t in self.tables]
+        self.tables = ()
+        done = 0
+        for lo in range(0, len(pairs), ODDS_PAIRS):
+            pair = pairs[lo : lo + ODDS_PAIRS]
+            contexts, symbol = pair >> SYMBOL_BITS, pair & ((1 << SYMBOL_BITS) - 1)
+            lead = _leads(contexts)
+            owner = np.cumsum(lead) - 1
+            met = contexts[lead] << SYMBOL_BITS
             size = code.length[symbol]
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            row = np.repeat(symbol, size)
-            return (np.repeat(context, size) << 8) | code.node[row, step], code.bit[row, step], size
-
-        lead = np.flatnonzero(np.append(True, (pair[1:] >> SYMBOL_BITS) != (pair[:-1] >> SYMBOL_BITS))[: len(pair)])
-        contexts, ends = pair[lead] >> SYMBOL_BITS, np.append(lead[1:], len(pair))
-        found = [_of_contexts(contexts, t) for t in self.tables]
-        held = np.cumsum(sum(size for _, size in found))
-        out = [np.zeros(0, np.float32)]
-        lo = 0
-        while lo < len(contexts):
-            hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + ODDS_PAIRS, "right")))
-            parts = []
-            for (first, size), (keys, counts) in zip(found, self.tables, strict=True):
-                first, size = first[lo:hi], size[lo:hi]
-                at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-                parts.append((np.repeat(np.arange(hi - lo), size), keys[at] & 511, counts[at]))
-            context, symbol, n = map(np.concatenate, zip(*parts, strict=True))
-            place, bit, size = nodes(context, symbol)
-            n = np.repeat(n, size)
-            order = np.argsort(place)
-            place, n, bit = place[order], n[order], bit[order]
-            first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
-            all_, ones = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (n, n * bit))
-            odds = np.clip(np.log((ones + 0.1) / (all_ - ones + 0.1)), -9, 9).astype(np.float32)
-            some = slice(lead[lo], ends[hi - 1])
-            asked, _, _ = nodes(np.repeat(np.arange(hi - lo), ends[lo:hi] - lead[lo:hi]), pair[some] & 511)
-            place = place[first]
-            at = np.searchsorted(place, asked)
-            at[at == len(place)] = 0
-            out.append(np.where(place[at] == asked, odds[at], np.float32(np.nan)) if len(place) else np.full(len(asked), np.nan, np.float32))
-            lo = hi
-        return np.concatenate(out)
+            first = done + np.cumsum(size) - size
+            done += int(size.sum())
+            for keys, sums in self.ready:
+                low, high = np.searchsorted(keys, met), np.searchsorted(keys, met + (1 << SYMBOL_BITS))
+                some = np.flatnonzero((high > low)[owner])
+                if len(some):
+                    self._of_table(keys, sums, low[owner[some]], high[owner[some]], contexts[some] << SYMBOL_BITS, symbol[some], size[some], first[some], code, value)
+
+    def _of_table(self, keys, sums, a, b, context, symbol, size, first, code: Code, value: np.ndarray) -> None:
+        """`_of_pairs` for pairs whose contexts stand at `a` to `b` of a table."""
+        width, splits, bits = code.node.shape[1], code.split[code.node].ravel(), code.bit.ravel()
+        rank, step, alone = code.rank[symbol], 0, []
+        # Counts under a node stand together: from step to step, those before or after the split stay.
+        while len(size):
+            # Nothing but the symbol itself is left: all further steps are alike.
+            at = keys[a] & ((1 << SYMBOL_BITS) - 1)
+            one = (b - a == 1) & (at == rank)
+            alone.append((first[one] + step, size[one] - step, symbol[one] * width + step, (sums[b] - sums[a])[one]))
+            symbol, context, size, first, rank, a, b, at = (x[~one] for x in (symbol, context, size, first, rank, a, b, at))
+            place = symbol * width + step
+            split = splits[place]
+            middle = np.where(at >= split, a, b)
+            more = np.flatnonzero(b - a > 1)
+            middle[more] = np.searchsorted(keys, context[more] | split[more])
+            low, mid, high = sums[a], sums[middle], sums[b]
+            value[first + step] = _odds(high - mid, mid - low)
+            bit = bits[place] > 0
+            a, b = np.where(bit, middle, a), np.where(bit, b, middle)
+            step += 1
+            keep = (size > step) & (b > a)
+            symbol, context, size, first, rank, a, b = (x[keep] for x in (symbol, context, size, first, rank, a, b))
+        first, size, place, n = map(np.concatenate, zip(*alone, strict=True))
+        more = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        ones, zeros = _odds(n, 0), _odds(0, n)
+        bit = bits[np.repeat(place, size) + more] > 0
+        value[np.repeat(first, size) + more] = np.where(bit, np.repeat(ones, size), np.repeat(zeros, size))
+
+    def laid_out(self, seen: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row per decision of each distinct pair of the highest order, the decisions' rows, and which documents know all inputs."""
+        code = seen.code
+        last, number = seen.ordered()
+        size = code.length[last >> 48]
+        base = np.cumsum(size) - size
+        rows = int(size.sum())
+        kind = np.int32 if max(rows, seen.total) < 1 << 31 else np.int64
+        step = np.arange(rows, dtype=kind)
+        step -= np.repeat(base.astype(kind), size)
+        at = np.repeat(((last >> 48) * code.bit.shape[1]).astype(kind), size)
+        at += step
+        table = _table(rows, code.bit.ravel().take(at))
+        del at
+        for i, (pair, which) in enumerate(_orders(last)):
+            sizes = code.length[pair & ((1 << SYMBOL_BITS) - 1)]
+            value = np.full(sizes.sum(), np.nan, np.float32)
+            self._of_pairs(pair, code, value)
+            at = np.repeat((np.cumsum(sizes) - sizes).astype(kind)[which], size)
+            at += step
+            _fill(table, i, value.take(at))
+        del at, step, value, pair, which, last
+        known = np.minimum.reduceat(table[:-1, len(ORDERS) + 1], base) == len(ORDERS) if rows else np.zeros(0, bool)
+        whole = np.logical_and.reduceat(known[number], np.searchsorted(seen.coded, seen.starts)) if rows else known
+        first = base.astype(kind)[number]
+        del number
+        first -= seen.begin.astype(kind)
+        where = np.repeat(first, code.length[seen.now])
+        del first
+        for lo in range(0, seen.total, WINDOW):
+            some = where[lo : lo + WINDOW]
+            some += np.arange(lo, lo + len(some), dtype=kind)
+        return table, where, whole
+
+
+def _table(rows: int, bit: np.ndarray) -> np.ndarray:
+    """Rows of decisions: an input per order, the bit, and how many inputs are known; the last row stands for none."""
+    k = len(ORDERS)
+    out = np.zeros((rows + 1, 8 * -(-(k + 2) // 8)), np.float32)
+    out[:rows, k] = bit
+    out[rows, k] = -1
+    return out
 
-    def rows(self, seen: Decisions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """By order: values, and per symbol which of them is that of its first decision; the next follow."""
-        for pair, number in seen.numbered():
-            order = np.argsort(pair)
-            pair = pair[order]
-            size = seen.code.length[pair & 511]
-            value = self._of_pairs(pair, seen.code)
-            first = np.empty(len(pair), np.int32 if len(value) < 1 << 31 else np.int64)
-            first[order] = np.cumsum(size) - size
-            yield value, first[number]
+
+def _fill(table: np.ndarray, i: int, value: np.ndarray) -> None:
+    """An order's values; an unknown one adds nothing."""
+    known = ~np.isnan(value)
+    table[:-1, len(ORDERS) + 1] += known
+    value[~known] = 0
+    table[:-1, i] = value
 
 
 def code_bits(seen: Decisions, odds: np.ndarray | Exact) -> np.ndarray:
@@ -415,95 +547,150 @@ def code_bits(seen: Decisions, odds: np.ndarray | Exact) -> np.ndarray:
     Each document is a lane from its first decision to its last, the longest lane
     first; step t of all lanes that reach it is one set of array operations.  Only
     the steps of a window are laid out as decisions, of at most LANES lanes.
+    Documents with no unknown input (all training documents) use one set of weights
+    and run apart from the others.
     """
-    tables = list(odds.rows(seen)) if isinstance(odds, Exact) else [(odds.take(slot), seen.begin) for slot in seen.slots()]
-    for value, _ in tables:
-        value[np.isnan(value)] = np.float32(-0.0)  # adds nothing; 0 that was learned is +0
-    sizes = np.diff(seen.first)
-    order = np.argsort(-sizes, kind="stable")
+    if isinstance(odds, Exact):
+        table, where, whole = odds.laid_out(seen)
+    else:
+        table, where = _table(seen.total, seen.bit), np.arange(seen.total)
+        for i, slot in enumerate(seen.slots()):
+            _fill(table, i, odds.take(slot))
+        whole = np.minimum.reduceat(table[:-1, len(ORDERS) + 1], seen.first[:-1]) == len(ORDERS)
+    firsts, sizes = seen.first[:-1], np.diff(seen.first)
+    del seen  # large, and not needed any more
     out = np.empty(len(sizes))
-    for lo in range(0, len(sizes), LANES):
-        lanes = order[lo : lo + LANES]
-        out[lanes] = _run_lanes(seen, tables, seen.first[lanes], sizes[lanes])
+    if not len(sizes):
+        return out
+    # Few documents cost less side by side, for a step of an array takes its time however short it is.
+    runs = ((_run_known, np.flatnonzero(whole)), (_run_gated, np.flatnonzero(~whole)))
+    if len(sizes) < FEW and not whole.all():
+        runs = ((_run_gated, np.arange(len(sizes))),)
+    for run, docs in runs:
+        order = docs[np.argsort(-sizes[docs], kind="stable")]
+        for lo in range(0, len(order), LANES):
+            lanes = order[lo : lo + LANES]
+            out[lanes] = run(table, where, firsts[lanes], sizes[lanes])
     return out
 
 
-def _window(seen: Decisions, tables: list[tuple[np.ndarray, np.ndarray]], begin: np.ndarray, end: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Some steps of lanes from `begin`: inputs (unknown: 0), bit (after a lane's `end`: -1) and known orders, by step and lane."""
-    code, last = seen.code, np.minimum(begin + steps, end)
-    # The lanes' symbols one after the other, and their decisions.
-    a = np.searchsorted(seen.begin, begin, "right") - 1
-    n = np.searchsorted(seen.begin, last) - a
-    edge = np.cumsum(n) - n
-    at = np.arange(n.sum()) + np.repeat(a - edge, n)
-    symbol = seen.now[at].astype(np.int64)
-    count = code.length[symbol]
-    start = np.cumsum(count) - count
-    owner = np.repeat(np.arange(len(at)), count)
-    step = np.arange(len(owner)) - start[owner]
-    where = start[edge] + begin - seen.begin[a] + np.arange(steps)[:, None]
-    np.minimum(where, len(owner) - 1, out=where)
-    owner, step = owner.take(where), step.take(where).astype(np.int32)
-    now = code.bit.ravel().take((symbol * code.node.shape[1]).take(owner) + step).astype(np.float32)
-    over = begin + np.arange(steps)[:, None] >= end
-    now[over] = -1
-    known = np.zeros(now.shape, np.uint8)
-    xs = np.empty((*now.shape, len(tables)), np.float32)
-    for i, (value, first) in enumerate(tables):
-        where = first.take(at).take(owner)
-        where += step
-        x = value.take(where)
-        known += x.view(np.int32) != _UNKNOWN
-        xs[:, :, i] = x
-    xs[over] = 0
-    return xs, now, known
-
-
-def _run_lanes(seen: Decisions, tables: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """`code_bits` of documents by their first decisions and sizes, the longest first."""
-    n, k = len(sizes), len(tables)
+def _windows(table: np.ndarray, where: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of the table by step and lane, some steps of all lanes that reach them at a time; after a lane's end, the last row."""
+    wide = table.view(f"V{table.itemsize * table.shape[1]}")[:, 0]
+    none, t = len(table) - 1, 0
+    while t < sizes[0]:
+        live = int(np.searchsorted(-sizes, -t))
+        steps = min(max(STEPS, WINDOW // live), int(sizes[0]) - t)
+        at = np.arange(steps)[:, None] + (first[:live] + t)
+        short = int(np.searchsorted(-sizes, -(t + steps), "right"))
+        over = np.arange(steps)[:, None] >= sizes[short:live] - t
+        at = where.take(at, mode="clip").astype(np.int64, copy=False)
+        at[:, short:][over] = none
+        yield wide.take(at, mode="clip").view(np.float32).reshape(steps, live, -1)
+        t += steps
+
+
+def _spent(chance: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Bits that lanes spend in a window; a bit under 0 is none."""
+    np.clip(chance, LEAST_P, 1 - LEAST_P, out=chance)
+    right = np.where(bit > 0, chance, 1 - chance)
+    right[bit < 0] = 1
+    return -np.log2(right).sum(axis=0, dtype=np.float64)
+
+
+def _run_known(table: np.ndarray, where: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`code_bits` of documents by their first decisions and sizes, the longest first; all their inputs are known."""
+    n, k = len(sizes), len(ORDERS)
+    w = np.full((k, n), START, np.float32)
+    refine = np.tile(_squash(_CENTRES), n)
+    spent = np.zeros(n)
+    add, subtract, multiply, rint, least, most = np.add, np.subtract, np.multiply, np.rint, np.minimum, np.maximum
+    for rows in _windows(table, where, first, sizes):
+        live = rows.shape[1]
+        xs = np.ascontiguousarray(rows.transpose(0, 2, 1)[:, : k + 1])
+        w = np.ascontiguousarray(w[:, :live])
+        cells = np.arange(live) * len(_CENTRES) + 16
+        chance = np.empty((len(xs), live), np.float32)
+        parts, cell = np.empty((k, live), np.float32), np.empty(live, np.int64)
+        one, rate, faster, two, low, high = (np.full(live, x, np.float32) for x in (1, RATE, REFINE_RATE, 2, -16, 16))
+        dot, p, by = np.empty((3, live), np.float32)
+        part = list(parts)
+        for x, out in zip(xs, chance, strict=True):
+            bit, x = x[k], x[:k]
+            multiply(w, x, parts)
+            add(part[0], part[4], dot)
+            add(dot, part[1], dot)
+            add(part[2], part[3], p)
+            add(dot, p, dot)
+            np.negative(dot, p)
+            np.exp(p, p)
+            add(p, one, p)
+            np.reciprocal(p, p)
+            subtract(bit, p, by)
+            multiply(by, rate, by)
+            multiply(x, by, x)
+            add(w, x, w)
+            # The nearest cell of the adaptive map.
+            multiply(dot, two, dot)
+            rint(dot, dot)
+            most(dot, low, dot)
+            least(dot, high, dot)
+            cell[...] = dot
+            add(cell, cells, cell)
+            refine.take(cell, None, by, "clip")
+            add(p, by, out)
+            subtract(bit, by, p)
+            multiply(p, faster, p)
+            add(p, by, p)
+            refine[cell] = p
+        chance *= _HALF
+        spent[:live] += _spent(chance, xs[:, k])
+    return spent
+
+
+def _run_gated(table: np.ndarray, where: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`_run_known` with a set of weights for each number of known inputs."""
+    n, k = len(sizes), len(ORDERS)
     weights = np.full((n * (k + 1), k), START, np.float32)
     held = weights.view(f"V{weights.itemsize * k}")[:, 0]  # a row is put back as one value
     refine = np.tile(_squash(_CENTRES), n)
     spent = np.zeros(n)
-    for t in range(0, int(sizes[0]) if n else 0, STEPS):
-        live = int(np.searchsorted(-sizes, -t))
-        xs, now, known = _window(seen, tables, first[:live] + t, first[:live] + sizes[:live], min(STEPS, int(sizes[0]) - t))
+    add, subtract, multiply, rint, least, most = np.add, np.subtract, np.multiply, np.rint, np.minimum, np.maximum
+    for rows in _windows(table, where, first, sizes):
+        live = rows.shape[1]
+        xs, now = np.ascontiguousarray(rows[:, :, :k]), np.ascontiguousarray(rows[:, :, k])
         cells = np.arange(live) * len(_CENTRES) + 16
-        gate = known + np.arange(live) * (k + 1)
+        gate = rows[:, :, k + 1].astype(np.int64) + np.arange(live) * (k + 1)
         chance = np.empty_like(now)
-        w, dot, p, rate = np.empty((live, k), np.float32), *np.empty((3, live), np.float32)
-        rows = w.view(held.dtype)[:, 0]
+        w, dot, p, by = np.empty((live, k), np.float32), *np.empty((3, live), np.float32)
+        one, rate, faster, two, low, high = (np.full(live, x, np.float32) for x in (1, RATE, REFINE_RATE, 2, -16, 16))
+        put, cell = w.view(held.dtype)[:, 0], np.empty(live, np.int64)
         for x, bit, row, out in zip(xs, now, gate, chance, strict=True):
-            weights.take(row, axis=0, out=w, mode="clip")
+            weights.take(row, 0, w, "clip")
             np.einsum("ij,ij->i", w, x, out=dot)
-            np.negative(dot, out=p)
-            np.exp(p, out=p)
-            p += 1
-            np.reciprocal(p, out=p)
-            np.subtract(bit, p, out=rate)
-            rate *= _RATE
-            x *= rate[:, None]
-            w += x
-            held[row] = rows
-            # The nearest cell of the adaptive map.
-            dot *= _TWO
-            np.rint(dot, out=dot)
-            np.maximum(dot, _LOW, out=dot)
-            np.minimum(dot, _HIGH, out=dot)
-            cell = dot.astype(np.int64)
-            cell += cells
-            refine.take(cell, out=rate, mode="clip")
-            p += rate
-            np.multiply(p, _HALF, out=out)
-            np.subtract(bit, rate, out=p)
-            p *= _REFINE
-            p += rate
+            np.negative(dot, p)
+            np.exp(p, p)
+            add(p, one, p)
+            np.reciprocal(p, p)
+            subtract(bit, p, by)
+            multiply(by, rate, by)
+            multiply(x, by[:, None], x)
+            add(w, x, w)
+            held[row] = put
+            multiply(dot, two, dot)
+            rint(dot, dot)
+            most(dot, low, dot)
+            least(dot, high, dot)
+            cell[...] = dot
+            add(cell, cells, cell)
+            refine.take(cell, None, by, "clip")
+            add(p, by, out)
+            subtract(bit, by, p)
+            multiply(p, faster, p)
+            add(p, by, p)
             refine[cell] = p
-        np.clip(chance, LEAST_P, 1 - LEAST_P, out=chance)
-        right = np.where(now > 0, chance, 1 - chance)
-        right[now < 0] = 1
-        spent[:live] -= np.log2(right).sum(axis=0, dtype=np.float64)
+        chance *= _HALF
+        spent[:live] += _spent(chance, now)
     return spent
 
 
@@ -518,7 +705,21 @@ def _key(ids: pa.Array, words: Words, hashes: np.ndarray, data: np.ndarray, offs
 
 def _by_length(texts: pa.Array) -> pa.Array:
     """Places of the texts, the shortest first: texts that run side by side should end together."""
-    return pa.array(np.argsort(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), kind="stable"))
+    return pa.array(np.argsort(_sizes(texts), kind="stable"))
+
+
+def _dealt(texts: pa.Array, part: int, number: int, pools: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+    """First and end row and name of each batch of texts, the longest text first.
+
+    A task has few long texts: they go to batches that tasks share, one of the `pools` of their class of length.
+    """
+    classes = _length_class(_sizes(texts))
+    edges = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])[: len(classes)]).tolist()
+    for first, end in zip(edges, [*edges[1:], len(classes)], strict=True):
+        k = int(classes[first])
+        for i, (lo, hi, *_) in enumerate(text_chunks(texts.slice(first, end - first), ASK_BYTES if k < 0 else POOL_BYTES)):
+            name = part << 32 | (number + i) if k < 0 else -1 - (k << 32 | (part + number + i) % pools[k])
+            yield first + lo, first + hi, name
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -540,12 +741,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     for row in counted.filter("kind = 1").collect():  # 257 rows
         seen_bytes[row["token"]] = row["count"]
     code = prefix_code(seen_bytes)
+    classes = {row["token"]: row["count"] for row in counted.filter("kind = 2").collect()}  # a row a doubling
+    pools = {k: -(-n // POOL_BYTES) for k, n in classes.items() if k >= 0}
+    rounds = min(ROUNDS, max(1, -(-sum(classes.values()) // ROUND_BYTES)))
     # At most COMMON rows, and HOT_PAIRS counts.
     common = counts.orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     common = common.sort_values("token")
     tokens = spark.sparkContext.broadcast((common["token"].to_numpy(), common["count"].to_numpy(np.int64)))
-    contexts = scratch.save(count_contexts(plain), "contexts")
-    hot = spark.sparkContext.broadcast(hot_contexts(contexts))
+    contexts = scratch.save(count_contexts(plain, scratch=scratch), "contexts")
+    scratch.drop("pairs")
+    hot = spark.sparkContext.broadcast(ranked(hot_contexts(contexts), code))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def lookup(hashes):
@@ -579,20 +784,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             # The longest first: what is left over for a batch of its own is short.
             batch = batch.take(_by_length(batch.column("text"))[::-1])
-            for lo, hi, *_ in text_chunks(batch.column("text"), ASK_BYTES):
-                some = text_chunks(batch.column("text").slice(lo, hi - lo), BATCH_BYTES)
+            for lo, hi, name in _dealt(batch.column("text"), part, number, pools):
+                some = text_chunks(batch.column("text").slice(lo, hi - lo), LANE_BYTES)
                 met = _distinct(np.concatenate([Symbols(data, offsets).contexts() for *_, data, offsets in some]))
                 if len(names):
                     met = met[names[np.minimum(np.searchsorted(names, met), len(names) - 1)] != met]
-                name = np.int64(part << 32 | number)
-                number += 1
                 rows = hi - lo
                 none = pa.nulls(rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name)), batch.column("doc_id").slice(lo, rows), batch.column("text").slice(lo, rows), none], names=["batch", "doc_id", "text", "asks"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name, np.int64)), batch.column("doc_id").slice(lo, rows), batch.column("text").slice(lo, rows), none], names=["batch", "doc_id", "text", "asks"])
                 asks = pa.ListArray.from_arrays(pa.array([0, len(met)], pa.int32()), pa.array(met, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.nulls(1, batch.schema.field("doc_id").type), pa.nulls(1, batch.schema.field("text").type), asks], names=["batch", "doc_id", "text", "asks"]
+                    [pa.array([name], pa.int64()), pa.nulls(1, batch.schema.field("doc_id").type), pa.nulls(1, batch.schema.field("text").type), asks], names=["batch", "doc_id", "text", "asks"]
                 )
+                number += 1
 
     def whole(rows, told):
         told = told.combine_chunks()
@@ -603,13 +807,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
             flat = lists.flatten()
             flat = flat.to_numpy()
             key = (np.repeat(told["context"].to_numpy(), lists.value_lengths().to_numpy()) << SYMBOL_BITS) | (flat & 511)
+            # What several tasks have asked for the same batch is told once for each.
             order = np.argsort(key)
+            order = order[_leads(key[order])]
             more = key[order], flat[order] >> SYMBOL_BITS
-        parts, exact = [], Exact(hot.value, more)
+            del flat, key, order
+        del told, lists
+        parts, exact = [], Exact(more, ready=(hot.value,))
+        del more
         rows = rows.select(["doc_id", "text"]).combine_chunks()
         rows = rows.take(_by_length(rows["text"].combine_chunks()))
         ids, texts = (rows[c].combine_chunks() for c in ("doc_id", "text"))
-        bits = np.concatenate([code_bits(Decisions(data, offsets, code), exact) for *_, data, offsets in text_chunks(texts, ASK_BYTES)])
+        bits = np.concatenate([code_bits(Decisions(data, offsets, code), exact) for *_, data, offsets in text_chunks(texts, LANE_BYTES)])
+        del exact
         for lo, hi, data, offsets in text_chunks(texts, SCORE_BYTES):
             words = Words(data, offsets)
             hashes = words.hashes(fold=True)
@@ -626,14 +836,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([ids, *columns], names=["doc_id", "k", "held_out", "n_tokens", "known", "base", "bits", "n_bytes"])
 
     batches = scratch.save(plain.mapInArrow(dealt, f"batch bigint, doc_id {kind}, text string, asks array<bigint>"), "batches")
-    asks = batches.filter("asks IS NOT NULL").select(F.col("batch").alias("of"), F.explode("asks").alias("context"))
     # A symbol and its count travel as one number.
     packed = F.transform("seen", lambda x: F.shiftleft(x["n"], SYMBOL_BITS).bitwiseOR(x["symbol"].cast("bigint")))
-    told = asks.join(contexts, "context").select("of", "context", packed.alias("seen"))
-    scored = batches.filter("asks IS NULL").select("batch", "doc_id", "text").groupBy("batch").cogroup(told.groupBy("of"))
-    own = scratch.save(
-        scored.applyInArrow(whole, f"doc_id {kind}, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint"), "own"
-    )
+    owns = []
+    for k in range(rounds):
+        some = batches.filter(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k)
+        asks = some.filter("asks IS NOT NULL").select(F.col("batch").alias("of"), F.explode("asks").alias("context"))
+        told = asks.join(contexts, "context").select("of", "context", packed.alias("seen"))
+        scored = some.filter("asks IS NULL").select("batch", "doc_id", "text").groupBy("batch").cogroup(told.groupBy("of"))
+        found = scored.applyInArrow(whole, f"doc_id {kind}, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint")
+        owns.append(scratch.save(found, "own"))
+    own = reduce(DataFrame.unionByName, owns)
     scratch.drop("batches", "contexts")
     asked = plain.mapInArrow(rare, "token bigint, k bigint, times int")
     met = asked.join(counts.withColumnRenamed("count", "c"), "token", "left")
