@@ -61,14 +61,15 @@ FOLDS = 10
 END = 256
 #: The hash of the end token, beside those of words.
 END_TOKEN = 1
+MODEL_BYTES = 3 << 18
 #: Bytes of text whose words are held at a time while it is scored.
 SCORE_BYTES = 1 << 19
 #: Documents of so many bytes, by doublings of it, run beside those of other tasks, about POOL_BYTES together.
 LONG_BYTES = 1 << 14
-POOL_BYTES = 3 << 20
+POOL_BYTES = 2 << 20
 #: Bytes of text that ask the table together, each context once, and that are scored together.
-ASK_BYTES = 8 << 20
-LANE_BYTES = 3 << 20
+ASK_BYTES = 4 << 20
+LANE_BYTES = 2 << 20
 #: Texts, and what their batches are told, are shuffled in rounds of so many bytes of text or in ROUNDS, so that not all of it lies on disk at once.
 ROUND_BYTES = 1 << 27
 ROUNDS = 8
@@ -333,12 +334,17 @@ def count_symbols(docs: DataFrame) -> DataFrame:
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums; the lists are emptied."""
     key, count = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
     if not len(key):
         return key, count
     order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    key = key[order]
+    count = count[order]
+    del order
+    lead = np.flatnonzero(_leads(key))
     return key[lead], np.add.reduceat(count, lead)
 
 
@@ -367,7 +373,7 @@ def count_contexts(docs: DataFrame, code: Code | None = None, scratch: Scratch |
 
         for batch in batches:
             batch = _only(batch)
-            for *_, data, offsets in text_chunks(batch.column("text"), LANE_BYTES):
+            for *_, data, offsets in text_chunks(batch.column("text"), MODEL_BYTES):
                 pairs = Symbols(data, offsets).last_pairs()
                 pairs.sort()
                 lead = np.flatnonzero(_leads(pairs))
@@ -806,7 +812,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         else:
             flat = lists.flatten()
             flat = flat.to_numpy()
-            key = (np.repeat(told["context"].to_numpy(), lists.value_lengths().to_numpy()) << SYMBOL_BITS) | (flat & 511)
+            key = np.repeat(told["context"].to_numpy(), lists.value_lengths().to_numpy())
+            key <<= SYMBOL_BITS
+            key |= flat & 511
             # What several tasks have asked for the same batch is told once for each.
             order = np.argsort(key)
             order = order[_leads(key[order])]
