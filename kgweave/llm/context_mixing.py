@@ -8,22 +8,28 @@ training.  A mixer adds them by weights, which a gate picks
 by how many orders know their context; after each decision the weights move along
 the coding loss.  The mix is refined by an adaptive map from its log odds to the
 rate of ones seen since.  Mixer and map start anew with each document and last to
-its end; documents run side by side as array operations, and a score does not
-depend on what else a task holds.
+its end, and a score does not depend on what else a task holds.
 
 The table is learned from all training documents and grows with them: it holds, for
 every context of every order, how often each symbol followed it, exactly (six bytes
 and the order fit a key, so nothing is hashed together).  The most frequent contexts
-(at most HOT_PAIRS counts) are broadcast; documents ask in batches, and each
-batch's other distinct contexts meet the table in a join, some batches a round.  Beside it stands an add-0.1 unigram model over words, exact: common
-words (at most COMMON, broadcast) are counted in place, the rest by a join.
+(at most HOT_PAIRS counts) are broadcast; documents ask in batches, and a batch's
+other distinct contexts go to the table's buckets as one packed list each, some batches a
+round, so that no row is made of a context or a count.  Beside it stands an add-0.1
+unigram model over words, exact: common words (at most COMMON, broadcast) are counted in
+place, the rest by a join.
+
+The loops over bytes are ContextMixing.java: counting, asking, answering, odds and mixer.
+`code_bits` says the same as array operations over a chunk, and is what the tests hold
+the Java code against.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -31,10 +37,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.llm.common import Scratch, Words, text_chunks
+from kgweave.llm.jvm import java_function
 
 ORDERS = (1, 2, 3, 4, 6)
 #: A hashed table in place of the exact one, for callers of code_bits that bring their own odds.
@@ -44,8 +51,9 @@ SLOTS = 1 << SLOT_BITS
 SYMBOL_BITS = 9
 #: (context, symbol) counts that are broadcast, at most; the others are joined.
 HOT_PAIRS = 1 << 21
-#: Pairs that a task sums up before it sends them.
-HELD_PAIRS = 1 << 22
+#: Contexts are dealt to a bucket for so many bytes of text, and to so many at least.
+BUCKET_BYTES = 4 << 20
+BUCKETS = 32
 #: Decisions laid out at a time, of so many steps at least, and lanes that run side by side.
 WINDOW = 1 << 17
 STEPS = 64
@@ -61,17 +69,16 @@ FOLDS = 10
 END = 256
 #: The hash of the end token, beside those of words.
 END_TOKEN = 1
-MODEL_BYTES = 3 << 18
 #: Bytes of text whose words are held at a time while it is scored.
 SCORE_BYTES = 1 << 19
 #: Documents of so many bytes, by doublings of it, run beside those of other tasks, about POOL_BYTES together.
 LONG_BYTES = 1 << 14
 POOL_BYTES = 2 << 20
-#: Bytes of text that ask the table together, each context once, and that are scored together.
-ASK_BYTES = 4 << 20
-LANE_BYTES = 2 << 20
+#: Bytes and number of texts that are counted, ask the table (each context once) and are scored together.
+ASK_BYTES = 12 << 20
+BATCH_ROWS = 1 << 16
 #: Texts, and what their batches are told, are shuffled in rounds of so many bytes of text or in ROUNDS, so that not all of it lies on disk at once.
-ROUND_BYTES = 1 << 27
+ROUND_BYTES = 1 << 29
 ROUNDS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -333,68 +340,90 @@ def count_symbols(docs: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "token").agg(F.sum("count").alias("count"))
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and their sums; the lists are emptied."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    keys.clear()
-    counts.clear()
-    if not len(key):
-        return key, count
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    count = count[order]
-    del order
-    lead = np.flatnonzero(_leads(key))
-    return key[lead], np.add.reduceat(count, lead)
+def _code_bytes(code: Code) -> bytes:
+    """The code as ContextMixing.java reads it."""
+    parts = [code.node.shape[1]], code.length, code.rank, code.split[code.node].ravel(), code.bit.ravel()
+    return np.concatenate(parts).astype("<i4").tobytes()
 
 
-def _lower(k: int):
-    """The pair of order `k` that follows from a `pair` of the highest order."""
-    pair = F.col("pair")
-    last = pair.bitwiseAND(F.lit((1 << (8 * k + SYMBOL_BITS)) - 1))
-    return last.bitwiseOR(F.lit(k << (48 + SYMBOL_BITS)))
+def _java(spark: SparkSession, name: str, returns: str, *args: object) -> Callable[..., Column]:
+    return java_function(spark, "ContextMixing.java", f"kgweave.llm.ContextMixing${name}", returns, *args)
 
 
-def count_contexts(docs: DataFrame, code: Code | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """context, total, seen: how often each symbol followed each context in the training documents.
+def pack(docs: DataFrame, rounds: int = 1) -> DataFrame:
+    """Texts in batches of about ASK_BYTES: batch, round, ids, bytes and offsets (longs) of the texts, and a byte for each to learn from."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    most_bytes, most_rows = ASK_BYTES, BATCH_ROWS
+
+    def row(held, name):
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids = batch.column("doc_id")
+        ((*_, data, offsets),) = text_chunks(batch.column("text"), 1 << 62)
+        columns = {
+            "batch": pa.array([name], pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            "data": pa.array([data.tobytes()], pa.binary()),
+            "offsets": pa.array([offsets.tobytes()], pa.binary()),
+            "train": pa.array([_train_rows(ids).astype(np.uint8).tobytes()], pa.binary()),
+            "round": pa.array([zlib.crc32(name.to_bytes(8, "little")) % rounds], pa.int32()),
+        }
+        return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    Whole symbols are counted, so no `code` is needed.  Tasks send the pairs of the highest
-    order; once those are summed, the pairs of the others are sums of them.
+    def run(batches):
+        name, held, size, rows = TaskContext.get().partitionId() << 32, [], 0, 0
+        for lot in batches:
+            for batch in (lot.slice(lo, most_rows) for lo in range(0, lot.num_rows, most_rows)):
+                for lo, hi, data, _ in text_chunks(batch.column("text"), most_bytes):
+                    if held and (size + len(data) > most_bytes or rows + hi - lo > most_rows):
+                        yield row(held, name)
+                        name, held, size, rows = name + 1, [], 0, 0
+                    # What is less than a batch waits for more texts.
+                    held.append(batch.slice(lo, hi - lo))
+                    size, rows = size + len(data), rows + hi - lo
+        if held:
+            yield row(held, name)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"batch bigint, ids array<{kind}>, data binary, offsets binary, train binary, round int")
+
+
+def count_pairs(batches: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
+    """bucket, pairs, counts: how often each symbol followed each context in the training documents, sorted (longs).
+
+    A batch counts pairs of the highest order, and those of the others as sums of them; all
+    pairs of a context lie in its bucket.
     """
+    count = _java(batches.sparkSession, "Count", "array<binary>", buckets)
+    merge = _java(batches.sparkSession, "Merge", "struct<pairs: binary, counts: binary>")
+    lists = batches.select(count("data", "offsets", "train").alias("lists")).select(F.posexplode("lists").alias("bucket", "list"))
+    some = lists.filter(F.length("list") > 0).repartition("bucket").groupBy("bucket").agg(F.collect_list("list").alias("lists"))
+    return scratch.save(some.select("bucket", merge("lists").alias("all")).select("bucket", "all.pairs", "all.counts"), "pairs")
 
-    def count(batches):
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
 
-        def rows(key, n):
-            for lo in range(0, len(key), 1 << 18):
-                some = slice(lo, lo + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some])], names=["pair", "n"])
+def list_contexts(table: DataFrame) -> DataFrame:
+    """context, total, seen: the rows of `count_pairs` context by context."""
 
+    def run(batches):
         for batch in batches:
-            batch = _only(batch)
-            for *_, data, offsets in text_chunks(batch.column("text"), MODEL_BYTES):
-                pairs = Symbols(data, offsets).last_pairs()
-                pairs.sort()
-                lead = np.flatnonzero(_leads(pairs))
-                keys.append(pairs[lead])
-                counts.append(np.diff(np.append(lead, len(pairs))))
-                if sum(map(len, keys)) > HELD_PAIRS:
-                    key, n = _summed(keys, counts)
-                    keys, counts = [key], [n]
-                    if len(key) > HELD_PAIRS // 2:
-                        yield from rows(key, n)
-                        keys, counts = [], []
-        if keys:
-            yield from rows(*_summed(keys, counts))
-
-    sent = docs.select("doc_id", "text").mapInArrow(count, "pair bigint, n bigint").repartition("pair")
-    last = (scratch or Scratch(docs.sparkSession, "mixing")).save(sent.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    others = last.select(F.explode(F.array(*[_lower(k) for k in ORDERS if k < max(ORDERS)])).alias("pair"), "n")
-    pairs = last.unionByName(others.groupBy("pair").agg(F.sum("n").alias("n")))
-    symbol = F.col("pair").bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1)).cast("smallint")
-    pairs = pairs.select(F.shiftright("pair", SYMBOL_BITS).alias("context"), symbol.alias("symbol"), "n")
-    return pairs.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("seen"))
+            for pairs, counts in zip(batch.column("pairs"), batch.column("counts"), strict=True):
+                pairs, counts = (np.frombuffer(x.as_buffer(), np.int64) for x in (pairs, counts))
+                edges = np.append(np.flatnonzero(_leads(pairs >> SYMBOL_BITS)), len(pairs))
+                for lo in range(0, len(edges) - 1, ODDS_PAIRS):
+                    lead = edges[lo : lo + ODDS_PAIRS + 1]
+                    key, n, lead = pairs[lead[0] : lead[-1]], counts[lead[0] : lead[-1]], lead - lead[0]
+                    symbol = (key & ((1 << SYMBOL_BITS) - 1)).astype(np.int16)
+                    seen = pa.StructArray.from_arrays([pa.array(symbol), pa.array(n)], names=["symbol", "n"])
+                    lists = pa.ListArray.from_arrays(pa.array(lead, pa.int32()), seen)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lead[:-1]] >> SYMBOL_BITS), pa.array(np.add.reduceat(n, lead[:-1])), lists], names=["context", "total", "seen"])
+
+    return table.select("pairs", "counts").mapInArrow(run, "context bigint, total bigint, seen array<struct<symbol: smallint, n: bigint>>")
+
+
+def count_contexts(docs: DataFrame, code: Code | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """context, total, seen: how often each symbol followed each context in the training documents.
+
+    Whole symbols are counted, so no `code` is needed.
+    """
+    return list_contexts(count_pairs(pack(docs), BUCKETS, scratch or Scratch(docs.sparkSession, "mixing")))
 
 
 def hot_contexts(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -548,7 +577,7 @@ def _fill(table: np.ndarray, i: int, value: np.ndarray) -> None:
 
 
 def code_bits(seen: Decisions, odds: np.ndarray | Exact) -> np.ndarray:
-    """Bits that the mixed model spends on each document of the chunk, by exact odds or odds per slot.
+    """The plain form of ContextMixing.Score: bits that the mixed model spends on each document of the chunk, by exact odds or odds per slot.
 
     Each document is a lane from its first decision to its last, the longest lane
     first; step t of all lanes that reach it is one set of array operations.  Only
@@ -747,16 +776,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     for row in counted.filter("kind = 1").collect():  # 257 rows
         seen_bytes[row["token"]] = row["count"]
     code = prefix_code(seen_bytes)
-    classes = {row["token"]: row["count"] for row in counted.filter("kind = 2").collect()}  # a row a doubling
-    pools = {k: -(-n // POOL_BYTES) for k, n in classes.items() if k >= 0}
-    rounds = min(ROUNDS, max(1, -(-sum(classes.values()) // ROUND_BYTES)))
+    size = sum(row["count"] for row in counted.filter("kind = 2").collect())  # a row a doubling
+    rounds = min(ROUNDS, max(1, -(-size // ROUND_BYTES)))
+    buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
     # At most COMMON rows, and HOT_PAIRS counts.
     common = counts.orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     common = common.sort_values("token")
     tokens = spark.sparkContext.broadcast((common["token"].to_numpy(), common["count"].to_numpy(np.int64)))
-    contexts = scratch.save(count_contexts(plain, scratch=scratch), "contexts")
-    scratch.drop("pairs")
-    hot = spark.sparkContext.broadcast(ranked(hot_contexts(contexts), code))
+    batches = scratch.save_large(pack(plain, rounds), "batches", "round")
+    table = count_pairs(batches, buckets, scratch)
+    key, n = hot_contexts(list_contexts(table))
+    hot = spark.sparkContext._jsc.broadcast(zlib.compress(np.concatenate((np.diff(key, prepend=0), n)).astype("<i8").tobytes(), 1))
+    name = uuid.uuid4().hex
+    ask = _java(spark, "Ask", "array<binary>", buckets, hot, name, _code_bytes(code))
+    tell = _java(spark, "Tell", "array<struct<batch: bigint, list: binary>>")
+    score = _java(spark, "Score", "binary", hot, name, _code_bytes(code), RATE, REFINE_RATE, START, LEAST_P)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def lookup(hashes):
@@ -766,68 +800,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         found = names[at] == hashes.view(np.int64) if len(names) else np.zeros(len(hashes), bool)
         return found, values[at] if len(names) else np.zeros(len(hashes), np.int64)
 
-    def rare(batches):
-        for batch in batches:
-            for lo, _, data, offsets in text_chunks(batch.column("text")):
-                words = Words(data, offsets)
-                hashes = words.hashes(fold=True)
-                found, _ = lookup(hashes)
-                key = _key(batch.column("doc_id"), words, hashes, data, offsets, lo)
-                h, d = hashes[~found], words.doc[~found]
-                order = np.lexsort((h, d))
-                h, d = h[order], d[order]
-                lead = np.ones(len(h), bool)
-                lead[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                where = np.flatnonzero(lead)
-                times = np.diff(np.append(where, len(h)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[where].view(np.int64)), pa.array(key[d[where]].view(np.int64)), pa.array(times.astype(np.int32))], names=["token", "k", "times"]
-                )
-
-    def dealt(batches):
-        part, number = TaskContext.get().partitionId(), 0
-        names = np.unique(hot.value[0] >> SYMBOL_BITS)
-        for batch in batches:
-            # The longest first: what is left over for a batch of its own is short.
-            batch = batch.take(_by_length(batch.column("text"))[::-1])
-            for lo, hi, name in _dealt(batch.column("text"), part, number, pools):
-                some = text_chunks(batch.column("text").slice(lo, hi - lo), LANE_BYTES)
-                met = _distinct(np.concatenate([Symbols(data, offsets).contexts() for *_, data, offsets in some]))
-                if len(names):
-                    met = met[names[np.minimum(np.searchsorted(names, met), len(names) - 1)] != met]
-                rows = hi - lo
-                none = pa.nulls(rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, name, np.int64)), batch.column("doc_id").slice(lo, rows), batch.column("text").slice(lo, rows), none], names=["batch", "doc_id", "text", "asks"])
-                asks = pa.ListArray.from_arrays(pa.array([0, len(met)], pa.int32()), pa.array(met, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.int64()), pa.nulls(1, batch.schema.field("doc_id").type), pa.nulls(1, batch.schema.field("text").type), asks], names=["batch", "doc_id", "text", "asks"]
-                )
-                number += 1
-
-    def whole(rows, told):
-        told = told.combine_chunks()
-        lists = pa.concat_arrays(told["seen"].chunks) if told.num_rows else None
-        if lists is None:
-            more = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        else:
-            flat = lists.flatten()
-            flat = flat.to_numpy()
-            key = np.repeat(told["context"].to_numpy(), lists.value_lengths().to_numpy())
-            key <<= SYMBOL_BITS
-            key |= flat & 511
-            # What several tasks have asked for the same batch is told once for each.
-            order = np.argsort(key)
-            order = order[_leads(key[order])]
-            more = key[order], flat[order] >> SYMBOL_BITS
-            del flat, key, order
-        del told, lists
-        parts, exact = [], Exact(more, ready=(hot.value,))
-        del more
-        rows = rows.select(["doc_id", "text"]).combine_chunks()
-        rows = rows.take(_by_length(rows["text"].combine_chunks()))
-        ids, texts = (rows[c].combine_chunks() for c in ("doc_id", "text"))
-        bits = np.concatenate([code_bits(Decisions(data, offsets, code), exact) for *_, data, offsets in text_chunks(texts, LANE_BYTES)])
-        del exact
+    def rows(ids, texts, bits):
+        """What is known of a batch's documents, and the rare words of each."""
         for lo, hi, data, offsets in text_chunks(texts, SCORE_BYTES):
             words = Words(data, offsets)
             hashes = words.hashes(fold=True)
@@ -839,25 +813,42 @@ def score_documents(docs: DataFrame) -> DataFrame:
             base = np.bincount(words.doc, logs[:-1], words.docs) + logs[-1] + (0 if found[-1] else np.log10(0.1))
             known = np.bincount(words.doc, found[:-1], words.docs).astype(np.int64) + int(found[-1])
             held = np.array([held_out(i) for i in ids.slice(lo, hi - lo).to_pylist()], bool)
-            parts.append((key.view(np.int64), held, words.per_doc + 1, known, base, bits[lo:hi], np.diff(offsets)))
-        columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-        return pa.Table.from_arrays([ids, *columns], names=["doc_id", "k", "held_out", "n_tokens", "known", "base", "bits", "n_bytes"])
+            h, d = hashes[~found[:-1]], words.doc[~found[:-1]]
+            order = np.lexsort((h, d))
+            h, d = h[order], d[order]
+            lead = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)])
+            times = np.diff(np.append(lead, len(h)))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(d[lead], minlength=words.docs))))
+            rare = pa.StructArray.from_arrays([pa.array(h[lead].view(np.int64)), pa.array(times.astype(np.int32))], names=["token", "times"])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
+            columns = [key.view(np.int64), held, words.per_doc + 1, known, base, bits[lo:hi], np.diff(offsets)]
+            names = ["doc_id", "k", "held_out", "n_tokens", "known", "base", "bits", "n_bytes", "rare"]
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *map(pa.array, columns), rare], names=names)
+
+    def whole(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data, offsets, bits = (batch.column(c)[i].as_buffer() for c in ("data", "offsets", "bits"))
+                where = pa.py_buffer(np.frombuffer(offsets, np.int64).astype(np.int32))
+                ids = batch.column("ids")[i].values
+                yield from rows(ids, pa.Array.from_buffers(pa.binary(), len(ids), [None, where, data]), np.frombuffer(bits, np.float64))
 
-    batches = scratch.save(plain.mapInArrow(dealt, f"batch bigint, doc_id {kind}, text string, asks array<bigint>"), "batches")
-    # A symbol and its count travel as one number.
-    packed = F.transform("seen", lambda x: F.shiftleft(x["n"], SYMBOL_BITS).bitwiseOR(x["symbol"].cast("bigint")))
     owns = []
     for k in range(rounds):
-        some = batches.filter(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k)
-        asks = some.filter("asks IS NOT NULL").select(F.col("batch").alias("of"), F.explode("asks").alias("context"))
-        told = asks.join(contexts, "context").select("of", "context", packed.alias("seen"))
-        scored = some.filter("asks IS NULL").select("batch", "doc_id", "text").groupBy("batch").cogroup(told.groupBy("of"))
-        found = scored.applyInArrow(whole, f"doc_id {kind}, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint")
+        some = batches.filter(F.col("round") == k)
+        asks = some.select("batch", ask("data", "offsets").alias("asks")).select("batch", F.posexplode("asks").alias("bucket", "asks"))
+        asked = asks.filter(F.length("asks") > 0).repartition("bucket").groupBy("bucket").agg(F.collect_list(F.struct("batch", "asks")).alias("asks"))
+        told = asked.join(table, "bucket").select(tell("pairs", "counts", "asks").alias("told")).select(F.inline("told"))
+        heard = told.repartition("batch").groupBy("batch").agg(F.collect_list("list").alias("lists"))
+        scored = some.join(heard, "batch", "left").select("ids", "data", "offsets", score("data", "offsets", "lists").alias("bits"))
+        found = scored.mapInArrow(
+            whole,
+            f"doc_id {kind}, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint, rare array<struct<token: bigint, times: int>>",
+        )
         owns.append(scratch.save(found, "own"))
     own = reduce(DataFrame.unionByName, owns)
-    scratch.drop("batches", "contexts")
-    asked = plain.mapInArrow(rare, "token bigint, k bigint, times int")
-    met = asked.join(counts.withColumnRenamed("count", "c"), "token", "left")
+    scratch.drop("batches", "pairs")
+    met = own.select("k", F.inline("rare")).join(counts.withColumnRenamed("count", "c"), "token", "left")
     more = met.groupBy("k").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rest"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
